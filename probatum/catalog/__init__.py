@@ -1,0 +1,11 @@
+"""Runnable queries over the given tables, one module per group of operators."""
+
+from importlib import import_module
+
+MODULES = ["vectors"]
+
+
+def load() -> None:
+    """Import every module so that its queries register themselves."""
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")
