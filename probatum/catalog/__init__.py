@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["vectors", "search"]
+MODULES = ["vectors", "search", "fusion"]
 
 
 def load() -> None:
