@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["vectors", "search", "fusion"]
+MODULES = ["cleaning", "segmentation", "chunking"]
 
 
 def load() -> None:
