@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["cleaning", "segmentation", "chunking"]
+MODULES = ["tagging", "gating"]
 
 
 def load() -> None:

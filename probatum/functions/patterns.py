@@ -33,9 +33,13 @@ def first_label(text: Column, table: Sequence[tuple[str, str]], default: str) ->
 
 
 def first_hit(text: Column, regexes: Sequence[str]) -> Column:
-    """Matched text of the first pattern that matches, null if none does."""
+    """Matched text of the first pattern that matches, null if none does.
+
+    One pass with all patterns joined decides whether any can match, so most rows cost one regex.
+    """
     found = [F.regexp_extract(text, UNICODE + r, 0) for r in regexes]
-    return F.coalesce(*[F.when(hit != "", hit) for hit in found])
+    anywhere = matches(text, "|".join(f"(?:{r})" for r in regexes))
+    return F.when(anywhere, F.coalesce(*[F.when(hit != "", hit) for hit in found]))
 
 
 def contains_all(text: Column, terms: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def normalise(col: Column) -> Column:
     return strip(replace(fold(col), ("[¿?¡!.,;:]", " "), (r"\s+", " ")))
 
 
+def normalise_literal(text: str) -> str:
+    """The matching form of a constant."""
+    plain = text.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    return " ".join(re.sub("[¿?¡!.,;:]", " ", plain).split())
+
+
 def tokens(col: Column) -> Column:
     """Array of folded alphanumeric words in text order."""
     return F.filter(F.split(fold(col), "[^a-z0-9]+"), lambda w: w != "")
