@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tagging", "gating"]
+MODULES = ["graph", "evidence"]
 
 
 def load() -> None:
