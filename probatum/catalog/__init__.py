@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph", "evidence"]
+MODULES = ["analytics"]
 
 
 def load() -> None:
