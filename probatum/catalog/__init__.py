@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["analytics"]
+MODULES = ["stores", "streams"]
 
 
 def load() -> None:
