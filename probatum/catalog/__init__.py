@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["stores", "streams"]
+MODULES = ["vectors", "search", "fusion", "cleaning", "segmentation", "chunking", "tagging", "gating", "graph", "evidence",
+           "analytics", "stateful", "evaluation", "quality", "conversation", "stores", "streams", "plans"]
 
 
 def load() -> None:

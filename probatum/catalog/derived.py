@@ -284,13 +284,14 @@ _NEEDS = {
 }
 
 
-def with_(names: str, body: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
-    """Check SQL: the named frames (space separated), further named steps, then the body."""
+def with_(names: str, body: str, extra: dict[str, str] | None = None, recursive: bool = False,
+          early: dict[str, str] | None = None) -> str:
+    """Check SQL: the named frames (space separated), early and further named steps, then the body."""
     order: list[str] = []
     for name in names.split():
         for needed in [*_NEEDS.get(name, []), name]:
             if needed not in order:
                 order.append(needed)
-    steps = {**{name: CTES[name] for name in order}, **(extra or {})}
+    steps = {**{name: CTES[name] for name in order}, **(early or {}), **(extra or {})}
     head = ",\n".join(f"{name} AS ({sql}\n)" for name, sql in steps.items())
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{body}" if head else body
