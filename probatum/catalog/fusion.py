@@ -232,7 +232,7 @@ def gap_expand(t):
     index, first = index_of(t), vector_list(t, 18)
     words = t.benchmark.select(
         F.col("item_id").alias("query_id"), F.explode(fulltext.tokens(F.col("text"))).alias("term"))
-    present = first.select("query_id", "chunk_id").join(index.select("chunk_id", "term"), "chunk_id").select(
+    present = first.select("query_id", "chunk_id").join(index.terms.select("chunk_id", "term"), "chunk_id").select(
         "query_id", "term")
     gaps = ops.missing_terms(words, present)
     searches = gaps.select((F.col("query_id") * 10 + F.col("gap_no")).alias("query_id"), F.col("term").alias("query_text"))

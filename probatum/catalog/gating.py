@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_literal
 from ..lookups.norms import ROUTING
 from ..lookups.rules import EFFECTS, GATE_RULES
-from ..operators import gating as ops, tagging
+from ..operators import conversation, gating as ops, tagging, vectors
 from . import derived as d
 from .registry import query
 from .tagging import FACTS, sql_normalise
@@ -85,3 +85,16 @@ SELECT query_id, max_by(effect, strength) AS efecto, CAST(count(*) AS INTEGER) A
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS i FROM gate) GROUP BY query_id""", RULES))
 def rule_effect_rollup(t):
     return ops.rule_effect_rollup(d.questions(t))
+
+
+@query("cache_admission", d.with_("questions answers", """
+SELECT q.query_id, left(q.texto, 500) AS cached_query, a.respuesta AS answer FROM questions q JOIN answers a ON a.query_id = q.query_id + 1
+WHERE length(a.respuesta) > 100 AND (SELECT count(*) FROM conversations c WHERE c.conv_id = q.conv_id AND c.role = 'user') <= 1
+  AND q.query_id NOT IN (SELECT query_id FROM gate)""", RULES))
+def cache_admission(t):
+    q = d.questions(t)
+    ruled = ops.with_active_rules(q).select("query_id", "conv_id", "texto", (F.size("active") > 0).alias("rule_active"))
+    replies = d.answers(t).select((F.col("query_id") - 1).alias("query_id"), F.col("respuesta").alias("answer"))
+    rows = ruled.join(replies, "query_id").join(conversation.single_turn_flag(t.conversations), "conv_id").select(
+        "query_id", F.col("texto").alias("query_text"), "answer", F.col("turno_unico").alias("single_turn"), "rule_active")
+    return vectors.cache_admission(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN
 from ..operators import fulltext as ops
+from ..session import scratch_path
 from . import derived as d
 from .registry import query
 
@@ -79,8 +80,15 @@ SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id
        AS rank FROM found QUALIFY rank <= {k}"""
 
 
+_STORED: dict[tuple[str, str], ops.Index] = {}
+
+
 def index_of(t):
-    return ops.postings(d.chunk_texts(t))
+    """The index as ingest would store it: written once per application and table folder, then read."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _STORED:
+        _STORED[key] = ops.build_index(d.chunk_texts(t)).write(scratch_path(t.spark, "index"))
+    return _STORED[key]
 
 
 @query("fts_index", d.with_("chunk_texts", """
@@ -88,10 +96,10 @@ SELECT term, count(*) AS chunks, CAST(sum(tf) AS BIGINT) AS occurrences, min(chu
        CAST(sum(list_sum(positions)) AS BIGINT) AS position_sum
 FROM postings GROUP BY term""", {k: INDEX[k] for k in ("words", "postings")}))
 def fts_index(t):
-    total = F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)
-    return index_of(t).groupBy("term").agg(
-        F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"), F.min("chunk_id").alias("first_chunk"),
-        F.sum(total).alias("position_sum"))
+    index = ops.build_index(d.chunk_texts(t))
+    counted = index.terms.groupBy("term").agg(
+        F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"), F.min("chunk_id").alias("first_chunk"))
+    return counted.join(index.positions.groupBy("term").agg(F.sum("pos").alias("position_sum")), "term")
 
 
 @query("fts_search", d.with_("chunk_texts", ranked(20), INDEX))

@@ -10,6 +10,11 @@ from .text import estimate_tokens, strip
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, inside a fold."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 

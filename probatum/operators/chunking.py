@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import pack_sentences
+from ..functions.folds import let, pack_sentences
 from ..functions.text import PARAGRAPH_BREAK, estimate_tokens, strip
 from .segmentation import hierarchy_label
 
@@ -49,17 +49,17 @@ def windows_of(tokens: Column, max_tokens: int, overlap: int, emit_tail_suffixes
         return F.coalesce(F.array_max(enough), F.least(s + 1, i))
 
     def step(state: Column, i: Column) -> Column:
-        t = F.get(tokens, i)
-        s = state["s"]
+        t, s = F.get(tokens, i), state["s"]
         full = (state["acc"] + t > max_tokens) & (i > s)
-        back = restart(s, i)
-        repeated = F.filter(_range(back, i - 1), lambda r: tail_sum(i)(r) + t > max_tokens)
-        start = (back + F.size(repeated)).cast("int")
-        closed = F.concat(state["out"], F.array(_span(s, i)), F.transform(repeated, lambda r: _span(r, i)))
-        return F.struct(
-            F.when(full, start).otherwise(s).cast("int").alias("s"),
-            F.when(full, tail_sum(i)(start) + t).otherwise(state["acc"] + t).cast("int").alias("acc"),
-            F.when(full, closed).otherwise(state["out"]).alias("out"))
+
+        def reopen(back: Column) -> Column:
+            repeated = F.filter(_range(back, i - 1), lambda r: tail_sum(i)(r) + t > max_tokens)
+            return let(repeated, lambda again: let((back + F.size(again)).cast("int"), lambda start: F.struct(
+                start.alias("s"), (tail_sum(i)(start) + t).cast("int").alias("acc"),
+                F.concat(state["out"], F.array(_span(s, i)), F.transform(again, lambda r: _span(r, i))).alias("out"))))
+
+        grown = F.struct(s.alias("s"), (state["acc"] + t).cast("int").alias("acc"), state["out"].alias("out"))
+        return F.when(full, let(restart(s, i), reopen)).otherwise(grown)
 
     def close(state: Column) -> Column:
         n = F.size(tokens)

@@ -1,42 +1,72 @@
-"""Full-text search over a postings table, many queries at once.
+"""Full-text search over a stored index, many queries at once.
 
-Postings ``(term, salt, chunk_id, positions, tf, chunk_terms)`` are spread over salts, so a very common
-term is read by many tasks; query terms are few and are repeated once per salt.
-Ranking is BM25 in closed form.
+The index is kept by chunk: ``terms (chunk_id, chunk_terms, term, tf)`` for matching and ranking, ``positions
+(chunk_id, term, pos)`` read only for phrases, ``vocabulary (term, df)`` and one row of ``stats``. Query terms are
+few and go to the chunks. All terms of a chunk lie in one task, so matches are counted there and only matching
+(query, chunk) pairs are shuffled; a very common term is spread like the chunks are. Ranking is BM25 in
+closed form.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import any_match
 from ..functions.text import strip, tokens
 from ..lookups.patterns import EXACT_TERMS
+from ..session import materialise
 from .ranking import top_per
 
 K1, B = 1.2, 0.75
-SALTS = 16
-
-
-def postings(chunks: DataFrame, text_col: str = "texto", salts: int = SALTS, stop_words: Sequence[str] = ()) -> DataFrame:
-    """Positions of every term in every chunk; write this table once at ingest and keep it by term."""
-    words = chunks.select("chunk_id", tokens(F.col(text_col)).alias("words"))
+MASK_BITS = 62
+
+
+@dataclass
+class Index:
+    """Terms and positions of a set of chunks, with the number of chunks per term and in all."""
+
+    terms: DataFrame
+    positions: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def of(cls, terms: DataFrame, positions: DataFrame) -> Index:
+        sizes = terms.groupBy("chunk_id").agg(F.max("chunk_terms").alias("n"))
+        stats = sizes.agg(F.count("*").alias("chunks"), F.avg("n").alias("mean_terms"))
+        return cls(terms, positions, terms.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+    def write(self, path: str) -> Index:
+        spark = self.terms.sparkSession
+        for name, table in (("terms", self.terms), ("positions", self.positions)):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        stored = Index.of(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/positions"))
+        stored.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        stored.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        return Index.read(spark, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("terms", "positions", "vocabulary", "stats")])
+
+    def only(self, chunks: DataFrame) -> Index:
+        """The index of some chunks ``(chunk_id)``."""
+        return Index.of(self.terms.join(chunks, "chunk_id", "left_semi"), self.positions.join(chunks, "chunk_id", "left_semi"))
+
+
+def build_index(chunks: DataFrame, text_col: str = "texto", stop_words: Sequence[str] = ()) -> Index:
+    """Index of chunks ``(chunk_id, text)``. One shuffle, of the texts by chunk; terms are counted where they lie."""
+    spread = chunks.select("chunk_id", F.col(text_col).alias("text")).repartition("chunk_id")
+    words = spread.select("chunk_id", tokens(F.col("text")).alias("words"))
     placed = words.select("chunk_id", F.size("words").alias("chunk_terms"), F.posexplode("words").alias("pos", "term"))
     if stop_words:
         placed = placed.where(~F.col("term").isin(*stop_words))
-    grouped = placed.groupBy("chunk_id", "chunk_terms", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select(
-        "term", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"), "chunk_id",
-        "positions", F.size("positions").alias("tf"), "chunk_terms")
-
-
-def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store postings clustered by term, so a search reads only the row groups of its terms."""
-    (index.repartition(buckets, "term", "salt").sortWithinPartitions("term", "chunk_id")
-     .write.mode("overwrite").parquet(path))
+    terms = placed.groupBy("chunk_id", "chunk_terms", "term").agg(F.count("*").cast("int").alias("tf"))
+    return Index.of(terms, placed.select("chunk_id", "term", "pos"))
 
 
 def query_terms(queries: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -70,63 +100,64 @@ def query_terms(queries: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame
     return out.where(~F.col("term").isin(*stop_words)) if stop_words else out
 
 
-def fts_search(
-    index: DataFrame, queries: DataFrame, k: int | None = 20, *, salts: int = SALTS, stop_words: Sequence[str] = ()
-) -> DataFrame:
+def fts_search(index: Index, queries: DataFrame, k: int | None = 20, *, stop_words: Sequence[str] = ()) -> DataFrame:
     """Chunks matching every slot of a query, with BM25 ``score`` (and ``rank`` when ``k`` is given)."""
-    asked = query_terms(queries, stop_words)
-    needed = asked.where("kind <> 'not'").groupBy("query_id").agg(F.count_distinct("slot").alias("slots"))
-    chunk_sizes = index.groupBy("chunk_id").agg(F.max("chunk_terms").alias("n"))
-    stats = chunk_sizes.agg(F.count("*").alias("chunks"), F.avg("n").alias("mean_terms"))
-    spread = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("df"))
-    weighted = (
-        asked.join(spread, "term", "left")
-        .join(needed, "query_id", "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    total, mean = stats.select("chunks").scalar(), stats.select("mean_terms").scalar()
+    asked = materialise(query_terms(queries, stop_words), "query-terms")
+    positive, either = F.col("kind") != "not", F.col("slot").startswith("a:")
+    # every word outside alternatives is one unit to match; a slot of alternatives is one bit of a mask
+    slots = asked.groupBy("query_id", "slot", "term").agg(F.max(~positive).alias("excluded"))
+    by_query = Window.partitionBy("query_id")
+    numbered = slots.withColumn("alt", F.when(either, F.dense_rank().over(by_query.orderBy(~either, "slot")) - 1)).withColumn(
+        "home", F.min(F.when(~F.col("excluded"), F.col("slot"))).over(Window.partitionBy("query_id", "term")))
+    unit = (~F.col("excluded") & F.col("alt").isNull()).cast("int")
+    needed = numbered.groupBy("query_id").agg(F.sum(unit).alias("units"), (F.coalesce(F.max("alt") + 1, F.lit(0))).alias("alts")).join(
+        asked.where("kind = 'phrase'").groupBy("query_id").agg(F.count("*").alias("phrase_words")), "query_id", "left")
+    masks = 1 + (numbered.agg(F.coalesce(F.max("alt"), F.lit(0)).alias("n")).first()["n"] // MASK_BITS)
+
+    def mask(i: int) -> Column:
+        bit = F.expr(f"shiftleft(1L, CAST(alt - {i * MASK_BITS} AS INT))")
+        return F.when(F.col("alt").between(i * MASK_BITS, (i + 1) * MASK_BITS - 1), bit).otherwise(F.lit(0).cast("long")).alias(f"m{i}")
+
+    total, mean = index.stats.select("chunks").scalar(), index.stats.select("mean_terms").scalar()
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # a term counts once per query, in its first slot, however many slots ask for it
+    weight = F.when(F.col("home") == F.col("slot"), idf).otherwise(0.0)
+    wanted = numbered.join(index.vocabulary, "term").select(
+        "query_id", "term", "excluded", unit.alias("unit"), weight.alias("weight"), *[mask(i) for i in range(masks)])
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_terms") / mean))
-    hits = weighted.join(index, ["term", "salt"]).select(
-        "query_id", "chunk_id", "slot", "kind", "j", "term", "slots",
-        F.when(F.col("kind") == "phrase", F.col("positions")).alias("positions"), (idf * tf).alias("gain"))
-    found = hits.groupBy("query_id", "chunk_id").agg(
-        F.max("slots").alias("slots"),
-        F.count_distinct(F.when(F.col("kind") != "not", F.col("slot"))).alias("matched"),
-        F.max(F.col("kind") == "not").alias("excluded"),
-        F.collect_set(F.when(F.col("kind") != "not", F.struct("term", "gain"))).alias("gains"),
-        F.collect_list(F.when(F.col("kind") == "phrase", F.struct("slot", "j", "positions"))).alias("phrase_words"),
-    )
-    phrase_sizes = asked.where("kind = 'phrase'").groupBy("query_id").agg(
-        F.collect_set("slot").alias("phrase_slots"), F.collect_list(F.struct("slot", "j")).alias("phrase_plan"))
-    kept = found.where((F.col("matched") == F.col("slots")) & ~F.col("excluded")).join(phrase_sizes, "query_id", "left")
-    scored = kept.where(_adjacent()).select(
-        "query_id", "chunk_id",
-        F.round(F.aggregate(F.array_sort("gains"), F.lit(0.0), lambda s, g: s + g["gain"]), 6).alias("score"))
+    found = index.terms.join(wanted, "term").groupBy("query_id", "chunk_id").agg(
+        F.sum("unit").alias("matched"), F.max("excluded").alias("excluded"), F.round(F.sum(F.col("weight") * tf), 6).alias("score"),
+        *[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(masks)])
+    bits = sum((F.bit_count(f"m{i}") for i in range(1, masks)), F.bit_count("m0"))
+    kept = found.where(~F.col("excluded")).join(needed, "query_id").where((F.col("matched") == F.col("units")) & (bits == F.col("alts")))
+    kept = kept.select("query_id", "chunk_id", "score", "phrase_words")
+    words = asked.where("kind = 'phrase'")
+    if words.isEmpty():
+        scored = kept.drop("phrase_words")
+    else:
+        kept = materialise(kept, "term-matches")
+        complete = _with_phrases(kept.where("phrase_words > 0").select("query_id", "chunk_id"), words, index)
+        checked = kept.join(complete.withColumn("whole", F.lit(True)), ["query_id", "chunk_id"], "left")
+        scored = checked.where("phrase_words IS NULL OR whole").select("query_id", "chunk_id", "score")
     if k is None:
         return scored
     return top_per(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def _adjacent() -> Column:
-    """Every phrase of the query starts at some position from which all its words follow in order."""
-
-    def holds(slot: Column) -> Column:
-        mine = F.filter("phrase_words", lambda w: w["slot"] == slot)
-        size = F.size(F.filter("phrase_plan", lambda w: w["slot"] == slot))
-        starts = F.flatten(F.transform(F.filter(mine, lambda w: w["j"] == F.array_min(F.transform(mine, lambda m: m["j"]))),
-                                       lambda w: F.transform(w["positions"], lambda p: p - w["j"])))
-        whole = F.size(mine) == size
-        return whole & F.exists(
-            starts, lambda start: F.forall(mine, lambda w: F.array_contains(w["positions"], start + w["j"])))
-
-    return F.col("phrase_slots").isNull() | F.forall("phrase_slots", holds)
+def _with_phrases(candidates: DataFrame, words: DataFrame, index: Index) -> DataFrame:
+    """Candidates that hold all phrases of their query: every word ``j`` at the same start ``pos - j``."""
+    sizes = words.groupBy("query_id", "slot").agg(F.count("*").alias("size"))
+    phrases = sizes.groupBy("query_id").agg(F.count("*").alias("phrases"))
+    placed = candidates.join(words.select("query_id", "slot", "j", "term"), "query_id").join(index.positions, ["term", "chunk_id"])
+    starts = placed.groupBy("query_id", "chunk_id", "slot", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("n"))
+    whole = starts.join(sizes, ["query_id", "slot"]).where("n = size").select("query_id", "chunk_id", "slot").distinct()
+    complete = whole.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n")).join(phrases, "query_id").where("n = phrases")
+    return complete.select("query_id", "chunk_id")
 
 
-def fts_fallback(index: DataFrame, queries: DataFrame, k: int = 18, salts: int = SALTS) -> DataFrame:
+def fts_fallback(index: Index, queries: DataFrame, k: int = 18) -> DataFrame:
     """Search used when no vectors are at hand: same matches in rank order, a constant similarity of 0.5."""
-    return fts_search(index, queries, k, salts=salts).withColumn("similarity", F.lit(0.5)).drop("score")
+    return fts_search(index, queries, k).withColumn("similarity", F.lit(0.5)).drop("score")
 
 
 def ilike_search(

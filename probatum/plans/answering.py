@@ -21,10 +21,10 @@ class Corpus:
     chunks: DataFrame
 
 
-def retrieve(questions: DataFrame, corpus: Corpus, variants: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, corpus: Corpus, variants: DataFrame | None = None, index: fulltext.Index | None = None) -> DataFrame:
     """Ranked evidence of each question ``(query_id, texto, query_vector, dominios)``.
 
-    Plan, two vector layers (hybrid for questions with exact terms when postings are given), fused variants,
+    Plan, two vector layers (hybrid for questions with exact terms when an index is given), fused variants,
     first occurrence kept, order by hierarchy, forced chunks of active rules in front.
     """
     docs = corpus.norms.where("vigente").select("doc_id", F.upper("tipo").alias("tipo"), "jerarquia_norm")
@@ -35,7 +35,7 @@ def retrieve(questions: DataFrame, corpus: Corpus, variants: DataFrame | None =
     high = [t.upper() for t in HIGH_TYPES]
     first = vectors.vector_topk(pool.where(F.col("tipo").isin(high)), asked.drop("types"), 45)
     second = vectors.vector_topk(pool, asked, 75, type_col="tipo")
-    layers = [_layer(first, 15, questions, pool, postings), _layer(second, 25, questions, pool, postings)]
+    layers = [_layer(first, 15, questions, pool, index), _layer(second, 25, questions, pool, index)]
     if variants is not None:
         layers.append(fusion.multi_query(variants, 20))
     candidates = fusion.layered_candidates(layers)
@@ -48,11 +48,11 @@ def retrieve(questions: DataFrame, corpus: Corpus, variants: DataFrame | None =
     return merged.join(detail, "chunk_id").withColumn("norma", F.concat_ws(" ", "tipo", "numero"))
 
 
-def _layer(wide: DataFrame, k: int, questions: DataFrame, pool: DataFrame, postings: DataFrame | None) -> DataFrame:
+def _layer(wide: DataFrame, k: int, questions: DataFrame, pool: DataFrame, index: fulltext.Index | None) -> DataFrame:
     plain = wide.where(F.col("rank") <= k)
-    if postings is None:
+    if index is None:
         return plain
-    usable = postings.join(pool.select("chunk_id"), "chunk_id", "left_semi")
+    usable = index.only(pool.select("chunk_id"))
     exact = questions.select("query_id", fulltext.has_exact_terms(F.col("texto")).alias("exact"))
     searched = questions.join(exact.where("exact"), "query_id", "left_semi").select("query_id", F.col("texto").alias("query_text"))
     hybrid = fusion.hybrid_weighted(wide, fulltext.fts_search(usable, searched, 3 * k), k, weight=0.6)

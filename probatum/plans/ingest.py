@@ -1,4 +1,4 @@
-"""Incremental corpus build: changed documents to sections, chunks and postings, in one run folder.
+"""Incremental corpus build: changed documents to sections, chunks and full-text index, in one run folder.
 
 Every run writes its own folder and the state last. A chunk counts only if the state names its run, so a
 run that dies half-way leaves the corpus as it was, and repeating it overwrites the same folders.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import MAX_TOKENS, OVERLAP_TOKENS, chunk_documents
 from ..operators.cleaning import clean_text
-from ..operators.fulltext import postings
+from ..operators.fulltext import Index, build_index
 from ..operators.segmentation import LAW, sections_of
 from ..operators.stateful import hash_change_detect
 from ..functions.text import PARAGRAPH_BREAK
@@ -41,9 +41,11 @@ class Corpus:
         current = self.state.read(self.spark).select(F.col("key").alias("doc_key"), "run")
         return self._table("chunks").join(current, ["doc_key", "run"], "left_semi")
 
-    def postings(self) -> DataFrame:
-        """Postings of the current chunks."""
-        return self._table("postings").join(self.chunks().select("chunk_id"), "chunk_id", "left_semi")
+    def index(self) -> Index:
+        """Full-text index of the current chunks."""
+        current = self.chunks().select("chunk_id")
+        terms, positions = (self._table(f"index/*/{name}") for name in ("terms", "positions"))
+        return Index.of(terms.join(current, "chunk_id", "left_semi"), positions.join(current, "chunk_id", "left_semi"))
 
 
 def ingest(
@@ -66,7 +68,7 @@ def ingest(
     path = f"{corpus.root}/chunks/run={run}"
     named.drop("run").write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path)
-    postings(written).write.mode("overwrite").parquet(f"{corpus.root}/postings/run={run}")
+    build_index(written).write(f"{corpus.root}/index/run={run}")
     seen = docs.select(F.count("*")).scalar()
     stored = written.groupBy(F.col("doc_key").alias("key")).agg(F.count("*").alias("chunks"))
     done = todo.select("key", "hash").join(stored, "key", "left")
