@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..lookups.norms import REF_TYPES
 from ..lookups.patterns import REF_LAW, REF_NORM
 from ..operators import graph as ops
+from ..plans.graph import reference_graph
 from . import derived as d
 from .registry import query
 
@@ -39,8 +40,7 @@ def refs(t):
 
 
 def edges(t):
-    found = refs(t)
-    return ops.build_edges(found, ops.resolve_references(found, d.norms(t)))
+    return reference_graph(d.passages(t), d.norms(t))[2]
 
 
 @query("extract_references", d.with_("passages", "SELECT * FROM refs", {"refs": REFS["refs"]}))
@@ -64,8 +64,8 @@ SELECT (SELECT count(*) FROM passages) AS chunks, (SELECT count(*) FROM refs) AS
   (SELECT count(*) FROM hits) - (SELECT count(*) FROM edges) AS ya_existian,
   (SELECT count(*) FROM refs r WHERE NOT EXISTS (SELECT 1 FROM resolved s WHERE s.tipo = r.tipo AND s.numero = r.numero)) AS sin_destino""", REFS))
 def edge_stats(t):
-    found = refs(t)
-    return ops.edge_stats(d.passages(t), found, ops.resolve_references(found, d.norms(t)))
+    found, resolved, _ = reference_graph(d.passages(t), d.norms(t))
+    return ops.edge_stats(d.passages(t), found, resolved)
 
 
 ENRICHED = {

@@ -8,7 +8,6 @@ Regexes are matched case-insensitively with Unicode word boundaries.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +19,12 @@ def matches(text: Column, regex: str) -> Column:
     return text.rlike(UNICODE + regex)
 
 
+def joined(regexes: Sequence[str]) -> str:
+    return "|".join(f"(?:{r})" for r in regexes)
+
+
 def any_match(text: Column, regexes: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [matches(text, r) for r in regexes])
+    return matches(text, joined(regexes))
 
 
 def first_label(text: Column, table: Sequence[tuple[str, str]], default: str) -> Column:
@@ -38,8 +41,7 @@ def first_hit(text: Column, regexes: Sequence[str]) -> Column:
     One pass with all patterns joined decides whether any can match, so most rows cost one regex.
     """
     found = [F.regexp_extract(text, UNICODE + r, 0) for r in regexes]
-    anywhere = matches(text, "|".join(f"(?:{r})" for r in regexes))
-    return F.when(anywhere, F.coalesce(*[F.when(hit != "", hit) for hit in found]))
+    return F.when(any_match(text, regexes), F.coalesce(*[F.when(hit != "", hit) for hit in found]))
 
 
 def contains_all(text: Column, terms: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import let
 from ..functions.patterns import contains_all, contains_any, literal_array
 from ..functions.text import normalise, normalise_literal
 from ..lookups.norms import DEFAULT_DOMAIN, ROUTING
@@ -40,10 +41,10 @@ def _rules(rules: Sequence[GateRule]) -> Column:
 
 def with_active_rules(questions: DataFrame, rules: Sequence[GateRule] = GATE_RULES) -> DataFrame:
     """Questions with the array ``active`` of the rules they trigger, in catalogue order."""
-    matched = questions.withColumn("norm_text", normalise(F.col("texto")))
-    active = F.filter(_rules(rules), lambda r: contains_all(F.col("norm_text"), r["required"])
-                      & ~contains_any(F.col("norm_text"), r["barred"]))
-    return matched.withColumn("active", active).drop("norm_text")
+    def triggered(text: Column) -> Column:
+        return F.filter(_rules(rules), lambda r: contains_all(text, r["required"]) & ~contains_any(text, r["barred"]))
+
+    return questions.withColumn("active", let(normalise(F.col("texto")), triggered))
 
 
 def rule_gate(questions: DataFrame, rules: Sequence[GateRule] = GATE_RULES) -> DataFrame:
