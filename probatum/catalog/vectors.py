@@ -113,9 +113,7 @@ SELECT cache_id, mode, created_ms FROM cache
 WHERE created_ms > (SELECT max(created_ms) FROM cache) - 168 * 3600000""", {"cache": _CACHE["cache"]}))
 def cache_ttl_evict(t):
     rows = cache(t).select("cache_id", "mode", "created_ms")
-    newest = rows.agg(F.max("created_ms").alias("m"))
-    dated = rows.join(F.broadcast(newest))
-    return ops.cache_ttl_evict(dated, F.col("m")).drop("m")
+    return ops.cache_ttl_evict(rows, rows.select(F.max("created_ms")).scalar())
 
 
 @query("vector_ann_lsh")

@@ -1,6 +1,7 @@
 """Vector search: exact cosine top-k, semantic cache, hashed-bucket candidates, text vectors.
 
-Frames: chunks ``(chunk_id long, embedding array<float>)``, queries ``(query_id long, query_vector array<double>)``.
+Frames: chunks ``(chunk_id, embedding array<float>)``, queries ``(query_id, query_vector array<double>)``; ids are numbers or
+strings.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ MAX_LOCAL_QUERIES = 4096
 """Query vectors held in every task; a larger set is spread over a grid instead."""
 
 QUERY_SLICE = 256
-CELL_ROWS = 50_000
-HIT_SCHEMA = "query_id long, chunk_id long, similarity double"
-DAY_MS = 86_400_000
+CELL_ROWS = 20_000
+TASKS_PER_CORE = 4
 
 
 @dataclass
@@ -102,7 +102,8 @@ def vector_topk(
     only chunks younger than ``max_age_ms`` at its ``query_ms``. Chunks without a vector are skipped.
 
     Up to ``local_limit`` queries (their number is checked first) go to every task and the chunks are
-    scanned in place, without a shuffle: each task emits at most k rows per query. More queries are
+    scanned in place, without a shuffle: each task emits at most k rows per query, and small splits are read by
+    one task so that few such lists are merged. More queries are
     split into blocks, and blocks meet in a grid of cells of bounded size spread by hash of the ids.
     """
     columns = [F.col("chunk_id"), F.transform("embedding", lambda x: x.cast("float")).alias("embedding")]
@@ -116,10 +117,12 @@ def vector_topk(
     asked = queries.select(*wanted).where("query_vector IS NOT NULL")
 
     head = asked.limit(local_limit + 1).toPandas()
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {dict(pool.dtypes)['chunk_id']}, similarity double"
     if len(head) <= local_limit:
-        hits = pool.mapInArrow(_scan_with(head, settings), HIT_SCHEMA)
+        tasks = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
+        hits = pool.coalesce(tasks).mapInArrow(_scan_with(head, settings), schema)
     else:
-        hits = _grid_topk(pool, asked, settings, local_limit, cell_rows)
+        hits = _grid_topk(pool, asked, settings, schema, local_limit, cell_rows)
     return top_per(hits, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 
@@ -146,7 +149,9 @@ def _scan_with(head: pd.DataFrame, settings: dict):
     return scan
 
 
-def _grid_topk(pool: DataFrame, asked: DataFrame, settings: dict, local_limit: int, cell_rows: int) -> DataFrame:
+def _grid_topk(
+    pool: DataFrame, asked: DataFrame, settings: dict, schema: str, local_limit: int, cell_rows: int
+) -> DataFrame:
     rows = max(1, -(-asked.count() // local_limit))
     columns = max(1, -(-pool.count() // cell_rows))
     left = asked.withColumn("row", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn(
@@ -157,8 +162,8 @@ def _grid_topk(pool: DataFrame, asked: DataFrame, settings: dict, local_limit: i
     )
 
     def score(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()),
-                          "similarity": pa.array([], pa.float64())})
+        ids = {name: pa.array([], table.schema.field(name).type) for name, table in (("query_id", queries), ("chunk_id", chunks))}
+        empty = pa.table({**ids, "similarity": pa.array([], pa.float64())})
         if not queries.num_rows or not chunks.num_rows:
             return empty
         block = QueryBlock.build(queries.to_pandas(), **settings)
@@ -166,7 +171,7 @@ def _grid_topk(pool: DataFrame, asked: DataFrame, settings: dict, local_limit: i
             _offer_table(block, batch)
         return pa.Table.from_pandas(block.best, preserve_index=False) if block.best is not None else empty
 
-    return left.groupBy("row", "cell").cogroup(right.groupBy("row", "cell")).applyInArrow(score, HIT_SCHEMA)
+    return left.groupBy("row", "cell").cogroup(right.groupBy("row", "cell")).applyInArrow(score, schema)
 
 
 def hyde_combine(pairs: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def ingest(
     keyed = todo.withColumnRenamed("key", "doc_id").withColumn("texto", F.col("text"))
     chunks = chunk_documents(keyed, cut(F.col("texto")), max_tokens, overlap, paragraph)
     named = chunks.withColumnRenamed("doc_id", "doc_key").withColumn("run", F.lit(run).cast("long")).withColumn(
-        "chunk_id", F.xxhash64("doc_key", "orden", "run"))
+        "chunk_id", F.concat_ws("#", "doc_key", F.col("run").cast("string"), F.col("orden").cast("string")))
     path = f"{corpus.root}/chunks/run={run}"
     named.drop("run").write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path)

@@ -145,6 +145,14 @@ def test_topk_scan_and_grid_agree_with_brute_force(rows):
         assert got == want
 
 
+def test_topk_with_string_ids(rows):
+    c = rows([(f"c{i}", [float(i), 1.0]) for i in range(30)], "chunk_id string, embedding array<float>")
+    q = rows([("q1", [1.0, 0.0]), ("q2", [0.0, 1.0]), ("q3", [1.0, 1.0])], "query_id string, query_vector array<double>")
+    for limit in (10, 2):
+        got = {(r.query_id, r["rank"]): r.chunk_id for r in vectors.vector_topk(c, q, 2, local_limit=limit, cell_rows=8).collect()}
+        assert got[("q1", 1)] == "c29" and got[("q2", 1)] == "c0" and got[("q3", 1)] == "c1" and len(got) == 6
+
+
 def test_bucket_candidates_find_most_neighbours(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(400, 16))
