@@ -106,20 +106,24 @@ def edges(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, starts), len(sorted_hashes))
 
 
-def id_or_last(values) -> np.ndarray:
-    """Integer ids, a missing one as the largest."""
-    return np.array([LAST if v is None or v != v else int(v) for v in values], dtype=np.int64)
+def key_of(id_column: str = "doc_id"):
+    """An integer id, a missing one as the largest."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
 
 
-def batched(docs: DataFrame, batches: int, id_column: str = "doc_id") -> DataFrame:
-    """The document columns that matter, each row with the batch that its id is dealt to."""
-    return docs.select(F.pmod(F.xxhash64(F.col(id_column).cast("long")), F.lit(batches)).cast("int").alias("batch"),
-                       F.col(id_column).cast("long").alias("doc_id"), F.col("text"))
+def id_of(key: str = "key"):
+    """The inverse of :func:`key_of`."""
+    return F.nullif(F.col(key), F.lit(LAST))
+
+
+def batched(docs: DataFrame, batches: int) -> DataFrame:
+    """The key and text of each row, with the batch that id and text deal it to."""
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), F.lit(batches)).cast("int").alias("batch"),
+                       key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def in_order(pdf):
     """A batch's rows in an order that does not depend on how they arrived."""
-    pdf = pdf.assign(key=id_or_last(pdf["doc_id"]), text=[t if isinstance(t, str) else "" for t in pdf["text"]])
     return pdf.sort_values(["key", "text"], kind="stable").reset_index(drop=True)
 
 
