@@ -123,28 +123,31 @@ def hypergeometric(total: Column, good: Column, drawn: Column, chance: Column) -
     return F.aggregate(steps, start, step, lambda acc: F.least(acc["k"], high).cast("long"))
 
 
+def _halved(nodes: DataFrame, salt: Column) -> DataFrame:
+    """Each node's two halves: the left one's quotas are drawn source by source from what is left of the node."""
+    total = F.aggregate("quotas", F.lit(0.0), lambda a, x: a + x)
+    start = F.struct(total.alias("rest"), F.floor(total / 2).cast("double").alias("room"), F.array().cast("array<double>").alias("left"))
+
+    def split(acc: Column, quota: Column) -> Column:
+        chance = F.shiftrightunsigned(F.xxhash64(salt, F.size(acc["left"])), 11) / F.lit(float(1 << 53))
+        taken = hypergeometric(acc["rest"], quota, acc["room"], chance).cast("double")
+        return F.aggregate(F.array(taken), acc, lambda a, k: F.struct(  # one evaluation of the draw
+            (a["rest"] - quota).alias("rest"), (a["room"] - k).alias("room"), F.concat(a["left"], F.array(k)).alias("left")))
+
+    drawn = nodes.select("shard", "quotas", F.aggregate("quotas", start, split, lambda acc: acc["left"]).alias("left"))
+    halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")),
+                     F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("quotas", "left", lambda q, k: q - k).alias("quotas")))
+    return drawn.select(F.inline(halves))
+
+
 def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """(shard, quotas) from one row (quotas: blocks per source): shards of equal size with exact totals per source.
 
     ``shards`` is a power of two.
     """
     nodes = quotas.select(F.lit(0).cast("long").alias("shard"), F.col("quotas").cast("array<double>").alias("quotas"))
-    zero = F.lit(0.0)
     for depth in range(int(math.log2(shards))):
-        total = F.aggregate("quotas", zero, lambda a, x: a + x)
-        start = F.struct(total.alias("rest"), F.floor(total / 2).cast("double").alias("room"), F.array().cast("array<double>").alias("left"))
-
-        def split(acc: Column, quota: Column, depth=depth) -> Column:
-            chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(depth), F.col("shard"), F.size(acc["left"])), 11) / F.lit(float(1 << 53))
-            taken = hypergeometric(acc["rest"], quota, acc["room"], chance).cast("double")
-            return F.aggregate(F.array(taken), acc, lambda a, k: F.struct(  # one evaluation of the draw
-                (a["rest"] - quota).alias("rest"), (a["room"] - k).alias("room"), F.concat(a["left"], F.array(k)).alias("left")))
-
-        nodes = nodes.select("shard", "quotas", F.aggregate("quotas", start, split, lambda acc: acc["left"]).alias("left"))
-        right = F.zip_with("quotas", "left", lambda q, k: q - k)
-        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")),
-                         F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quotas")))
-        nodes = nodes.select(F.inline(halves))
+        nodes = _halved(nodes, F.xxhash64(F.lit(seed), F.lit(depth), F.col("shard")))
     return nodes
 
 

@@ -66,8 +66,8 @@ def op5(spark, sf_dir):
 
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks,
@@ -105,3 +105,9 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     from probatum.llm.template import extract_articles
     return extract_articles(table(spark, sf_dir, "pages"))
+
+
+@register("op1_ngram_jaccard_join")
+def op1(spark, sf_dir):
+    from probatum.llm.ngram_join import join_documents
+    return join_documents(table(spark, sf_dir, "documents"))

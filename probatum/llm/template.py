@@ -155,7 +155,7 @@ class Reader:
             if name in ("article", "main"):  # neither stands in a menu or a page's header: those were left open
                 close(next((i for i, x in enumerate(stack) if x[0] in ("nav", "header", "menu")), len(stack)))
             _, path, within, already = stack[-1]
-            if article and already and all(x[0] == "form" for x in stack if x[3] and x[0] in LEFT_OUT) and stack[-1][0] == "form":
+            if name in ("article", "main") and already and all(x[0] == "form" for x in stack if x[3] and x[0] in LEFT_OUT):
                 already = False  # a form around the whole page
             path = f"{path}/{label}"
             opened[path] += 1
