@@ -116,9 +116,15 @@ def id_of(key: str = "key"):
     return F.nullif(F.col(key), F.lit(LAST))
 
 
-def batched(docs: DataFrame, batches: int) -> DataFrame:
-    """The key and text of each row, with the batch that id and text deal it to."""
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), F.lit(batches)).cast("int").alias("batch"),
+def text_mark():
+    """A hash of the text; with the key it names a row, or rows that are alike."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def batched(docs: DataFrame, batches: int, carried: list[str] | tuple = ()) -> DataFrame:
+    """The key and text of each row, with the batch that id and text deal it to. Columns to be carried along travel as JSON."""
+    rest = F.to_json(F.struct(*carried), {"ignoreNullFields": "false"}) if carried else F.lit("")
+    return docs.select(rest.alias("rest"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), F.lit(batches)).cast("int").alias("batch"),
                        key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.common import Hashes, durable, id_of, key_of, text_bytes, windows
+from probatum.llm.common import Hashes, durable, id_of, key_of, text_bytes, text_mark, windows
 
 # Bytes of words: a-z, 0-9 and everything beyond ASCII; A-Z are lower-cased, the rest separates.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX = ("shard string, keys binary, begins binary, terms binary, lists binary, positions binary")
+INDEX = "shard string, keys binary, marks binary, begins binary, terms binary, lists binary, positions binary"
 ROOM = np.uint64(32)
 BLOCK_BYTES = 8 << 20
 
@@ -43,29 +43,30 @@ def build_index(docs: DataFrame, shard_words: int = 1 << 20) -> DataFrame:
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, task, made = Hashes(), TaskContext.get().partitionId(), itertools.count()
 
-        def shard(keys, found):
+        def shard(keys, marks, found):
             begins = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
             flat = np.concatenate(found)
             positions = np.argsort(flat, kind="stable")
             flat = flat[positions]
             new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
             lists = np.append(new, len(flat)).astype(np.int64)
-            return pd.DataFrame([(f"{task}-{next(made)}", np.array(keys, np.int64).tobytes(), begins.tobytes(), flat[new].tobytes(), lists.tobytes(),
-                                  positions.astype(np.uint32).tobytes())], columns=["shard", "keys", "begins", "terms", "lists", "positions"])
+            return pd.DataFrame([(f"{task}-{next(made)}", np.array(keys, np.int64).tobytes(), np.array(marks, np.int64).tobytes(), begins.tobytes(), flat[new].tobytes(), lists.tobytes(),
+                                  positions.astype(np.uint32).tobytes())], columns=["shard", "keys", "marks", "begins", "terms", "lists", "positions"])
 
-        keys, found, size = [], [], 0
+        keys, marks, found, size = [], [], [], 0
         for frame in frames:
-            for key, text in zip(frame["key"].tolist(), frame["text"]):
+            for key, mark, text in zip(frame["key"].tolist(), frame["mark"].tolist(), frame["text"]):
                 keys.append(key)
+                marks.append(mark)
                 found.append(hashes.of(terms_of(text)))
                 size += len(found[-1])
                 if size >= shard_words:
-                    yield shard(keys, found)
-                    keys, found, size = [], [], 0
+                    yield shard(keys, marks, found)
+                    keys, marks, found, size = [], [], [], 0
         if keys:
-            yield shard(keys, found)
+            yield shard(keys, marks, found)
 
-    return docs.select(key_of().alias("key"), "text").mapInPandas(build, INDEX)
+    return docs.select(key_of().alias("key"), text_mark().alias("mark"), "text").mapInPandas(build, INDEX)
 
 
 class Shard:
@@ -73,7 +74,7 @@ class Shard:
 
     def __init__(self, row):
         self.name = row.shard
-        self.keys, self.begins = np.frombuffer(row.keys, np.int64), np.frombuffer(row.begins, np.int64)
+        self.keys, self.marks, self.begins = (np.frombuffer(x, np.int64) for x in (row.keys, row.marks, row.begins))
         self.terms, self.lists = np.frombuffer(row.terms, np.uint64), np.frombuffer(row.lists, np.int64)
         self.positions = np.frombuffer(row.positions, np.uint32).astype(np.uint64)
         rank = np.repeat(np.arange(len(self.terms), dtype=np.uint64), np.diff(self.lists))
@@ -176,7 +177,7 @@ def _cut(block: pd.DataFrame, size: int | None) -> list[tuple[np.ndarray, list[l
 
 def _search(index: DataFrame, items: DataFrame, size: int | None, slop: int | None, block_bytes: int) -> DataFrame:
     """Per document of the index and block of items: covered spans and the items found."""
-    schema = "shard string, place long, key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    schema = "shard string, place long, key long, mark long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     out = None
     for block in _blocks(items, block_bytes):
         queries = _cut(block, size)
@@ -209,30 +210,30 @@ def _found(shard: Shard, queries, slop: int | None) -> pd.DataFrame:
     hit = np.cumsum(cover[:-1]) > 0
     hit_at = np.concatenate([[0], np.cumsum(hit)])
     out = []
-    for place, key in enumerate(shard.keys.tolist()):
+    for place, (key, mark) in enumerate(zip(shard.keys.tolist(), shard.marks.tolist())):
         a, b = int(shard.begins[place]), int(shard.begins[place + 1])
         spans = []
         if hit_at[b] > hit_at[a]:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]]))).tolist()
             spans = list(zip(edge[::2], edge[1::2]))
-        out.append((shard.name, place, key, b - a, spans, sorted(names.get(place, ()))))
-    return pd.DataFrame(out, columns=["shard", "place", "key", "n_words", "spans", "items"])
+        out.append((shard.name, place, key, mark, b - a, spans, sorted(names.get(place, ()))))
+    return pd.DataFrame(out, columns=["shard", "place", "key", "mark", "n_words", "spans", "items"])
 
 
 def _merged(found: DataFrame) -> DataFrame:
     """One row per document over all blocks of items, with the number of words covered."""
     whole = found.groupBy("shard", "place").agg(
-        F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.first("key").alias("key"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     nothing = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
     hit = F.aggregate("spans", nothing, lambda x, s: F.struct(
         (x["hit"] + F.greatest(s["end"] - F.greatest(s["start"], x["end"]), F.lit(0))).alias("hit"),
         F.greatest(x["end"], s["end"]).alias("end")), lambda x: x["hit"])
-    return whole.select(id_of().alias("doc_id"), "n_words", hit.alias("n_hit"), "spans", "items")
+    return whole.select(id_of().alias("doc_id"), "mark", "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Whole items found word for word: (doc_id, n_words, n_hit, spans, items) per document."""
+    """Whole items found word for word: (doc_id, mark, n_words, n_hit, spans, items) per document."""
     return _merged(_search(index, items, None, None, block_bytes))
 
 
@@ -242,7 +243,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int, block_bytes
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items, contaminated) per document, by windows of ``size`` words of the benchmark.
+    """(doc_id, mark, n_words, n_hit, spans, items, contaminated) per document, by windows of ``size`` words of the benchmark.
 
     A document is contaminated if at least one in ``share`` of its words is covered. The index is kept in the shared
     folder, and each block of the benchmark reads it once.

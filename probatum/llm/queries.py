@@ -110,4 +110,4 @@ def op10(spark, sf_dir):
 @register("op1_ngram_jaccard_join")
 def op1(spark, sf_dir):
     from probatum.llm.ngram_join import join_documents
-    return join_documents(table(spark, sf_dir, "documents"))
+    return join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -198,11 +198,15 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 400, lead: int = 100, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, spans of removed bytes, kept bytes) per row."""
+def dedup_suffixes(docs: DataFrame, length: int = 400, lead: int = 100, batch_bytes: int = BATCH_BYTES, carried: list[str] | tuple = (),
+                   whole_characters: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, spans of removed bytes, kept bytes, rest) per row; ``rest``: the columns ``carried``, as JSON.
+
+    ``whole_characters`` drops what is left of a character cut in two, so that the kept bytes are a text.
+    """
     spark = docs.sparkSession
     parts = shares(spark, text_bytes(docs), batch_bytes)
-    dealt = batched(docs, parts)
+    dealt = batched(docs, parts, carried)
 
     def send(pdf):
         level = Batch(pdf, length, lead).level
@@ -251,7 +255,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 400, lead: int = 100, batch_by
 
     def cut_out(pdf, answers):
         if not len(pdf):
-            return pd.DataFrame(columns=["key", "n_bytes", "spans", "kept"])
+            return pd.DataFrame(columns=["key", "n_bytes", "spans", "kept", "rest"])
         batch = Batch(pdf, length, lead)
         state = batch.states(parts, answers[answers["kind"] == "start"])
         found = Strings(batch, state)
@@ -271,7 +275,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 400, lead: int = 100, batch_by
             if repeated.any():
                 hits[row] = repeated
         out = []
-        for row, (key, raw) in enumerate(zip(batch.rows["key"], batch.raw)):
+        for row, (key, rest, raw) in enumerate(zip(batch.rows["key"], batch.rows["rest"], batch.raw)):
             spans, kept = [], raw
             if row in hits:
                 start, stop = _runs(hits[row])
@@ -281,8 +285,10 @@ def dedup_suffixes(docs: DataFrame, length: int = 400, lead: int = 100, batch_by
                 covered = np.cumsum(covered[:-1]) > 0
                 spans = list(zip(*(x.tolist() for x in _runs(covered))))
                 kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
-            out.append((key, len(raw), spans, kept))
-        return pd.DataFrame(out, columns=["key", "n_bytes", "spans", "kept"])
+                if whole_characters:
+                    kept = kept.decode("utf-8", "ignore").encode()
+            out.append((key, len(raw), spans, kept, rest))
+        return pd.DataFrame(out, columns=["key", "n_bytes", "spans", "kept", "rest"])
 
     arrays = dealt.groupBy("batch").applyInPandas(send, "batch int, part int, heads binary, pairs binary, many binary")
     states = durable(arrays.groupBy("part").applyInPandas(index, BITS), "suffix-states")
@@ -290,5 +296,5 @@ def dedup_suffixes(docs: DataFrame, length: int = 400, lead: int = 100, batch_by
         send_strings, "batch int, part int, hashes binary, many binary")
     answers = states.unionByName(strings.groupBy("part").applyInPandas(match_strings, BITS))
     done = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
-        cut_out, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return done.select(id_of().alias("doc_id"), "n_bytes", "spans", "kept")
+        cut_out, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, rest string")
+    return done.select(id_of().alias("doc_id"), "n_bytes", "spans", "kept", "rest")
