@@ -111,3 +111,9 @@ def op10(spark, sf_dir):
 def op1(spark, sf_dir):
     from probatum.llm.ngram_join import join_documents
     return join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op3_lm_scoring")
+def op3(spark, sf_dir):
+    from probatum.llm.lm_scoring import score_texts
+    return score_texts(table(spark, sf_dir, "documents"))
