@@ -5,8 +5,8 @@ others by weight. A source is drawn in whole epochs and one part of an epoch. Do
 the part takes the blocks up to a threshold that is found by descending a tree of block totals: 4,096 blocks, then the 4,096 blocks within the
 one that straddles the quota, then its few documents. Last, the one document that best fills what is left is added.
 
-The blocks drawn are then dealt to ``shards`` output shards: a binary tree splits each node's exact block quotas per source in two halves of equal
-size, the left half's counts following the multivariate hypergeometric law, source by source. Shards take disjoint runs of each
+The blocks drawn are then dealt to ``shards`` output shards: a binary tree splits each node's exact block quotas in two halves of equal
+size, the left half's counts per source following the multivariate hypergeometric law. Shards take disjoint runs of each
 source's permuted blocks. :func:`mixture` yields the rows by shard, shuffled within the shard.
 
 A missing source is a source of its own, ordered last; a missing text has no words. Repeated rows are documents of their own. Reruns agree:
@@ -89,66 +89,21 @@ def thresholds(sized: DataFrame, goals: DataFrame, small: bool) -> DataFrame:
     return _on_source(_on_source(goals, cuts, small), extra, small, "left")
 
 
-def _log_factorial(x: Column) -> Column:
-    z = x + 8.0
-    series = z * F.ln(z) - z + 0.5 * F.ln(2 * math.pi * z) + 1 / (12 * z) - 1 / (360 * z * z * z)
-    product = x + 1.0
-    for i in range(2, 9):
-        product = product * (x + float(i))
-    return series - F.ln(product)
-
-
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
-
-
-def hypergeometric(total: Column, good: Column, drawn: Column, chance: Column) -> Column:
-    """How many of ``good`` among ``total`` are in a draw of ``drawn`` without replacement, at the quantile ``chance``.
-
-    The law is summed upwards from twelve deviations below its mean, where it is below double precision.
-    """
-    mean = drawn * good / F.greatest(total, F.lit(1.0))
-    spread = F.sqrt(F.greatest(mean * (1 - good / F.greatest(total, F.lit(1.0))), F.lit(0.0))) * 12 + 12
-    low = F.greatest(F.floor(mean - spread), drawn + good - total, F.lit(0.0)).cast("double")
-    high = F.least(F.ceil(mean + spread), drawn, good).cast("double")
-    first = F.exp(_log_choose(good, low) + _log_choose(total - good, drawn - low) - _log_choose(total, drawn))
-    start = F.struct(low.alias("k"), first.alias("p"), first.alias("sum"))
-
-    def step(acc: Column, _: Column) -> Column:
-        k, p = acc["k"], acc["p"]
-        p = p * (good - k) * (drawn - k) / ((k + 1) * F.greatest(total - good - drawn + k + 1, F.lit(1.0)))
-        return F.when(acc["sum"] >= chance, acc).otherwise(F.struct((k + 1).alias("k"), p.alias("p"), (acc["sum"] + p).alias("sum")))
-
-    steps = F.when(high > low, F.sequence(F.lit(1).cast("long"), (high - low).cast("long"))).otherwise(F.array().cast("array<long>"))
-    return F.aggregate(steps, start, step, lambda acc: F.least(acc["k"], high).cast("long"))
-
-
-def _halved(nodes: DataFrame, salt: Column) -> DataFrame:
-    """Each node's two halves: the left one's quotas are drawn source by source from what is left of the node."""
-    total = F.aggregate("quotas", F.lit(0.0), lambda a, x: a + x)
-    start = F.struct(total.alias("rest"), F.floor(total / 2).cast("double").alias("room"), F.array().cast("array<double>").alias("left"))
-
-    def split(acc: Column, quota: Column) -> Column:
-        chance = F.shiftrightunsigned(F.xxhash64(salt, F.size(acc["left"])), 11) / F.lit(float(1 << 53))
-        taken = hypergeometric(acc["rest"], quota, acc["room"], chance).cast("double")
-        return F.aggregate(F.array(taken), acc, lambda a, k: F.struct(  # one evaluation of the draw
-            (a["rest"] - quota).alias("rest"), (a["room"] - k).alias("room"), F.concat(a["left"], F.array(k)).alias("left")))
-
-    drawn = nodes.select("shard", "quotas", F.aggregate("quotas", start, split, lambda acc: acc["left"]).alias("left"))
-    halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")),
-                     F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("quotas", "left", lambda q, k: q - k).alias("quotas")))
-    return drawn.select(F.inline(halves))
-
-
 def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """(shard, quotas) from one row (quotas: blocks per source): shards of equal size with exact totals per source.
+    """(shard, rank, count) from (rank, quota: blocks of a source): shards of equal size with the exact quotas in all.
 
-    ``shards`` is a power of two.
+    At each node of the tree the node's blocks are put in random order and half of them go left, so that the left counts per source
+    follow the multivariate hypergeometric law and each half is exact. ``shards`` is a power of two. What is ordered is at most ``repeats``
+    times ``BLOCKS`` rows per source, however many documents there are.
     """
-    nodes = quotas.select(F.lit(0).cast("long").alias("shard"), F.col("quotas").cast("array<double>").alias("quotas"))
+    blocks = quotas.where("quota > 0").select("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("block"))
+    nodes = blocks.withColumn("shard", F.lit(0).cast("long"))
     for depth in range(int(math.log2(shards))):
-        nodes = _halved(nodes, F.xxhash64(F.lit(seed), F.lit(depth), F.col("shard")))
-    return nodes
+        node = Window.partitionBy("shard")
+        place = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), F.lit(depth), "rank", "block"), "rank", "block"))
+        right = place > F.floor(F.count("*").over(node) / 2)
+        nodes = nodes.select("rank", "block", (F.col("shard") * 2 + F.when(right, 1).otherwise(0)).alias("shard"))
+    return nodes.groupBy("shard", "rank").agg(F.count("*").alias("count"))
 
 
 def plan_mixture(docs: DataFrame, weights=WEIGHTS, repeats: int = 3, shards: int = 16, seed: int = 0) -> DataFrame:
@@ -166,12 +121,12 @@ def plan_mixture(docs: DataFrame, weights=WEIGHTS, repeats: int = 3, shards: int
     last = F.greatest(F.floor(F.col("cut") / F.lit(block)), F.lit(0)).cast("long")
     plan = plan.withColumn("last", last).withColumn("quota", F.col("epochs") * BLOCKS + F.when(
         (F.col("cut") >= 0) | F.col("extra").isNotNull(), F.col("last") + 1).otherwise(0))
-    row = plan.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quotas"))
-    dealt = split_quotas(row, shards, seed).select("shard", F.posexplode("quotas").alias("rank", "count"))
-    upto = dealt.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "count"))).alias("each")).select(
-        "rank", F.aggregate("each", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(
-            F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x["count"]))).alias("upto"))
-    plan = durable(plan.join(upto, "rank"), "mix-shards")
+    dealt = split_quotas(plan.select("rank", "quota"), shards, seed)
+    of_source = F.map_from_entries(F.collect_list(F.struct("shard", "count")))
+    upto = dealt.groupBy("rank").agg(of_source.alias("of")).select("rank", F.aggregate(
+        F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), F.array().cast("array<bigint>"),
+        lambda a, i: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.coalesce(F.try_element_at("of", i), F.lit(0))))).alias("upto"))
+    plan = durable(plan.join(upto, "rank", "left").withColumn("upto", F.coalesce("upto", F.array().cast("array<bigint>"))), "mix-shards")
     rows = _on_source(sized, plan, small)
     part = (F.col("u") <= F.col("cut")) | F.coalesce(F.col("row") == F.col("extra"), F.lit(False))
     times = F.col("epochs") + F.when(part, 1).otherwise(0)
