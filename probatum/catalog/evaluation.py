@@ -20,8 +20,8 @@ def cases(t):
     i = F.col("query_id")
     return d.answers(t).select(
         i.alias("case_id"), "respuesta", F.when(i % 13 == 0, F.lit("timeout")).alias("error"), (i % 6).cast("int").alias("fuentes"),
-        F.array(d.pick(EXPECTED, i), d.pick(EXPECTED, i + 1)).alias("esperadas"), F.array(d.pick(FORBIDDEN, i)).alias("prohibidas"),
-        F.array(d.pick(ARTICLES, i)).alias("articulos"), F.when(i % 3 == 0, 2).alias("min_fuentes"), (i * 37 % 5000).alias("latencia_ms"),
+        F.array(d.pick(EXPECTED, i), d.pick(EXPECTED, i + 1)).alias("esperadas"), F.when(i % 4 != 1, F.array(d.pick(FORBIDDEN, i))).alias("prohibidas"),
+        F.when(i % 5 != 2, F.array(d.pick(ARTICLES, i))).alias("articulos"), F.when(i % 3 == 0, 2).alias("min_fuentes"), (i * 37 % 5000).alias("latencia_ms"),
         F.concat(F.lit("2026-04-1"), (F.col("conv_id") % 4).cast("string")).alias("fecha"))
 
 
@@ -32,18 +32,18 @@ def _holds(p: str) -> str:
 CASES = {
     "cases": f"""
 SELECT query_id AS case_id, respuesta, CASE WHEN query_id % 13 = 0 THEN 'timeout' END AS error, query_id % 6 AS fuentes,
-  [{d.sql_pick(EXPECTED, 'query_id')}, {d.sql_pick(EXPECTED, 'query_id + 1')}] AS esperadas, [{d.sql_pick(FORBIDDEN, 'query_id')}] AS prohibidas,
-  [{d.sql_pick(ARTICLES, 'query_id')}] AS articulos, CASE WHEN query_id % 3 = 0 THEN 2 END AS min_fuentes, query_id * 37 % 5000 AS latencia_ms,
+  [{d.sql_pick(EXPECTED, 'query_id')}, {d.sql_pick(EXPECTED, 'query_id + 1')}] AS esperadas, CASE WHEN query_id % 4 <> 1 THEN [{d.sql_pick(FORBIDDEN, 'query_id')}] END AS prohibidas,
+  CASE WHEN query_id % 5 <> 2 THEN [{d.sql_pick(ARTICLES, 'query_id')}] END AS articulos, CASE WHEN query_id % 3 = 0 THEN 2 END AS min_fuentes, query_id * 37 % 5000 AS latencia_ms,
   '2026-04-1' || (conv_id % 4) AS fecha FROM answers""",
     "checked": f"""
 SELECT *, list_filter(esperadas, lambda p: {_holds('p')}) AS encontradas, list_filter(esperadas, lambda p: NOT {_holds('p')}) AS faltantes,
-  list_filter(prohibidas, lambda p: {_holds('p')}) AS prohibidas_encontradas,
+  list_filter(coalesce(prohibidas, []), lambda p: {_holds('p')}) AS prohibidas_encontradas,
   list_transform(list_concat(regexp_extract_all(respuesta, '(?i){CITED_LONG}', 1), regexp_extract_all(respuesta, '(?i){CITED_SHORT}', 1)),
     lambda a: lower(regexp_replace(trim(a), '\\s+', ' ', 'g'))) AS citados FROM cases""",
     "results": """
 SELECT *, error IS NULL AND len(faltantes) = 0 AND len(prohibidas_encontradas) = 0 AND len(articulos_faltantes) = 0
   AND fuentes >= coalesce(min_fuentes, 0) AND length(respuesta) > 50 AS pasa FROM (
-  SELECT *, list_filter(articulos, lambda e: len(list_filter(citados, lambda c: contains(c, lower(e)))) = 0) AS articulos_faltantes FROM checked)""",
+  SELECT *, list_filter(coalesce(articulos, []), lambda e: len(list_filter(citados, lambda c: contains(c, lower(e)))) = 0) AS articulos_faltantes FROM checked)""",
 }
 
 
@@ -70,7 +70,7 @@ def cited_articles(t):
 @query("missing_articles", d.with_("answers", """
 SELECT case_id, array_to_string(articulos_faltantes, '|') AS faltantes FROM results""", CASES))
 def missing_articles(t):
-    missing = ops.missing_articles(F.col("articulos"), ops.cited_articles(F.col("respuesta")))
+    missing = ops.missing_articles(F.coalesce("articulos", F.array().cast("array<string>")), ops.cited_articles(F.col("respuesta")))
     return joined(cases(t).select("case_id", missing.alias("faltantes")), "faltantes")
 
 

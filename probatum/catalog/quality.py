@@ -22,10 +22,10 @@ def verify_corpus(t):
 
 
 @query("duplicate_files", """
-SELECT md5, count(*) AS copias, min(archivo) AS primero, max(archivo) AS ultimo FROM (
-  SELECT md5(text) AS md5, 'f' || doc_id || '.pdf' AS archivo FROM documents) GROUP BY md5 HAVING count(*) > 1""")
+SELECT * FROM (SELECT md5, archivo, count(*) OVER (PARTITION BY md5) AS copias, min(archivo) OVER (PARTITION BY md5) AS primero FROM (
+  SELECT md5(text) AS md5, 'f' || doc_id || '.pdf' AS archivo FROM documents)) WHERE copias > 1""")
 def duplicate_files(t):
-    return ops.duplicate_files(t.documents.select(
+    return ops.copies_of(t.documents.select(
         F.md5("text").alias("md5"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("archivo")))
 
 

@@ -24,16 +24,8 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id"}
-BYTES_PER_CORE = 32 * 1024 * 1024
-
-
 class Tables:
-    """Lazy access to the parquet tables of one scale folder.
-
-    A text or vector table too small to give every core a split of its own is spread by its key, so that
-    work per row runs on all cores; a table of normal size is read as its files are split.
-    """
+    """Lazy access to the parquet tables of one scale folder, read as their files are split."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -42,9 +34,4 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        key, cores = SPREAD_KEYS.get(name), self.spark.sparkContext.defaultParallelism
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        if key and size < cores * BYTES_PER_CORE:
-            return df.repartition(cores, key)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

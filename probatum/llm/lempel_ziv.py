@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from probatum.llm.common import BITS, Hashes, batched, edges, id_of, in_order, shares, text_bytes, windows, words
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20  # text whose windows a batch sends, and a reference block holds
 
 
 class Batch:
@@ -59,23 +59,36 @@ def parse(hits: np.ndarray, size: int) -> list[tuple[int, int]]:
     return factors
 
 
-def dedup_substrings(docs: DataFrame, size: int = 13, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def by_owner(owner: np.ndarray, owners: int) -> np.ndarray:
+    """The order that puts the windows of one document next to each other."""
+    return np.argsort(owner.astype(np.uint16) if owners <= 1 << 16 else owner, kind="stable")
+
+
+def dedup_substrings(docs: DataFrame, size: int = 13, batch_bytes: int = BATCH_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans of removed words, kept text) per row; kept words are joined by one space."""
-    spark = docs.sparkSession
-    parts = shares(spark, text_bytes(docs), batch_bytes)
-    dealt = batched(docs, parts)
+    spark, total = docs.sparkSession, text_bytes(docs)
+    parts = shares(spark, total, block_bytes)
+    dealt = batched(docs, shares(spark, total, batch_bytes))
 
-    def send(pdf):
-        batch = Batch(pdf, size)
+    def pieces(batch):
+        """(block, from, to, order, owners' places) of the batch's distinct windows."""
         cut = edges(batch.distinct, parts)
         who, local = np.unique(batch.first, return_inverse=True)
-        rows = [(int(pdf["batch"].iloc[0]), i, batch.distinct[a:b].tobytes(), local[a:b].astype(np.uint32).tobytes(), who.tobytes())
-                for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-        return pd.DataFrame(rows, columns=["batch", "part", "hashes", "local", "who"])
+        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if b > a:
+                yield i, a, b, by_owner(local[a:b], len(who)), who, local[a:b]
+
+    def send(pdf):
+        batch, number, rows = Batch(pdf, size), int(pdf["batch"].iloc[0]), []
+        for i, a, b, order, who, local in pieces(batch):
+            count = np.bincount(local, minlength=len(who))
+            some = np.flatnonzero(count)
+            rows.append((number, i, batch.distinct[a:b][order].tobytes(), who[some].tobytes(), count[some].astype(np.uint32).tobytes()))
+        return pd.DataFrame(rows, columns=["batch", "part", "hashes", "who", "counts"])
 
     def look_up(pdf):
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-        owner = np.concatenate([np.frombuffer(w, np.int64)[np.frombuffer(x, np.uint32)] for w, x in zip(pdf["who"], pdf["local"])])
+        owner = np.concatenate([np.repeat(np.frombuffer(w, np.int64), np.frombuffer(n, np.uint32)) for w, n in zip(pdf["who"], pdf["counts"])])
         order = np.lexsort((owner, h))
         h, owner_sorted = h[order], owner[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -94,10 +107,10 @@ def dedup_substrings(docs: DataFrame, size: int = 13, batch_bytes: int = BATCH_B
         if not len(pdf):
             return pd.DataFrame(columns=["key", "n_words", "spans", "kept"])
         batch = Batch(pdf, size)
-        cut = edges(batch.distinct, parts)
-        known = np.zeros(len(batch.distinct), bool)
-        for part, raw in zip(bits["part"], bits["bits"]):
-            known[cut[part]:cut[part + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8))[:cut[part + 1] - cut[part]]
+        known, answer = np.zeros(len(batch.distinct), bool), dict(zip(bits["part"], bits["bits"]))
+        for i, a, b, order, _, _ in pieces(batch):
+            if i in answer:
+                known[a + order] = np.unpackbits(np.frombuffer(answer[i], np.uint8))[:b - a]
         out = []
         for key, own, hits in zip(batch.keys, batch.words, batch.earlier(known)):
             spans = parse(hits, size)
@@ -108,7 +121,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, batch_bytes: int = BATCH_B
             out.append((key, len(own), spans, b" ".join(kept + own[at:])))
         return pd.DataFrame(out, columns=["key", "n_words", "spans", "kept"])
 
-    blocks = dealt.groupBy("batch").applyInPandas(send, "batch int, part int, hashes binary, local binary, who binary")
+    blocks = dealt.groupBy("batch").applyInPandas(send, "batch int, part int, hashes binary, who binary, counts binary")
     answers = blocks.groupBy("part").applyInPandas(look_up, BITS)
     done = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
         rebuild, "key long, n_words long, spans array<struct<start:long,end:long>>, kept binary")

@@ -95,7 +95,7 @@ class Batch:
             turn = np.concatenate([[0], turn, [len(where)]])
             at = where[turn[:-1]]
             left = np.maximum(at - width + 1, 0)
-            heads.append(keys[at])
+            heads.append(mix(keys[at] + STEP))  # the least of many fingerprints: spread them again over the whole range
             around.append(text.each(left, np.minimum(at + length, len(raw))) + (at - left).astype(np.uint64) * STEP)
             self.starts.append((row, turn))
         head, pair = np.concatenate(heads), np.concatenate(around)

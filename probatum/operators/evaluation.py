@@ -1,7 +1,7 @@
 """Scoring of answers against expectations.
 
 Cases ``(case_id, respuesta, error, fuentes, esperadas array, prohibidas array, articulos array, min_fuentes,
-latencia_ms)``. Phrases and articles per case are short lists kept in the row.
+latencia_ms)``. Phrases and articles per case are short lists kept in the row; a list that is absent is empty.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from ..functions.patterns import UNICODE
 from ..lookups.patterns import CITED_LONG, CITED_SHORT
 
 
+def _given(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+
 def phrase_check(cases: DataFrame) -> DataFrame:
     """Expected phrases found and missing, forbidden phrases found, ignoring case."""
 
@@ -20,8 +24,8 @@ def phrase_check(cases: DataFrame) -> DataFrame:
         return F.contains(F.col("lower_answer"), F.lower(p))
 
     return cases.withColumn("lower_answer", F.lower("respuesta")).select(
-        "*", F.filter("esperadas", holds).alias("encontradas"), F.filter("esperadas", lambda p: ~holds(p)).alias("faltantes"),
-        F.filter("prohibidas", holds).alias("prohibidas_encontradas")).drop("lower_answer")
+        "*", F.filter(_given("esperadas"), holds).alias("encontradas"), F.filter(_given("esperadas"), lambda p: ~holds(p)).alias("faltantes"),
+        F.filter(_given("prohibidas"), holds).alias("prohibidas_encontradas")).drop("lower_answer")
 
 
 def cited_articles(text: Column) -> Column:
@@ -39,13 +43,13 @@ def missing_articles(expected: Column, cited: Column) -> Column:
 
 def eval_pass(cases: DataFrame) -> DataFrame:
     """Every check of a case and whether it passes."""
-    checked = phrase_check(cases).withColumn("citados", cited_articles(F.col("respuesta")))
-    checked = checked.withColumn("articulos_faltantes", missing_articles(F.col("articulos"), F.col("citados")))
+    checked = phrase_check(cases.withColumn("respuesta", F.coalesce("respuesta", F.lit("")))).withColumn("citados", cited_articles(F.col("respuesta")))
+    checked = checked.withColumn("articulos_faltantes", missing_articles(_given("articulos"), F.coalesce("citados", F.array().cast("array<string>"))))
     passed = (
         F.col("error").isNull() & (F.size("faltantes") == 0) & (F.size("prohibidas_encontradas") == 0)
         & (F.size("articulos_faltantes") == 0) & (F.col("fuentes") >= F.coalesce("min_fuentes", F.lit(0)))
         & (F.length("respuesta") > 50))
-    return checked.withColumn("pasa", passed)
+    return checked.withColumn("pasa", F.coalesce(passed, F.lit(False)))
 
 
 def eval_summary(results: DataFrame, run: str = "fecha") -> DataFrame:

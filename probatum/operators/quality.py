@@ -28,19 +28,15 @@ def verification_totals(verified: DataFrame) -> DataFrame:
     return verified.groupBy("estado").agg(F.count("*").alias("n"))
 
 
-def duplicate_files(files: DataFrame, shown: int = 5) -> DataFrame:
-    """Equal content under several names: how many, and the first few names.
-
-    Only counts and the smallest names travel, so a huge group of copies is safe; ``copies_of`` lists all.
-    """
-    names = F.struct("archivo")
-    counts = files.groupBy("md5").agg(F.count("*").alias("copias"), F.min(names).alias("p"), F.max("archivo").alias("ultimo"))
-    return counts.where("copias > 1").select("md5", "copias", F.col("p.archivo").alias("primero"), "ultimo")
+def duplicate_files(files: DataFrame) -> DataFrame:
+    """Contents that stand under several names: ``(md5, copias, primero)``. Only counts and the smallest name travel."""
+    counts = files.groupBy("md5").agg(F.count("*").alias("copias"), F.min("archivo").alias("primero"))
+    return counts.where("copias > 1")
 
 
 def copies_of(files: DataFrame) -> DataFrame:
-    """Every file that has a copy, as rows."""
-    return files.join(duplicate_files(files).select("md5", "copias", "primero"), "md5")
+    """Every file that has a copy, as a row with the number of copies and their first name; no group is gathered."""
+    return files.join(duplicate_files(files), "md5")
 
 
 def canonical_key(tipo: Column, numero: Column) -> Column:

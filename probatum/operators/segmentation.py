@@ -141,10 +141,11 @@ def blocks_of(text: Column, max_tokens: int = 700, least: int = 20, paragraph: s
 
 
 def segment_numbered(
-    docs: DataFrame, text_col: str = "texto", head_chars: int = 3000, max_tokens: int = 700, paragraph: str = PARAGRAPH_BREAK
+    docs: DataFrame, text_col: str = "texto", head_chars: int | None = None, max_tokens: int = 700, paragraph: str = PARAGRAPH_BREAK
 ) -> DataFrame:
     """Circulars: numbered sections if there are at least three numbered lines and two sections, else
-    articles, else blocks. Sections without a gazette date take the document's."""
+    articles, else blocks. Sections without a gazette date take the document's: the last one in its first ``head_chars``
+    characters, by default in all of it."""
     text = F.col(text_col)
 
     def pieces(heading: str, titled: bool) -> Column:
@@ -165,7 +166,7 @@ def segment_numbered(
     chosen = (
         F.when((F.col("numbered") >= 3) & (F.size("by_section") >= 2), F.col("by_section"))
         .when(F.size("by_article") >= 1, F.col("by_article")).otherwise(blocks))
-    published = last_gazette_date(F.substring(text, 1, head_chars))
+    published = last_gazette_date(text if head_chars is None else F.substring(text, 1, head_chars))
     rows = tried.select("doc_id", published.alias("published"), F.posexplode(chosen).alias("orden", "s"))
     return rows.select(
         "doc_id", "orden", "s.numero", "s.titulo", "s.texto",

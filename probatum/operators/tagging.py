@@ -90,14 +90,19 @@ def suspicious_refs(questions: DataFrame) -> DataFrame:
         F.posexplode(F.concat(F.col("keywords"), in_text)).alias("n", "fuente"))
 
     def number(pattern: str) -> Column:
-        return F.try_to_number(F.nullif(F.regexp_extract("fuente", "(?i)" + pattern, 1), F.lit("")), F.lit("9" * 18))
+        return F.regexp_replace(F.nullif(F.regexp_extract("fuente", "(?i)" + pattern, 1), F.lit("")), r"^0+(?=\d)", "")
+
+    def over(digits: Column, most: int) -> Column:
+        """Whether a number of any length is over ``most``: more digits, or as many and later in order."""
+        limit = str(most)
+        return (F.length(digits) > len(limit)) | ((F.length(digits) == len(limit)) & (digits > limit))
 
     law_code = F.col("law_code") | matches(F.col("fuente"), P.MENTIONS_LAW_CODE)
     article, circular = number(P.REF_ARTICLE), number(P.REF_CIRCULAR)
     named = (
-        F.when(article > P.MAX_ARTICLE, F.concat(F.lit("Art. "), article.cast("string")))
-        .when(law_code & (article > P.MAX_ARTICLE_LAW_CODE), F.concat(F.lit("Art. "), article.cast("string"), F.lit(" LGUC")))
-        .when(circular > P.MAX_CIRCULAR, F.concat(F.lit("DDU "), circular.cast("string"))))
+        F.when(over(article, P.MAX_ARTICLE), F.concat(F.lit("Art. "), article))
+        .when(law_code & over(article, P.MAX_ARTICLE_LAW_CODE), F.concat(F.lit("Art. "), article, F.lit(" LGUC")))
+        .when(over(circular, P.MAX_CIRCULAR), F.concat(F.lit("DDU "), circular)))
     return sources.withColumn("referencia", named).where("referencia IS NOT NULL").select("query_id", "n", "fuente", "referencia")
 
 

@@ -19,12 +19,10 @@ from ..functions import vectors as V
 from ..functions.text import tokens
 from .ranking import top_per
 
-MAX_LOCAL_QUERIES = 4096
-"""Query vectors held in every task; a larger set is spread over a grid instead."""
+BLOCK_BYTES = 32 << 20
+"""Query vectors that go to every task at once."""
 
 QUERY_SLICE = 256
-CELL_ROWS = 20_000
-TASKS_PER_CORE = 4
 
 
 @dataclass
@@ -42,6 +40,9 @@ class QueryBlock:
 
     @classmethod
     def build(cls, pdf: pd.DataFrame, **settings) -> QueryBlock:
+        widths = {len(v) for v in pdf["query_vector"]}
+        if len(widths) > 1:
+            raise ValueError(f"query vectors of different widths: {sorted(widths)}")
         matrix = np.array(pdf["query_vector"].tolist(), dtype=np.float64)
         unit, ok = _unit_rows(matrix)
         return cls(
@@ -93,18 +94,16 @@ def vector_topk(
     chunk_ms: str | None = None,
     max_age_ms: int | None = None,
     min_similarity: float | None = None,
-    local_limit: int = MAX_LOCAL_QUERIES,
-    cell_rows: int = CELL_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact cosine top-k of every query: ``(query_id, chunk_id, similarity, rank)``.
 
     With ``type_col`` a query only sees chunks whose type is in its ``types`` array; with ``chunk_ms``
     only chunks younger than ``max_age_ms`` at its ``query_ms``. Chunks without a vector are skipped.
 
-    Up to ``local_limit`` queries (their number is checked first) go to every task and the chunks are
-    scanned in place, without a shuffle: each task emits at most k rows per query, and small splits are read by
-    one task so that few such lists are merged. More queries are
-    split into blocks, and blocks meet in a grid of cells of bounded size spread by hash of the ids.
+    Queries are taken in blocks of at most ``block_bytes``, and every block scans the chunks in place, without a
+    shuffle: each task emits at most k rows per query of the block. One block or many is the same plan, once per
+    block. Chunks whose vectors are not as wide as the queries' stop the job with an error.
     """
     columns = [F.col("chunk_id"), F.transform("embedding", lambda x: x.cast("float")).alias("embedding")]
     if type_col:
@@ -116,19 +115,28 @@ def vector_topk(
     wanted = [c for c in ("query_id", "query_vector", "types", "query_ms") if c in queries.columns]
     asked = queries.select(*wanted).where("query_vector IS NOT NULL")
 
-    head = asked.limit(local_limit + 1).toPandas()
     schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {dict(pool.dtypes)['chunk_id']}, similarity double"
-    if len(head) <= local_limit:
-        tasks = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
-        hits = pool.coalesce(tasks).mapInArrow(_scan_with(head, settings), schema)
-    else:
-        hits = _grid_topk(pool, asked, settings, schema, local_limit, cell_rows)
+    hits = None
+    for block in _blocks(asked, block_bytes):
+        found = pool.mapInArrow(_scan_with(block, settings), schema)
+        hits = found if hits is None else hits.unionByName(found)
     return top_per(hits, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 
+def _blocks(asked: DataFrame, block_bytes: int) -> Iterator[pd.DataFrame]:
+    """The queries, a block of bounded size at a time."""
+    rows, width = asked.agg(F.count("*"), F.max(F.size("query_vector"))).first()
+    parts = max(1, -(-rows * 8 * (width or 1) // block_bytes))
+    for i in range(parts):
+        yield asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toPandas()
+
+
 def _offer_table(block: QueryBlock, batch) -> None:
     ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
     cells = batch.column("embedding")
+    wide = np.unique(cells.value_lengths().to_numpy(zero_copy_only=False))
+    if (wide != block.unit.shape[1]).any():
+        raise ValueError(f"chunk vectors of width {wide.tolist()} meet query vectors of width {block.unit.shape[1]}")
     flat = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     unit, ok = _unit_rows(flat.reshape(len(ids), -1))
     names = batch.schema.names
@@ -149,31 +157,6 @@ def _scan_with(head: pd.DataFrame, settings: dict):
     return scan
 
 
-def _grid_topk(
-    pool: DataFrame, asked: DataFrame, settings: dict, schema: str, local_limit: int, cell_rows: int
-) -> DataFrame:
-    rows = max(1, -(-asked.count() // local_limit))
-    columns = max(1, -(-pool.count() // cell_rows))
-    left = asked.withColumn("row", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn(
-        "cell", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
-    )
-    right = pool.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(columns)).cast("int")).withColumn(
-        "row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
-    )
-
-    def score(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        ids = {name: pa.array([], table.schema.field(name).type) for name, table in (("query_id", queries), ("chunk_id", chunks))}
-        empty = pa.table({**ids, "similarity": pa.array([], pa.float64())})
-        if not queries.num_rows or not chunks.num_rows:
-            return empty
-        block = QueryBlock.build(queries.to_pandas(), **settings)
-        for batch in chunks.to_batches(max_chunksize=10_000):
-            _offer_table(block, batch)
-        return pa.Table.from_pandas(block.best, preserve_index=False) if block.best is not None else empty
-
-    return left.groupBy("row", "cell").cogroup(right.groupBy("row", "cell")).applyInArrow(score, schema)
-
-
 def hyde_combine(pairs: DataFrame) -> DataFrame:
     """Query vector and hypothetical-answer vector to one unit vector."""
     return pairs.withColumn("query_vector", V.blend(F.col("query_vector"), F.col("hyde_vector"))).drop("hyde_vector")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..lookups.norms import HIGH_TYPES
 from ..operators import evidence as checks
 from ..operators import fulltext, fusion, gating, tagging, vectors
-from ..operators.ranking import top_per
 
 
 @dataclass
@@ -65,10 +64,9 @@ def finish(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return checks.append_notes(answers, notes, checks.coherence_check(answers, evidence))
 
 
-def context(questions: DataFrame, evidence: DataFrame, limit: int = 18) -> DataFrame:
-    """Context text of each question from its first passages."""
-    first = top_per(evidence.drop("rank"), ["query_id"], [F.desc("forced"), F.desc("similarity"), F.asc("chunk_id")], limit)
-    return checks.assemble_context(questions, first)
+def context(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Context text of each question from all its passages, in their rank order."""
+    return checks.assemble_context(questions, evidence)
 
 
 def labelled(evidence: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def doc_type_from_key(key):
 def key_parts(key):
     """``(tipo, numero, anio)`` of a document key; the year only for rulings."""
     kind = doc_type_from_key(key)
-    rest = F.array_join(F.slice(F.split(key, "-"), 2, 100), "-")
+    rest = F.array_join(F.slice(F.split(key, "-"), F.lit(2), F.greatest(F.size(F.split(key, "-")) - 1, F.lit(0))), "-")
     number = (
         F.when(kind == "DDU_ESPECIFICA", F.regexp_replace(key, "^DDU-ESP-", ""))
         .when(kind == "CGR", F.regexp_replace(rest, "-[^-]*$", "")).otherwise(rest))

@@ -84,7 +84,9 @@ def subscription_latest(events: DataFrame) -> DataFrame:
 
 
 def profile_from_signup(profiles: DataFrame, signups: DataFrame) -> DataFrame:
-    """New profiles of users ``(id, email, metadata json)`` that have none: name from the metadata, else from the address."""
-    fresh = signups.join(profiles.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    """New profiles of users ``(id, email, metadata json)`` that have none: name from the metadata, else from the address.
+    Of several signups of one user the least by address and metadata counts."""
+    known = signups.join(profiles.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("email", "metadata")).alias("s"))
+    fresh = known.select("id", "s.*")
     name = F.coalesce(F.get_json_object("metadata", "$.nombre"), F.split("email", "@")[0])
     return fresh.select("id", "email", name.alias("nombre"), F.lit("beta").alias("plan"))

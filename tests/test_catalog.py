@@ -24,7 +24,7 @@ def duck():
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    assert "CartesianProduct" not in plan(df)
+    assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
     if name not in SQL:
         assert got
         return
@@ -45,8 +45,7 @@ def plan(df):
 def test_row_work_needs_no_shuffle(spark, name):
     text = plan(QUERIES[name](spark, SF))
     physical = text.split("== Physical Plan ==")[1]
-    # the only exchange is the spreading of a tiny table by its key
-    assert physical.count("Exchange") <= 1
+    assert "Exchange" not in physical
     assert "Python" not in physical and "Pandas" not in physical
 
 

@@ -137,8 +137,8 @@ def test_topk_scan_and_grid_agree_with_brute_force(rows):
     scores = np.round(unit(asked) @ unit(chunks.astype(float)).T, 6)
     want = {i: [int(j) for j in sorted((j for j in range(300) if kinds[j % 3] in ["a", "b"][: 1 + i % 2]), key=lambda j: (-scores[i, j], j))[:5]]
             for i in range(20)}
-    for limit in (100, 6):
-        hits = vectors.vector_topk(c, q, 5, type_col="tipo", local_limit=limit, cell_rows=70)
+    for block_bytes in (1 << 20, 7 * 8 * 8):  # one block, and three
+        hits = vectors.vector_topk(c, q, 5, type_col="tipo", block_bytes=block_bytes)
         got = {}
         for r in hits.orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.chunk_id)
@@ -148,11 +148,18 @@ def test_topk_scan_and_grid_agree_with_brute_force(rows):
 def test_topk_with_string_ids(rows):
     c = rows([(f"c{i}", [float(i), 1.0]) for i in range(30)], "chunk_id string, embedding array<float>")
     q = rows([("q1", [1.0, 0.0]), ("q2", [0.0, 1.0]), ("q3", [1.0, 1.0])], "query_id string, query_vector array<double>")
-    for limit in (10, 2):
-        got = {(r.query_id, r["rank"]): r.chunk_id for r in vectors.vector_topk(c, q, 2, local_limit=limit, cell_rows=8).collect()}
+    for block_bytes in (1 << 20, 2 * 8):
+        got = {(r.query_id, r["rank"]): r.chunk_id for r in vectors.vector_topk(c, q, 2, block_bytes=block_bytes).collect()}
         assert got[("q1", 1)] == "c29" and got[("q2", 1)] == "c0" and got[("q3", 1)] == "c1" and len(got) == 6
 
 
+def test_topk_refuses_vectors_of_other_widths(rows):
+    q = rows([(1, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    ragged = rows([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, [1.0, 2.0])], "chunk_id long, embedding array<float>")
+    with pytest.raises(Exception, match="width"):
+        vectors.vector_topk(ragged, q, 1).collect()
+
+
 def test_bucket_candidates_find_most_neighbours(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(400, 16))
