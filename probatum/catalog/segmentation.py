@@ -129,7 +129,7 @@ WHERE seg > 0 GROUP BY doc_id, seg HAVING length({sql_strip("string_agg(line, ch
 
 @query("segment_numbered", d.with_("statutes_circular", f"""
 SELECT p.doc_id, {_ORDER.replace('doc_id', 'p.doc_id').replace('seg', 'p.seg')}, p.numero, p.titulo, p.texto,
-  coalesce({sql_gazette('p.texto')}, {sql_gazette('left(s.texto, 3000)')}) AS vigencia_desde
+  coalesce({sql_gazette('p.texto')}, {sql_gazette('s.texto')}) AS vigencia_desde
 FROM chosen p JOIN statutes_circular s ON s.doc_id = p.doc_id""", {
     "lines": """SELECT doc_id, unnest(string_split(texto, chr(10))) AS line, generate_subscripts(string_split(texto, chr(10)), 1) AS i
 FROM statutes_circular""",
