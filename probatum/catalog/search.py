@@ -97,9 +97,9 @@ SELECT term, count(*) AS chunks, CAST(sum(tf) AS BIGINT) AS occurrences, min(chu
 FROM postings GROUP BY term""", {k: INDEX[k] for k in ("words", "postings")}))
 def fts_index(t):
     index = ops.build_index(d.chunk_texts(t))
-    counted = index.terms.groupBy("term").agg(
-        F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"), F.min("chunk_id").alias("first_chunk"))
-    return counted.join(index.positions.groupBy("term").agg(F.sum("pos").alias("position_sum")), "term")
+    counted = index.positions.groupBy("term").agg(
+        F.count("*").alias("occurrences"), F.min("chunk_id").alias("first_chunk"), F.sum("pos").alias("position_sum"))
+    return counted.join(index.vocabulary.withColumnRenamed("df", "chunks"), "term")
 
 
 @query("fts_search", d.with_("chunk_texts", ranked(20), INDEX))
@@ -124,6 +124,31 @@ def fts_fallback(t):
     return ops.fts_fallback(index_of(t), d.text_queries(t))
 
 
+def _padded(words: str) -> str:
+    return f"' ' || array_to_string({words}, ' ') || ' '"
+
+
+@query("fts_grammar", d.with_("chunk_texts", """
+SELECT query_id, chunk_id FROM w, held WHERE CASE shape
+  WHEN 0 THEN contains(held.t, ' ' || a || ' ') AND NOT contains(held.t, ' ' || b || ' ' || c || ' ')
+  WHEN 1 THEN contains(held.t, ' ' || a || ' ' || b || ' ') OR contains(held.t, ' ' || c || ' ')
+  WHEN 2 THEN NOT contains(held.t, ' ' || a || ' ')
+  ELSE contains(held.t, ' ' || a || ' ') AND contains(held.t, ' ' || b || ' ') END""", {
+    "w": f"""
+SELECT item_id AS query_id, item_id % 4 AS shape, w[1] AS a, w[2] AS b, w[3] AS c FROM (
+  SELECT item_id, {sql_tokens('text')} AS w FROM benchmark) WHERE len(w) > 2""",
+    "held": f"SELECT chunk_id, {_padded('x')} AS t FROM (SELECT chunk_id, {sql_tokens('texto')} AS x FROM chunk_texts) WHERE len(x) > 0"}))
+def fts_grammar(t):
+    """Excluded phrases, a phrase or a word, exclusions only, and a literal bar, from the first words of each passage."""
+    w = t.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).alias("shape"), ops.tokens(F.col("text")).alias("w"))
+    a, b, c = (F.get("w", i) for i in range(3))
+    text = (F.when(F.col("shape") == 0, F.concat(a, F.lit(' -"'), b, F.lit(" "), c, F.lit('"')))
+            .when(F.col("shape") == 1, F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('" or '), c))
+            .when(F.col("shape") == 2, F.concat(F.lit("-"), a)).otherwise(F.concat(a, F.lit("|"), b)))
+    asked = w.where("size(w) > 2").select("query_id", text.alias("query_text"))
+    return ops.fts_search(index_of(t), asked, None).select("query_id", "chunk_id")
+
+
 @query("ilike_search", d.with_("norms", """
 SELECT doc_id, tipo, numero, titulo FROM norms
 WHERE (lower(numero) LIKE '%tion%' OR lower(titulo) LIKE '%tion%' OR lower(tipo) LIKE '%tion%' OR lower(dominio) LIKE '%tion%'

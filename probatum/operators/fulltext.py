@@ -1,158 +1,268 @@
 """Full-text search over a stored index, many queries at once.
 
-The index is kept by chunk: ``terms (chunk_id, chunk_terms, term, tf)`` for matching and ranking, ``positions
-(chunk_id, term, pos)`` read only for phrases, ``vocabulary (term, df)`` and one row of ``stats``. Query terms are
-few and go to the chunks. All terms of a chunk lie in one task, so matches are counted there and only matching
-(query, chunk) pairs are shuffled; a very common term is spread like the chunks are. Ranking is BM25 in
-closed form.
+The index has one row per chunk, its folded words in order, beside ``vocabulary (term, df)`` and one row of ``stats``.
+Queries go to the tasks in blocks of bounded size, and each block scans the rows in place: a task finds the rarest slot of a
+query among its chunks, intersects the others, tests phrases on the words themselves, and emits at most k complete
+matches per query. Nothing else is shuffled, and a word that every chunk holds costs no more than its scan. Ranking is
+BM25 in closed form.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import any_match
-from ..functions.text import strip, tokens
+from ..functions.text import tokens
 from ..lookups.patterns import EXACT_TERMS
-from ..session import materialise
 from .ranking import top_per
 
 K1, B = 1.2, 0.75
-MASK_BITS = 62
+BLOCK_BYTES = 16 << 20
+"""Query text that goes to every task at once."""
 
 
 @dataclass
 class Index:
-    """Terms and positions of a set of chunks, with the number of chunks per term and in all."""
+    """Words of a set of chunks ``(chunk_id, words array)``, with the number of chunks per term and in all.
 
-    terms: DataFrame
-    positions: DataFrame
+    A stop word leaves an empty place, so that phrases keep their distances.
+    """
+
+    chunks: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
 
     @classmethod
-    def of(cls, terms: DataFrame, positions: DataFrame) -> Index:
-        sizes = terms.groupBy("chunk_id").agg(F.max("chunk_terms").alias("n"))
-        stats = sizes.agg(F.count("*").alias("chunks"), F.avg("n").alias("mean_terms"))
-        return cls(terms, positions, terms.groupBy("term").agg(F.count("*").alias("df")), stats)
+    def of(cls, chunks: DataFrame) -> Index:
+        stats = chunks.agg(F.count("*").alias("chunks"), F.avg(F.size("words")).alias("mean_terms"))
+        return cls(chunks, cls._terms(chunks).groupBy("term").agg(F.count("*").alias("df")), stats)
+
+    @staticmethod
+    def _terms(chunks: DataFrame) -> DataFrame:
+        return chunks.select("chunk_id", F.explode(F.array_distinct("words")).alias("term")).where("term <> ''")
+
+    @property
+    def terms(self) -> DataFrame:
+        """Every term of every chunk once: ``(chunk_id, term)``."""
+        return self._terms(self.chunks)
+
+    @property
+    def positions(self) -> DataFrame:
+        """Every word where it stands: ``(chunk_id, term, pos)``."""
+        return self.chunks.select("chunk_id", F.posexplode("words").alias("pos", "term")).where("term <> ''")
 
     def write(self, path: str) -> Index:
-        spark = self.terms.sparkSession
-        for name, table in (("terms", self.terms), ("positions", self.positions)):
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-        stored = Index.of(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/positions"))
+        spark = self.chunks.sparkSession
+        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        stored = Index.of(spark.read.parquet(f"{path}/chunks"))
         stored.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
         stored.stats.write.mode("overwrite").parquet(f"{path}/stats")
         return Index.read(spark, path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("terms", "positions", "vocabulary", "stats")])
-
-    def only(self, chunks: DataFrame) -> Index:
-        """The index of some chunks ``(chunk_id)``."""
-        return Index.of(self.terms.join(chunks, "chunk_id", "left_semi"), self.positions.join(chunks, "chunk_id", "left_semi"))
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vocabulary", "stats")])
 
 
 def build_index(chunks: DataFrame, text_col: str = "texto", stop_words: Sequence[str] = ()) -> Index:
-    """Index of chunks ``(chunk_id, text)``. One shuffle, of the texts by chunk; terms are counted where they lie."""
-    spread = chunks.select("chunk_id", F.col(text_col).alias("text")).repartition("chunk_id")
-    words = spread.select("chunk_id", tokens(F.col("text")).alias("words"))
-    placed = words.select("chunk_id", F.size("words").alias("chunk_terms"), F.posexplode("words").alias("pos", "term"))
+    """Index of chunks ``(chunk_id, text)``, worked out where they lie. Chunks without words are not in it."""
+    words = tokens(F.col(text_col))
     if stop_words:
-        placed = placed.where(~F.col("term").isin(*stop_words))
-    terms = placed.groupBy("chunk_id", "chunk_terms", "term").agg(F.count("*").cast("int").alias("tf"))
-    return Index.of(terms, placed.select("chunk_id", "term", "pos"))
+        words = F.transform(words, lambda w: F.when(w.isin(*stop_words), F.lit("")).otherwise(w))
+    return Index.of(chunks.select("chunk_id", words.alias("words")).where("size(words) > 0"))
+
+
+Unit = tuple[tuple[int, str], ...]
+"""A word or a phrase: its terms with their distances from the first."""
 
 
-def query_terms(queries: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
-    """Search text to required slots: ``(query_id, slot, kind, j, term)``.
+@dataclass
+class Query:
+    """What a search text asks for: every slot by one of its units, and none of ``without``."""
+
+    query_id: object
+    slots: list[list[Unit]] = field(default_factory=list)
+    without: list[Unit] = field(default_factory=list)
+    types: set | None = None
+
+    @property
+    def terms(self) -> list[str]:
+        """The terms that score, each once."""
+        return list(dict.fromkeys(term for slot in self.slots for unit in slot for _, term in unit))
+
+
+def read_query(query_id, parts: Sequence[str], folded: Sequence[Sequence[str]], stop_words: Sequence[str] = (), types=None) -> Query:
+    """A search text, already cut into its parts with the folded words of each, in one pass.
+
+    Words are required; ``"a b"`` is a phrase whose words must be adjacent; ``a or b`` asks for either side, words and
+    phrases alike, and binds tighter than the blank; ``-`` before a word or phrase excludes it. A text of exclusions only
+    finds everything else.
+    """
+    query, either = Query(query_id, types=types), False
+    for i, (part, found) in enumerate(zip(parts, folded)):
+        if part.lower() == "or":
+            either = bool(query.slots) and i > 0
+            continue
+        negated = part.startswith("-") and len(part) > 1
+        quoted = part.lstrip("-").startswith('"') and part.endswith('"')
+        terms = [(j, term) for j, term in enumerate(found) if term not in stop_words]
+        units: list[Unit] = [tuple(terms)] if quoted and terms else [((0, term),) for _, term in terms]
+        if units and negated:
+            query.without += units
+        elif units and either:
+            query.slots[-1] += units
+        elif units and i + 1 < len(parts) and parts[i + 1].lower() == "or":
+            query.slots.append(units)
+        else:
+            query.slots += [[unit] for unit in units]
+        either = False
+    return query
+
+
+def _blocks(queries: DataFrame, stop_words: Sequence[str], block_bytes: int) -> Iterator[list[Query]]:
+    """The queries, read, a block of bounded size at a time."""
+    parts = max(1, -(-(queries.agg(F.sum(F.octet_length("query_text"))).first()[0] or 0) // block_bytes))
+    cut = F.regexp_extract_all("query_text", F.lit(r'(-?"[^"]*"|\S+)'), F.lit(1))
+    columns = ["query_id", cut.alias("parts"), F.transform(cut, tokens).alias("folded")] + (["types"] if "types" in queries.columns else [])
+    for i in range(parts):
+        rows = queries.where(F.col("query_text").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).select(*columns).collect()
+        found = [read_query(r.query_id, r.parts, r.folded, stop_words, set(r.types) if "types" in queries.columns else None) for r in rows]
+        yield [q for q in found if q.slots or q.without]
+
+
+class Page:
+    """The words of a batch of chunks, with the places of each term that some query asks for."""
+
+    def __init__(self, batch: pa.RecordBatch, asked: pa.Array):
+        self.ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+        if self.ids.dtype == object:
+            self.ids = np.array(self.ids.tolist())
+        lists = batch.column("words")
+        self.sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.chunk_of = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.codes = pc.fill_null(pc.index_in(lists.flatten(), asked), -1).to_numpy(zero_copy_only=False)
+        order = np.argsort(self.codes, kind="stable")
+        cut = np.searchsorted(self.codes[order], np.arange(len(asked) + 1))
+        self.places = [order[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        self.types = batch.column("type").to_pylist() if "type" in batch.schema.names else None
+        self.known: dict = {}
+
+    def holders(self, unit: tuple[tuple[int, int], ...]) -> np.ndarray:
+        """Chunks that hold a unit, ascending."""
+        if unit not in self.known:
+            first, code = min(unit, key=lambda u: len(self.places[u[1]]))
+            start = self.places[code] - first
+            start = start[(start >= 0) & (start + unit[-1][0] < len(self.codes))]
+            for j, other in unit:
+                start = start[self.codes[start + j] == other]
+            self.known[unit] = np.unique(self.chunk_of[start][self.chunk_of[start] == self.chunk_of[start + unit[-1][0]]])
+        return self.known[unit]
+
+    def counts(self, code: int) -> np.ndarray:
+        """How often each chunk holds a term."""
+        if code not in self.known:
+            self.known[code] = np.bincount(self.chunk_of[self.places[code]], minlength=len(self.ids))
+        return self.known[code]
+
+
+class Search:
+    """A block of queries over the pages of one task: the best k matches of each so far."""
+
+    def __init__(self, queries: list[Query], weights: dict[str, float], mean: float, k: int | None):
+        self.queries, self.mean, self.k = queries, mean, k
+        terms = list(dict.fromkeys(t for q in queries for unit in [*(u for s in q.slots for u in s), *q.without] for _, t in unit))
+        self.asked, code = pa.array(terms, pa.string()), {t: i for i, t in enumerate(terms)}
+        coded = lambda unit: tuple((j, code[t]) for j, t in unit)
+        self.plans = [([[coded(u) for u in s] for s in q.slots], [coded(u) for u in q.without], [(code[t], weights.get(t, 0.0)) for t in q.terms])
+                      for q in queries]
+        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
+
+    def read(self, page: Page) -> None:
+        for i, (query, (slots, without, terms)) in enumerate(zip(self.queries, self.plans)):
+            rows = np.arange(len(page.ids))
+            if query.types is not None:
+                rows = np.array([r for r in rows.tolist() if page.types[r] in query.types], np.int64)
+            for slot in sorted(slots, key=lambda s: sum(min(len(page.places[c]) for _, c in u) for u in s)):
+                found = [page.holders(u) for u in slot]
+                rows = np.intersect1d(rows, found[0] if len(found) == 1 else np.unique(np.concatenate(found)), assume_unique=True)
+                if not len(rows):
+                    break
+            for unit in without:
+                rows = np.setdiff1d(rows, page.holders(unit), assume_unique=True)
+            if len(rows):
+                score = np.zeros(len(rows))
+                for code, weight in terms:
+                    tf = page.counts(code)[rows]
+                    score += weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * page.sizes[rows] / self.mean))
+                self._keep(i, page.ids[rows], np.round(score, 6))
+
+    def _keep(self, i: int, ids: np.ndarray, score: np.ndarray) -> None:
+        if self.best[i] is not None:
+            ids, score = np.concatenate([self.best[i][0], ids]), np.concatenate([self.best[i][1], score])
+        if self.k is not None and len(ids) > self.k:
+            first = np.lexsort((ids, -score))[: self.k]
+            ids, score = ids[first], score[first]
+        self.best[i] = ids, score
+
+    def found(self) -> Iterator[pd.DataFrame]:
+        for query, best in zip(self.queries, self.best):
+            if best is not None:
+                yield pd.DataFrame({"query_id": query.query_id, "chunk_id": best[0], "score": best[1]})
+
+
+def fts_search(
+    index: Index, queries: DataFrame, k: int | None = 20, *, stop_words: Sequence[str] = (), within: DataFrame | None = None,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Chunks matching every slot of a query, with BM25 ``score`` (and ``rank`` when ``k`` is given).
 
-    Words are required; ``a or b`` makes one slot with alternatives; ``"a b"`` is a phrase whose words
-    must be adjacent; ``-a`` excludes.
+    ``within`` restricts the search to some chunks ``(chunk_id)``; with a column ``type`` there, a query with an array
+    ``types`` sees only chunks of those types.
     """
-    text = F.col("query_text")
-    unquoted = F.regexp_replace(text, '"[^"]*"', " ")
-    plain = F.regexp_replace(unquoted, r"(^|\s)-\S+", " ")
-    joined = F.regexp_replace(strip(plain), r"(?i)\s+or\s+", "|")
-
-    def rows(parts: Column, kind: str) -> DataFrame:
-        return (
-            queries.select("query_id", F.posexplode(parts).alias("no", "part"))
-            .select("query_id", "no", "part", F.posexplode(tokens(F.col("part"))).alias("j", "term"))
-            .withColumn("kind", F.lit(kind))
-        )
-
-    words = rows(F.filter(F.split(joined, r"\s+"), lambda w: w != ""), "word").withColumn(
-        "slot", F.when(F.contains("part", F.lit("|")), F.concat(F.lit("a:"), "no")).otherwise(F.concat(F.lit("t:"), "term")))
-    phrases = rows(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), "phrase").withColumn(
-        "slot", F.concat(F.lit("p:"), "no"))
-    excluded = rows(F.regexp_extract_all(unquoted, F.lit(r"(?:^|\s)-(\S+)"), F.lit(1)), "not").withColumn(
-        "slot", F.lit("n"))
-    out = (
-        words.withColumn("j", F.lit(0)).unionByName(phrases).unionByName(excluded.withColumn("j", F.lit(0)))
-        .select("query_id", "slot", "kind", "j", "term").distinct()
-    )
-    return out.where(~F.col("term").isin(*stop_words)) if stop_words else out
-
-
-def fts_search(index: Index, queries: DataFrame, k: int | None = 20, *, stop_words: Sequence[str] = ()) -> DataFrame:
-    """Chunks matching every slot of a query, with BM25 ``score`` (and ``rank`` when ``k`` is given)."""
-    asked = materialise(query_terms(queries, stop_words), "query-terms")
-    positive, either = F.col("kind") != "not", F.col("slot").startswith("a:")
-    # every word outside alternatives is one unit to match; a slot of alternatives is one bit of a mask
-    slots = asked.groupBy("query_id", "slot", "term").agg(F.max(~positive).alias("excluded"))
-    by_query = Window.partitionBy("query_id")
-    numbered = slots.withColumn("alt", F.when(either, F.dense_rank().over(by_query.orderBy(~either, "slot")) - 1)).withColumn(
-        "home", F.min(F.when(~F.col("excluded"), F.col("slot"))).over(Window.partitionBy("query_id", "term")))
-    unit = (~F.col("excluded") & F.col("alt").isNull()).cast("int")
-    needed = numbered.groupBy("query_id").agg(F.sum(unit).alias("units"), (F.coalesce(F.max("alt") + 1, F.lit(0))).alias("alts")).join(
-        asked.where("kind = 'phrase'").groupBy("query_id").agg(F.count("*").alias("phrase_words")), "query_id", "left")
-    masks = 1 + (numbered.agg(F.coalesce(F.max("alt"), F.lit(0)).alias("n")).first()["n"] // MASK_BITS)
-
-    def mask(i: int) -> Column:
-        bit = F.expr(f"shiftleft(1L, CAST(alt - {i * MASK_BITS} AS INT))")
-        return F.when(F.col("alt").between(i * MASK_BITS, (i + 1) * MASK_BITS - 1), bit).otherwise(F.lit(0).cast("long")).alias(f"m{i}")
-
-    total, mean = index.stats.select("chunks").scalar(), index.stats.select("mean_terms").scalar()
-    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # a term counts once per query, in its first slot, however many slots ask for it
-    weight = F.when(F.col("home") == F.col("slot"), idf).otherwise(0.0)
-    wanted = numbered.join(index.vocabulary, "term").select(
-        "query_id", "term", "excluded", unit.alias("unit"), weight.alias("weight"), *[mask(i) for i in range(masks)])
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_terms") / mean))
-    found = index.terms.join(wanted, "term").groupBy("query_id", "chunk_id").agg(
-        F.sum("unit").alias("matched"), F.max("excluded").alias("excluded"), F.round(F.sum(F.col("weight") * tf), 6).alias("score"),
-        *[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(masks)])
-    bits = sum((F.bit_count(f"m{i}") for i in range(1, masks)), F.bit_count("m0"))
-    kept = found.where(~F.col("excluded")).join(needed, "query_id").where((F.col("matched") == F.col("units")) & (bits == F.col("alts")))
-    kept = kept.select("query_id", "chunk_id", "score", "phrase_words")
-    words = asked.where("kind = 'phrase'")
-    if words.isEmpty():
-        scored = kept.drop("phrase_words")
-    else:
-        kept = materialise(kept, "term-matches")
-        complete = _with_phrases(kept.where("phrase_words > 0").select("query_id", "chunk_id"), words, index)
-        checked = kept.join(complete.withColumn("whole", F.lit(True)), ["query_id", "chunk_id"], "left")
-        scored = checked.where("phrase_words IS NULL OR whole").select("query_id", "chunk_id", "score")
+    pool = index.chunks if within is None else index.chunks.join(within, "chunk_id")
+    kinds = {name: dict(df.dtypes)[name] for df, name in ((queries, "query_id"), (index.chunks, "chunk_id"))}
+    total, mean = index.stats.select("chunks", "mean_terms").first()
+    out = None
+    for block in _blocks(queries if within is not None else queries.drop("types"), stop_words, block_bytes):
+        found = pool.mapInArrow(_scan_with(block, _weights(index, block, total), mean or 1.0, k), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+        out = found if out is None else out.unionByName(found)
     if k is None:
-        return scored
-    return top_per(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def _with_phrases(candidates: DataFrame, words: DataFrame, index: Index) -> DataFrame:
-    """Candidates that hold all phrases of their query: every word ``j`` at the same start ``pos - j``."""
-    sizes = words.groupBy("query_id", "slot").agg(F.count("*").alias("size"))
-    phrases = sizes.groupBy("query_id").agg(F.count("*").alias("phrases"))
-    placed = candidates.join(words.select("query_id", "slot", "j", "term"), "query_id").join(index.positions, ["term", "chunk_id"])
-    starts = placed.groupBy("query_id", "chunk_id", "slot", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("n"))
-    whole = starts.join(sizes, ["query_id", "slot"]).where("n = size").select("query_id", "chunk_id", "slot").distinct()
-    complete = whole.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n")).join(phrases, "query_id").where("n = phrases")
-    return complete.select("query_id", "chunk_id")
+        return out
+    return top_per(out, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def _weights(index: Index, block: list[Query], total: int) -> dict[str, float]:
+    """The rarity of the block's terms."""
+    terms = sorted({t for q in block for t in q.terms})
+    if not terms:
+        return {}
+    asked = index.vocabulary.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    return {r.term: float(np.log(1 + (total - r.df + 0.5) / (r.df + 0.5))) for r in index.vocabulary.join(asked, "term").collect()}
+
+
+def _scan_with(block: list[Query], weights: dict[str, float], mean: float, k: int | None):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(block, weights, mean, k)
+        for batch in batches:
+            if block and batch.num_rows:
+                search.read(Page(batch, search.asked))
+            if k is None:
+                for frame in search.found():
+                    yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+                search.best = [None] * len(block)
+        if k is not None:
+            for frame in search.found():
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return scan
 
 
 def fts_fallback(index: Index, queries: DataFrame, k: int = 18) -> DataFrame:

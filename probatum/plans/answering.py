@@ -34,7 +34,9 @@ def retrieve(questions: DataFrame, corpus: Corpus, variants: DataFrame | None =
     high = [t.upper() for t in HIGH_TYPES]
     first = vectors.vector_topk(pool.where(F.col("tipo").isin(high)), asked.drop("types"), 45)
     second = vectors.vector_topk(pool, asked, 75, type_col="tipo")
-    layers = [_layer(first, 15, questions, pool, index), _layer(second, 25, questions, pool, index)]
+    layers = [_layer(first, 15, questions, pool.where(F.col("tipo").isin(high)).select("chunk_id"), index),
+              _layer(second, 25, questions.join(asked.select("query_id", "types"), "query_id"),
+                     pool.select("chunk_id", F.col("tipo").alias("type")), index)]
     if variants is not None:
         layers.append(fusion.multi_query(variants, 20))
     candidates = fusion.layered_candidates(layers)
@@ -48,13 +50,13 @@ def retrieve(questions: DataFrame, corpus: Corpus, variants: DataFrame | None =
 
 
 def _layer(wide: DataFrame, k: int, questions: DataFrame, pool: DataFrame, index: fulltext.Index | None) -> DataFrame:
+    """The best k of a layer. Its text half sees what its vector half sees: the chunks of ``pool``, and of the types of each question."""
     plain = wide.where(F.col("rank") <= k)
     if index is None:
         return plain
-    usable = index.only(pool.select("chunk_id"))
     exact = questions.select("query_id", fulltext.has_exact_terms(F.col("texto")).alias("exact"))
-    searched = questions.join(exact.where("exact"), "query_id", "left_semi").select("query_id", F.col("texto").alias("query_text"))
-    hybrid = fusion.hybrid_weighted(wide, fulltext.fts_search(usable, searched, 3 * k), k, weight=0.6)
+    searched = questions.join(exact.where("exact"), "query_id", "left_semi").withColumnRenamed("texto", "query_text")
+    hybrid = fusion.hybrid_weighted(wide, fulltext.fts_search(index, searched, 3 * k, within=pool), k, weight=0.6)
     return fusion.hybrid_or_vector(hybrid, plain, exact).drop("source")
 
 

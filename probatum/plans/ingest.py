@@ -43,9 +43,7 @@ class Corpus:
 
     def index(self) -> Index:
         """Full-text index of the current chunks."""
-        current = self.chunks().select("chunk_id")
-        terms, positions = (self._table(f"index/*/{name}") for name in ("terms", "positions"))
-        return Index.of(terms.join(current, "chunk_id", "left_semi"), positions.join(current, "chunk_id", "left_semi"))
+        return Index.of(self._table("index/*/chunks").join(self.chunks().select("chunk_id"), "chunk_id", "left_semi"))
 
 
 def ingest(
