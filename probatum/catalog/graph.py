@@ -115,17 +115,24 @@ def dependency_list(t):
 
 
 @query("seed_relations", d.with_("norms", """
-SELECT s.origen, s.destino, s.tipo_relacion FROM seeds s
+SELECT s.origen, s.destino, s.tipo_relacion, min(s.descripcion) AS descripcion, min(s.articulos) AS articulos, true AS verificado FROM seeds s
 WHERE EXISTS (SELECT 1 FROM norms n WHERE n.doc_id = s.origen) AND EXISTS (SELECT 1 FROM norms n WHERE n.doc_id = s.destino)
-  AND s.origen % 4 <> 0""", {
-    "seeds": """SELECT doc_id AS origen, doc_id * 2 AS destino, 'reglamento_de' AS tipo_relacion FROM norms"""}))
+  AND NOT (s.tipo_relacion = 'reglamento_de' AND s.origen % 4 = 0 AND s.destino = s.origen * 2) GROUP BY ALL""", {
+    "seeds": """
+SELECT doc_id AS origen, doc_id * 2 AS destino, 'reglamento_de' AS tipo_relacion, 'semilla ' || doc_id AS descripcion,
+  '1,' || (doc_id % 9) AS articulos FROM norms
+UNION ALL SELECT doc_id, 1, 'remite_a', 'por tipo', '3' FROM norms WHERE tipo = 'LEY'"""}))
 def seed_relations(t):
     n, i = d.norms(t), F.col("doc_id")
     seeds = n.select(
         F.concat(F.lit("numero:"), (i + 100).cast("string")).alias("origen_sel"),
-        F.concat(F.lit("numero:"), (i * 2 + 100).cast("string")).alias("destino_sel"), F.lit("reglamento_de").alias("tipo_relacion"))
+        F.concat(F.lit("numero:"), (i * 2 + 100).cast("string")).alias("destino_sel"), F.lit("reglamento_de").alias("tipo_relacion"),
+        F.concat(F.lit("semilla "), i.cast("string")).alias("descripcion"), F.array(F.lit("1"), (i % 9).cast("string")).alias("articulos"))
+    by_type = n.where(i == 1).select(
+        F.lit("tipo:LEY").alias("origen_sel"), F.lit("numero:101").alias("destino_sel"), F.lit("remite_a").alias("tipo_relacion"),
+        F.lit("por tipo").alias("descripcion"), F.array(F.lit("3")).alias("articulos"))
     existing = n.where(i % 4 == 0).select(i.alias("origen"), (i * 2).alias("destino"), F.lit("reglamento_de").alias("tipo_relacion"))
-    return ops.seed_relations(seeds, n, existing)
+    return ops.seed_relations(seeds.unionByName(by_type), n, existing).withColumn("articulos", F.array_join("articulos", ","))
 
 
 @query("normalize_ref", d.with_("passages", f"""

@@ -13,26 +13,47 @@ from .stateful import DAY_MS, LIMIT_SQL
 from . import stores  # noqa: F401  (its check SQL is shared)
 
 
-def stream_of(t, name: str, files_per_batch: int = 4, parts: int = 8, order: str | None = None):
-    """A table as a stream of several micro-batches: its rows are laid out as files and read file by file."""
+SLICES = 4
+
+
+def stream_of(t, name: str, order: str | None = None):
+    """A table as a stream of several micro-batches.
+
+    With ``order`` the rows arrive in slices of time, each written after the one before, as a log would be: state is carried from
+    batch to batch and no row is late. Without, they arrive in any order.
+    """
     table = getattr(t, name)
     path = scratch_path(t.spark, f"feed-{name}")
-    laid = table.repartitionByRange(parts, order) if order else table.repartition(parts)
-    laid.write.parquet(path)
-    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    if order is None:
+        table.repartition(SLICES).write.parquet(path)
+    else:
+        low, high = table.agg(F.min(order), F.max(order)).first()
+        edges = [low + (high - low) * i / SLICES for i in range(1, SLICES)]
+        for start, end in zip([None, *edges], [*edges, None]):
+            after = F.lit(True) if start is None else F.col(order) >= F.lit(start)
+            before = F.lit(True) if end is None else F.col(order) < F.lit(end)
+            table.where(after & before).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def several_batches(query) -> None:
+    """The run must have had more than one batch with rows."""
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) > 1, "the stream was one batch"
 
 
 def run_to_end(stream, t, label: str, mode: str = "append"):
     """Run a stream over all there is, into a table in the shared folder."""
     out = scratch_path(t.spark, label)
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-progress")
-    writer.option("path", out).trigger(availableNow=True).start().awaitTermination()
+    running = writer.option("path", out).trigger(availableNow=True).start()
+    running.awaitTermination()
+    several_batches(running)
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
 @query("rate_limit_stream", LIMIT_SQL)
 def rate_limit_stream(t):
-    events = stream_of(t, "events", files_per_batch=8, order="ts")
+    events = stream_of(t, "events", order="ts")
     asked = events.select(F.col("user_id").cast("string").alias("client"), "event_id", jobs.utc_timestamp("ts").alias("ts"))
     return run_to_end(jobs.rate_limit_stream(asked, 5, DAY_MS), t, "rate-limit")
 
@@ -50,17 +71,20 @@ def subscription_latest_stream(t):
     table = jobs.KeyedTable(path, schema, ["user_id"], ["at", "event_id"])
     events = subscription_events(Feed).select("event_id", "at", "user_id", "type", "status", "sub_id", "period_end")
     known = jobs.upsert_into(table, lambda df: df.where("user_id IS NOT NULL"))
-    events.writeStream.foreachBatch(known).option("checkpointLocation", f"{path}-progress").trigger(
-        availableNow=True).start().awaitTermination()
+    running = events.writeStream.foreachBatch(known).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+    several_batches(running)
     return subscription_latest(table.read(t.spark))
 
 
 @query("queries_per_day_stream", d.with_("", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dia, count(*) AS n FROM events GROUP BY 1"""))
 def queries_per_day_stream(t):
-    events = stream_of(t, "events", files_per_batch=8, order="ts").select(jobs.utc_timestamp("ts").alias("created_at"))
+    events = stream_of(t, "events", order="ts").select(jobs.utc_timestamp("ts").alias("created_at"))
     path = scratch_path(t.spark, "per-day")
     table = jobs.KeyedTable(path, "dia string, n long", ["dia"], ["n"])
-    jobs.daily_counts(events).writeStream.outputMode("update").foreachBatch(jobs.upsert_into(table)).option(
-        "checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    running = jobs.daily_counts(events).writeStream.outputMode("update").foreachBatch(jobs.upsert_into(table)).option(
+        "checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+    several_batches(running)
     return table.read(t.spark)

@@ -146,10 +146,12 @@ def forced_chunks(keys: DataFrame, norms: DataFrame, chunks: DataFrame, per_norm
     wanted = keys.select("norm_key").distinct().select(
         "norm_key", F.split("norm_key", "-", 2)[0].alias("tipo"),
         F.try_element_at(F.split("norm_key", "-", 2), F.lit(2)).alias("wanted_number"))
-    by_number = norms.select("doc_id", "tipo", F.col("numero").alias("wanted_number")).join(
+    # the first document of each number and of each type is taken before any key meets it: a type has few rows then
+    by_number = norms.groupBy("tipo", F.col("numero").alias("wanted_number")).agg(F.min("doc_id").alias("doc_id")).join(
         wanted.where("wanted_number IS NOT NULL"), ["tipo", "wanted_number"]).select("norm_key", "doc_id")
-    by_type = norms.select("doc_id", "tipo").join(wanted.where("wanted_number IS NULL"), "tipo").select("norm_key", "doc_id")
-    chosen = by_number.unionByName(by_type).groupBy("norm_key").agg(F.min("doc_id").alias("doc_id"))
+    by_type = norms.groupBy("tipo").agg(F.min("doc_id").alias("doc_id")).join(
+        wanted.where("wanted_number IS NULL"), "tipo").select("norm_key", "doc_id")
+    chosen = by_number.unionByName(by_type)
     opening = chunks.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     first = top_per(opening, ["doc_id"], [F.asc("orden"), F.asc("chunk_id")], per_norm, "place")
     return (

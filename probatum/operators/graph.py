@@ -98,18 +98,23 @@ def graph_enrich(
     """Relations of the documents present in each query's evidence, with both endpoints.
 
     A document is present if its type and its number occur in the evidence (not necessarily together).
-    Edges are found by two equi-joins, one per endpoint.
+    Edges are found by two equi-joins, one per endpoint. As the order of relations is the same for all queries, each endpoint keeps
+    its first ``limit`` edges before it meets them: a document that everything cites brings ``limit`` rows, not all.
     """
     numbers = evidence.select("query_id", "numero").distinct()
     types = evidence.select("query_id", "tipo").distinct()
     present = numbers.join(norms.select("doc_id", "tipo", "numero"), "numero").join(
         types, ["query_id", "tipo"], "left_semi").select("query_id", "doc_id").distinct()
     usable = edges.where("verificado") if verified_only else edges
-    slim = usable.select("origen", "destino", "tipo_relacion", "articulos")
-    touched = present.join(slim, F.col("doc_id") == F.col("origen")).drop("doc_id").unionByName(
-        present.join(slim, F.col("doc_id") == F.col("destino")).drop("doc_id")).dropDuplicates(
+    order = [F.asc("origen"), F.asc("destino"), F.asc("tipo_relacion")]
+    slim = usable.select("origen", "destino", "tipo_relacion", "articulos").dropDuplicates(["origen", "destino", "tipo_relacion"])
+
+    def first_of(end: str) -> DataFrame:
+        return top_per(slim.withColumn("doc_id", F.col(end)), ["doc_id"], order, limit).drop("rank")
+
+    touched = present.join(first_of("origen").unionByName(first_of("destino")), "doc_id").drop("doc_id").dropDuplicates(
         ["query_id", "origen", "destino", "tipo_relacion"])
-    top = top_per(touched, ["query_id"], [F.asc("origen"), F.asc("destino"), F.asc("tipo_relacion")], limit)
+    top = top_per(touched, ["query_id"], order, limit)
     source = norms.select(F.col("doc_id").alias("origen"), F.concat_ws(" ", "tipo", "numero").alias("norma_origen"))
     target = norms.select(F.col("doc_id").alias("destino"), F.concat_ws(" ", "tipo", "numero").alias("norma_destino"),
                           F.col("titulo").alias("titulo_destino"))
@@ -133,9 +138,10 @@ def dependency_list(norms: DataFrame) -> DataFrame:
 
 
 def seed_relations(seeds: DataFrame, norms: DataFrame, existing: DataFrame) -> DataFrame:
-    """Edges between documents picked by selectors, without those that exist.
+    """Verified edges between documents picked by selectors, without those that exist.
 
-    seeds ``(origen_sel, destino_sel, tipo_relacion)``; a selector is ``tipo:X`` or ``numero:X``.
+    seeds ``(origen_sel, destino_sel, tipo_relacion, descripcion, articulos array)``; a selector is ``tipo:X`` or ``numero:X``, and two
+    ``tipo:`` selectors relate all pairs of their documents by design. Of several seeds for one edge the least description counts.
     """
     picked = norms.select("doc_id", F.explode(F.array(
         F.concat(F.lit("tipo:"), "tipo"), F.concat(F.lit("numero:"), "numero"))).alias("sel"))
@@ -143,4 +149,5 @@ def seed_relations(seeds: DataFrame, norms: DataFrame, existing: DataFrame) -> D
         seeds.join(picked.select(F.col("doc_id").alias("origen"), F.col("sel").alias("origen_sel")), "origen_sel")
         .join(picked.select(F.col("doc_id").alias("destino"), F.col("sel").alias("destino_sel")), "destino_sel"))
     key = ["origen", "destino", "tipo_relacion"]
-    return pairs.select(*key).distinct().join(existing.select(*key), key, "left_anti")
+    edges = pairs.groupBy(*key).agg(F.min(F.struct("descripcion", "articulos")).alias("e")).select(*key, "e.*", F.lit(True).alias("verificado"))
+    return edges.join(existing.select(*key), key, "left_anti")
