@@ -121,16 +121,20 @@ def segment(docs: DataFrame, layout: Layout, text_col: str = "texto") -> DataFra
         last_gazette_date(F.col("s.texto")).alias("vigencia_desde"))
 
 
-def segment_law(docs: DataFrame, text_col: str = "texto", least: int = 100, paragraph: str = PARAGRAPH_BREAK) -> DataFrame:
+def law_sections(text: Column, least: int = 100, paragraph: str = PARAGRAPH_BREAK) -> Column:
     """Articles of a law; a text without any is cut into its long paragraphs, numbered p1, p2, ..."""
-    paragraphs = F.filter(F.transform(F.split(F.col(text_col), paragraph), strip), lambda p: F.length(p) > least)
+    paragraphs = F.filter(F.transform(F.split(text, paragraph), strip), lambda p: F.length(p) > least)
     none = F.lit(None).cast("string")
     fallback = F.transform(paragraphs, lambda p, i: F.struct(
         none.alias("titulo"), none.alias("capitulo"), none.alias("parrafo"),
         F.concat(F.lit("p"), (i + 1).cast("string")).alias("numero"), p.alias("texto")))
-    found = docs.select("doc_id", text_col, sections_of(F.col(text_col), LAW).alias("found"))
-    chosen = F.when(F.size("found") > 0, F.col("found")).otherwise(fallback)
-    return found.select("doc_id", F.posexplode(chosen).alias("orden", "s")).select(
+    found = sections_of(text, LAW)
+    return F.when(F.size(found) > 0, found).otherwise(fallback)
+
+
+def segment_law(docs: DataFrame, text_col: str = "texto", least: int = 100, paragraph: str = PARAGRAPH_BREAK) -> DataFrame:
+    """One row per section of :func:`law_sections`."""
+    return docs.select("doc_id", F.posexplode(law_sections(F.col(text_col), least, paragraph)).alias("orden", "s")).select(
         "doc_id", "orden", "s.titulo", F.coalesce("s.capitulo", "s.parrafo").alias("capitulo"), "s.numero", "s.texto")
 
 
@@ -140,13 +144,8 @@ def blocks_of(text: Column, max_tokens: int = 700, least: int = 20, paragraph: s
     return pack_tokens(kept, max_tokens)
 
 
-def segment_numbered(
-    docs: DataFrame, text_col: str = "texto", head_chars: int | None = None, max_tokens: int = 700, paragraph: str = PARAGRAPH_BREAK
-) -> DataFrame:
-    """Circulars: numbered sections if there are at least three numbered lines and two sections, else
-    articles, else blocks. Sections without a gazette date take the document's: the last one in its first ``head_chars``
-    characters, by default in all of it."""
-    text = F.col(text_col)
+def numbered_sections(text: Column, max_tokens: int = 700, paragraph: str = PARAGRAPH_BREAK) -> Column:
+    """Circulars: numbered sections if there are at least three numbered lines and two sections, else articles, else blocks."""
 
     def pieces(heading: str, titled: bool) -> Column:
         parts = split_before(F.replace(text, F.lit(MARK), F.lit("")), heading)
@@ -159,15 +158,20 @@ def segment_numbered(
     blocks = F.transform(blocks_of(text, max_tokens, paragraph=paragraph), lambda b, i: F.struct(
         F.concat(F.lit("bloque-"), (i + 1).cast("string")).alias("numero"), F.lit(None).cast("string").alias("titulo"),
         strip(b).alias("texto")))
+    by_section, by_article = pieces(CIRCULAR_SECTION, True), pieces(CIRCULAR_ARTICLE, False)
     numbered = F.regexp_count(text, F.lit(_multiline(CIRCULAR_NUMBERED)))
-    tried = docs.select(
-        "doc_id", text_col, numbered.alias("numbered"), pieces(CIRCULAR_SECTION, True).alias("by_section"),
-        pieces(CIRCULAR_ARTICLE, False).alias("by_article"))
-    chosen = (
-        F.when((F.col("numbered") >= 3) & (F.size("by_section") >= 2), F.col("by_section"))
-        .when(F.size("by_article") >= 1, F.col("by_article")).otherwise(blocks))
+    return (F.when((numbered >= 3) & (F.size(by_section) >= 2), by_section)
+            .when(F.size(by_article) >= 1, by_article).otherwise(blocks))
+
+
+def segment_numbered(
+    docs: DataFrame, text_col: str = "texto", head_chars: int | None = None, max_tokens: int = 700, paragraph: str = PARAGRAPH_BREAK
+) -> DataFrame:
+    """One row per section of :func:`numbered_sections`. Sections without a gazette date take the document's: the last one in its
+    first ``head_chars`` characters, by default in all of it."""
+    text = F.col(text_col)
     published = last_gazette_date(text if head_chars is None else F.substring(text, 1, head_chars))
-    rows = tried.select("doc_id", published.alias("published"), F.posexplode(chosen).alias("orden", "s"))
+    rows = docs.select("doc_id", published.alias("published"), F.posexplode(numbered_sections(text, max_tokens, paragraph)).alias("orden", "s"))
     return rows.select(
         "doc_id", "orden", "s.numero", "s.titulo", "s.texto",
         F.coalesce(last_gazette_date(F.col("s.texto")), "published").alias("vigencia_desde"))
@@ -181,33 +185,40 @@ def segment_blocks(
                        .alias("orden", "texto"))
 
 
-def segment_ruling(docs: DataFrame, text_col: str = "texto", target: int = 700, least: int = 80) -> DataFrame:
-    """Rulings ``(doc_id, number, title, text)``: the parts found by their opening words, cut into blocks; a
-    ruling with fewer than two parts is cut as a whole. The first section carries the ruling's title."""
-    text = F.col(text_col)
-    starts = F.array_sort(F.filter(F.array(*[
+def ruling_sections(text: Column, number: Column, title: Column, target: int = 700, least: int = 80) -> Column:
+    """Array of ``(numero, titulo, texto)``: the parts of a ruling found by their opening words, cut into blocks; a ruling
+    with fewer than two parts is cut as a whole. The first section carries the ruling's title."""
+    found = F.array_sort(F.filter(F.array(*[
         F.struct(F.regexp_instr(text, F.lit(rx)).alias("at"), F.lit(name).alias("name")) for name, rx in RULING_PARTS
     ]), lambda s: s["at"] > 0))
-    found = docs.withColumn("starts", starts)
-    parts = F.transform("starts", lambda s, i: F.struct(
-        s["name"].alias("name"),
-        strip(F.substring(text, s["at"], F.coalesce(F.get("starts", i + 1)["at"], F.length(text) + 1) - s["at"])).alias("body")))
-    sized = found.withColumn("parts", F.filter(parts, lambda p: F.length(p["body"]) > 50))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("name"), text.alias("body")))
-    chosen = F.when(F.size("parts") >= 2, F.col("parts")).otherwise(whole)
-
-    def blocks(body: Column) -> Column:
-        paragraphs = F.filter(F.transform(F.split(body, "\n\n+"), strip), lambda p: p != "")
-        return F.filter(F.transform(pack_chars(paragraphs, target), strip), lambda b: F.length(b) >= least)
-
-    cut = F.flatten(F.transform(chosen, lambda p: F.transform(
-        blocks(p["body"]), lambda b: F.struct(p["name"].alias("name"), b.alias("texto")))))
-    rows = sized.select("doc_id", "number", "title", F.posexplode(cut).alias("orden", "s"))
-    part = F.replace(F.lower("s.name"), F.lit(" "), F.lit("-"))
-    return rows.select(
-        "doc_id", "orden", F.concat_ws("-", "number", part, (F.col("orden") + 1).cast("string")).alias("numero"),
-        F.col("s.name").alias("titulo"),
-        title_prefix(F.col("orden"), F.col("number"), F.col("title"), F.col("s.texto")).alias("texto"))
+
+    def cut(starts: Column) -> Column:
+        parts = F.filter(F.transform(starts, lambda s, i: F.struct(
+            s["name"].alias("name"),
+            strip(F.substring(text, s["at"], F.coalesce(F.get(starts, i + 1)["at"], F.length(text) + 1) - s["at"])).alias("body"))),
+            lambda p: F.length(p["body"]) > 50)
+        whole = F.array(F.struct(F.lit(None).cast("string").alias("name"), text.alias("body")))
+
+        def blocks(body: Column) -> Column:
+            paragraphs = F.filter(F.transform(F.split(body, "\n\n+"), strip), lambda p: p != "")
+            return F.filter(F.transform(pack_chars(paragraphs, target), strip), lambda b: F.length(b) >= least)
+
+        return F.flatten(F.transform(F.when(F.size(parts) >= 2, parts).otherwise(whole), lambda p: F.transform(
+            blocks(p["body"]), lambda b: F.struct(p["name"].alias("name"), b.alias("texto")))))
+
+    def named(s: Column, i: Column) -> Column:
+        part = F.replace(F.lower(s["name"]), F.lit(" "), F.lit("-"))
+        return F.struct(F.concat_ws("-", number, part, (i + 1).cast("string")).alias("numero"), s["name"].alias("titulo"),
+                        title_prefix(i, number, title, s["texto"]).alias("texto"))
+
+    # the parts are found once: they are the one element of an array that the rest maps over
+    return F.flatten(F.transform(F.array(found), lambda starts: F.transform(cut(starts), named)))
+
+
+def segment_ruling(docs: DataFrame, text_col: str = "texto", target: int = 700, least: int = 80) -> DataFrame:
+    """Rulings ``(doc_id, number, title, text)``, one row per section of :func:`ruling_sections`."""
+    cut = ruling_sections(F.col(text_col), F.col("number"), F.col("title"), target, least)
+    return docs.select("doc_id", F.posexplode(cut).alias("orden", "s")).select("doc_id", "orden", "s.numero", "s.titulo", "s.texto")
 
 
 def title_prefix(order: Column, number: Column, title: Column, text: Column) -> Column:
@@ -216,6 +227,28 @@ def title_prefix(order: Column, number: Column, title: Column, text: Column) ->
     return F.when((order == 0) & title.isNotNull(), head).otherwise(text)
 
 
+def sections_by_type(tipo: Column, numero: Column, titulo: Column, text: Column) -> Column:
+    """Sections of a document by the layout of its type: code, dotted code, laws and decrees, rulings, and circulars for all others.
+
+    Array of ``(titulo, capitulo, parrafo, numero, texto, vigencia_desde)``; only the branch of the row's type is worked out. A
+    circular's section without a gazette date takes the last one of the document's head, of 3,000 characters: later dates there belong
+    to norms it quotes.
+    """
+    none, kind = F.lit(None).cast("string"), F.upper(tipo)
+    head = last_gazette_date(F.substring(text, 1, 3000))
+
+    def shaped(found: Column, names: tuple[str, ...], published: Column = none) -> Column:
+        return F.transform(found, lambda s: F.struct(
+            *[(s[name] if name in names else none).alias(name) for name in ("titulo", "capitulo", "parrafo")], s["numero"].alias("numero"),
+            s["texto"].alias("texto"), F.coalesce(last_gazette_date(s["texto"]), published).alias("vigencia_desde")))
+
+    return (F.when(kind == "LGUC", shaped(sections_of(text, CODE), ("titulo", "capitulo")))
+            .when(kind == "OGUC", shaped(sections_of(text, DOTTED), ("titulo", "capitulo")))
+            .when(kind.isin("LEY", "DFL", "DL", "DS"), shaped(law_sections(text), ("titulo", "capitulo", "parrafo")))
+            .when(kind == "CGR", shaped(ruling_sections(text, numero, titulo), ("titulo",)))
+            .otherwise(shaped(numbered_sections(text), ("titulo",), head)))
+
+
 def hierarchy_label(*parts: Column) -> Column:
     """``título › capítulo`` without blanks; null when nothing is set."""
     label = F.concat_ws(" › ", *[F.when(p != "", p) for p in parts])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.chunking import MAX_TOKENS, OVERLAP_TOKENS, chunk_documents
 from ..operators.cleaning import clean_text
 from ..operators.fulltext import Index, build_index
-from ..operators.segmentation import LAW, sections_of
+from ..operators.segmentation import sections_by_type
 from ..operators.stateful import hash_change_detect
 from ..functions.text import PARAGRAPH_BREAK
 from ..streaming.jobs import KeyedTable
@@ -50,15 +50,19 @@ def ingest(
     corpus: Corpus, docs: DataFrame, run: int, *, force: bool = False, max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP_TOKENS, paragraph: str = PARAGRAPH_BREAK, sections=None,
 ) -> DataFrame:
-    """Ingest documents ``(key, tipo, numero, url, text)``; returns what was done per status.
+    """Ingest documents ``(key, tipo, numero, url, text)`` and optionally ``titulo``; returns what was done per status.
 
-    Only new and changed documents are cut and written. ``sections`` maps the text column to an array of
-    sections; the default reads the law layout.
+    Only new and changed documents are cut and written; they are found, and their hashes worked out, once. ``sections`` maps the
+    text column to an array of sections; by default the layout follows each document's type.
     """
     spark = corpus.spark
     state = corpus.state.read(spark, before=run)
-    todo = hash_change_detect(docs, state, force).select("key", "tipo", "numero", "url", "text", "hash")
-    cut = sections or (lambda text: sections_of(clean_text(text, "law"), LAW))
+    title = F.col("titulo") if "titulo" in docs.columns else F.lit(None).cast("string")
+    changed = hash_change_detect(docs.withColumn("titulo", title), state, force)
+    todo_path = f"{corpus.root}/todo/run={run}"
+    changed.select("key", "tipo", "numero", "titulo", "url", "text", "hash").write.mode("overwrite").parquet(todo_path)
+    todo = spark.read.parquet(todo_path)
+    cut = sections or (lambda text: sections_by_type(F.col("tipo"), F.col("numero"), F.col("titulo"), clean_text(text, "law")))
     keyed = todo.withColumnRenamed("key", "doc_id").withColumn("texto", F.col("text"))
     chunks = chunk_documents(keyed, cut(F.col("texto")), max_tokens, overlap, paragraph)
     named = chunks.withColumnRenamed("doc_id", "doc_key").withColumn("run", F.lit(run).cast("long")).withColumn(

@@ -115,3 +115,19 @@ def test_ingest_is_incremental_and_repeatable(spark, tmp_path):
         assert (again.procesados, again.sin_cambio, again.chunks) == (1, 1, 2)
     assert sorted((r.doc_key, r.orden) for r in corpus.chunks().collect()) == [("LEY-0", 0), ("LEY-1", 0), ("LEY-1", 1)]
     assert corpus.index().stats.first().chunks == 3
+
+
+def test_ingest_cuts_each_type_by_its_own_layout(spark, tmp_path):
+    body = "con texto suficientemente largo para que sea una sección propia del documento"
+    texts = [("LGUC", f"TÍTULO I Normas\nArtículo 1.- Uno {body}\nArtículo 2.- Dos {body}", ["1", "2"]),
+             ("OGUC", f"TÍTULO 2\nArtículo 2.1.1. Uno {body}\nArtículo 2.1.2. Dos {body}", ["2.1.1", "2.1.2"]),
+             ("LEY", "Sin artículos. " + "Un párrafo largo. " * 10, ["p1"]),
+             ("DDU", f"1. Primero\n{body}\n2. Segundo\n{body}\n3. Tercero\n{body}", ["1", "2", "3"]),
+             ("CGR", f"ANTECEDENTES {body} {body}\n\nCONCLUSIÓN {body} {body}", ["9-antecedentes-1", "9-conclusión-2"])]
+    docs = spark.createDataFrame([(f"{t}-9", t, "9", "u", text) for t, text, _ in texts], "key string, tipo string, numero string, url string, text string")
+    corpus = ingesting.Corpus(spark, str(tmp_path))
+    ingesting.ingest(corpus, docs, 1).first()
+    got = {}
+    for r in corpus.chunks().orderBy("doc_key", "orden").collect():
+        got.setdefault(r.doc_key, []).append(r.metadatos.articulo)
+    assert got == {f"{t}-9": want for t, _, want in texts}
