@@ -42,6 +42,18 @@ def windows_of(sizes: np.ndarray, first: np.ndarray, last: np.ndarray, target: n
     return inputs[0][span], inputs[1][span], wanted[query], valid[query], place, query
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept as an axis; a product with ones is faster than a reduction over few values."""
+    return x @ np.ones((x.shape[-1], 1), np.float32)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Over the last axis. Values over 30 count as 30, so that nothing overflows."""
+    x = np.exp(np.minimum(x, np.float32(30)))
+    x /= _row_sums(x)
+    return x
+
+
 class Model:
     """Parameters by name. Embeddings are set by the warm-up; the others by all of the fit."""
 
@@ -78,21 +90,18 @@ class Model:
         score *= np.float32(1 / np.sqrt(WIDTH))
         score += self.near + MASK
         score += np.where(first == PAD, FAR, np.float32(0))[:, None, :]
-        score -= score.max(axis=2, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(axis=2, keepdims=True)
+        score = _softmax(score)
         seen = score @ v
         hidden = np.tanh(xq @ self.own + seen @ self.seen + self.bias).reshape(n * QUERIES, HIDDEN)
         logits = hidden @ self.out + self.offset
         rows, wanted = np.arange(len(logits)), target.ravel()
         group, within = wanted // GROUPS, wanted % GROUPS
+        inside = (rows * logits.shape[1] + GROUPS + group * GROUPS)[:, None] + np.arange(GROUPS)  # the classes of the target's group
         parts = []
-        for part, aim in ((logits[:, :GROUPS], group), (logits[:, GROUPS:].reshape(-1, GROUPS, GROUPS)[rows, group], within)):
-            part = part - part.max(axis=1, keepdims=True)
-            np.exp(part, out=part)
-            part /= part.sum(axis=1, keepdims=True)
+        for part, aim in ((logits[:, :GROUPS], group), (logits.ravel()[inside], within)):
+            part = _softmax(part)
             parts.append((part, part[rows, aim], aim))
-        return {"x": x, "q": q, "k": k, "v": v, "weight": score, "seen": seen, "hidden": hidden, "group": group, "parts": parts,
+        return {"x": x, "q": q, "k": k, "v": v, "weight": score, "seen": seen, "hidden": hidden, "inside": inside, "parts": parts,
                 "p": parts[0][1] * parts[1][1]}
 
     def log10(self, first, last, target) -> np.ndarray:
@@ -112,7 +121,7 @@ class Model:
             if i == 0:
                 back[:, :GROUPS] = part
             else:
-                back[:, GROUPS:].reshape(-1, GROUPS, GROUPS)[rows, f["group"]] = part
+                back.ravel()[f["inside"]] = part
         g = {"out": f["hidden"].T @ back, "offset": back.sum(axis=0)}
         inner = (back @ self.out.T) * (1 - f["hidden"] ** 2)
         x, n = f["x"], len(first)
@@ -122,7 +131,7 @@ class Model:
         to_seen = (inner @ self.seen.T).reshape(n, QUERIES, WIDTH)
         weight = f["weight"]
         to_weight = to_seen @ f["v"].transpose(0, 2, 1)
-        to_score = weight * (to_weight - (to_weight * weight).sum(axis=2, keepdims=True))
+        to_score = weight * (to_weight - _row_sums(to_weight * weight))
         g["near"] = to_score.sum(axis=0)
         to_score *= np.float32(1 / np.sqrt(WIDTH))
         to_q, to_k = to_score @ f["k"], to_score.transpose(0, 2, 1) @ f["q"]

@@ -160,8 +160,11 @@ def score_texts(docs: DataFrame, folds: int = 10, warm_docs: int = 300, tokenize
     size = text_bytes(docs)
     batches, parts = shares(spark, size, batch_bytes), shares(spark, size, part_bytes)
     dealt = batched(docs, batches)
-    few = dealt.where(F.col("key") != LAST).where(F.crc32(F.col("key").cast("string")) % folds != 0).orderBy(
-        F.xxhash64("key", "text"), "key").limit(warm_docs).toPandas()
+    train = dealt.where((F.col("key") != LAST) & (F.crc32(F.col("key").cast("string")) % folds != 0))
+    mark = F.xxhash64("key", "text").alias("mark")
+    chosen = train.select("key", mark).orderBy("mark", "key").limit(warm_docs)  # narrow rows; their texts follow by a join
+    few = train.select("*", mark).join(F.broadcast(chosen.distinct()), ["key", "mark"]).groupBy("key", "mark").agg(
+        F.min("text").alias("text"), F.lit(0).alias("batch"), F.lit("").alias("rest")).toPandas()
     class_of, start = warm_up(few, tokenizer, folds)
     held = spark.sparkContext.broadcast((class_of, start))
 
@@ -205,7 +208,7 @@ def score_texts(docs: DataFrame, folds: int = 10, warm_docs: int = 300, tokenize
     sums, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, total, kind in answers.where("batch < 0").groupBy("part").agg(F.sum("total"), F.sum("kinds")).collect():  # a row per class
         sums[c], kinds[c] = total, kind
-    ends = dealt.where(F.col("key") != LAST).where(F.crc32(F.col("key").cast("string")) % folds != 0).count()
+    ends = train.count()
     sums[0], kinds[0] = ends, int(ends > 0)  # class 0 is the end's alone
     model = averaged(sent.where("part < 0"), start)
     held_too = spark.sparkContext.broadcast((class_of, model, sums, kinds))
