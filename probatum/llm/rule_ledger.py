@@ -41,20 +41,14 @@ def mask_of(policy: str) -> int:
     return sum(1 << BIT[name] for name in POLICIES[policy])
 
 
-def _window_hashes(words: Column) -> Column:
-    """A hash of every run of eight words: hashes of one, two, four and eight by doubling; fewer words give an empty array."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-
-    def doubled(h: Column, gap: int) -> Column:
-        rest = F.slice(h, gap + 1, F.greatest(F.size(h) - gap, F.lit(0)))
-        return F.filter(F.zip_with(h, rest, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda x: x.isNotNull())
-
-    return one, doubled
+def _doubled(h: Column, gap: int) -> Column:
+    """Hashes of runs of ``2 * gap`` words from those of ``gap`` words."""
+    rest = F.slice(h, gap + 1, F.greatest(F.size(h) - gap, F.lit(0)))
+    return F.filter(F.zip_with(h, rest, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda x: x.isNotNull())
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the measurements of each text."""
-    one, doubled = _window_hashes(F.col("words"))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = (text.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
              .withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
@@ -67,9 +61,9 @@ def measured(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("bare", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
     measures = [c for c in found.columns if c != "words"]
-    found = found.select(*measures, one.alias("h1"))
+    found = found.select(*measures, F.transform("words", lambda w: F.xxhash64(w)).alias("h1"))
     for gap, name, last in ((1, "h2", "h1"), (2, "h4", "h2"), (4, "h8", "h4")):
-        found = found.select(*measures, doubled(F.col(last), gap).alias(name))
+        found = found.select(*measures, _doubled(F.col(last), gap).alias(name))
     # only texts in which some window repeats are sorted: (hash, place), neighbours compared, and the places put in order
     placed = F.when(F.size("h8") > F.size(F.array_distinct("h8")),
                     F.array_sort(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
