@@ -269,7 +269,7 @@ def extract_articles(pages: DataFrame, least: int = 3, few_hosts: int = 10_000)
     """(page_id, url, text, n_chars) per row of ``pages`` (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?s)^(?:.*?://)?([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host.alias("host"))
-    vectors = occurrence_vectors(rows.select(F.coalesce("page_id", F.lit("")).alias("page"), "host", "html"))
+    vectors = durable(occurrence_vectors(rows.select(F.coalesce("page_id", F.lit("")).alias("page"), "host", "html")), "page-tokens")
     known = durable(slots(deduce_templates(vectors, least)), "templates")
     joined = rows.join(F.broadcast(known) if known.count() <= few_hosts else known, "host", "left")
 
