@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm.common import WORD, durable, key_of, text_mark
+from probatum.llm.common import WORD, durable, key_of, small_batches, text_mark
 from probatum.llm.mixing import plan_mixture
 from probatum.llm.nbsvm import judge
 from probatum.llm.ngram_join import join_documents
@@ -21,12 +21,14 @@ ORACLE_SQL = None  # SQL cannot fit the classifier
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Labels of a quarter of the ids are kept out of the fit, as in op2."""
+    small_batches(spark)
     judged = judge(docs.select("doc_id", "text", F.struct(*docs.columns).alias("all")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("predicted = 1").select("all.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id. Documents without words are in no group."""
+    small_batches(spark)
     rows = join_documents(docs).where("group is not null").select(key_of().alias("key"), "text_mark", "group")
     first = rows.groupBy("group").agg(F.min(F.struct("key", "text_mark")).alias("first")).select("first.*")
     has_words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
@@ -37,6 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat; a character cut in two goes whole. n_chars follows the text."""
+    small_batches(spark)
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others).schema
     kept = dedup_suffixes(docs, carried=others, whole_characters=True)
@@ -48,6 +51,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than a twentieth."""
+    small_batches(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select(key_of().alias("_key"), F.col("mark").alias("_mark")).distinct()
     return docs.withColumns({"_key": key_of(), "_mark": text_mark()}).join(bad, ["_key", "_mark"], "left_anti").select(docs.columns)

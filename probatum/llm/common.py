@@ -36,6 +36,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let rows with texts travel between Spark and Python in batches of at most 2,000 rows and 16 MB, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, over all rows."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
@@ -49,7 +55,7 @@ def shares(spark: SparkSession, size: int, each: int) -> int:
 class Hashes(dict):
     """64-bit hashes of byte strings, remembered up to a fixed number of entries."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
