@@ -55,9 +55,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Parameters by name. Embeddings are set by the warm-up; the others by all of the fit."""
+    """Parameters by name; the last two are the embeddings, a row per subword id."""
 
-    MOVING = ("query", "key", "value", "near", "own", "seen", "bias", "out", "offset")
+    NAMES = ("query", "key", "value", "near", "own", "seen", "bias", "out", "offset", "first", "last")
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -72,11 +72,11 @@ class Model:
         self.out, self.offset = some(HIDDEN, GROUPS + CLASSES, scale=0.5), np.zeros(GROUPS + CLASSES, np.float32)
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([getattr(self, name).ravel() for name in self.MOVING])
+        return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
 
     def load(self, vector: np.ndarray) -> None:
         at = 0
-        for name in self.MOVING:
+        for name in self.NAMES:
             old = getattr(self, name)
             setattr(self, name, vector[at:at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
@@ -140,9 +140,10 @@ class Model:
         if embeddings:
             to_x = to_k @ self.key.T + to_v @ self.value.T
             to_x[:, CONTEXT:] += (inner @ self.own.T).reshape(n, QUERIES, WIDTH) + to_q @ self.query.T
+            to_x = to_x.ravel()
             for name, ids in (("e_first", first), ("e_last", last)):
-                g[name] = np.zeros((ROWS + 2, WIDTH), np.float32)
-                np.add.at(g[name], ids.ravel(), flat(to_x))
+                place = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+                g[name] = np.bincount(place, to_x, (ROWS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
         loss = -float(np.log(np.maximum(f["p"][keep], 1e-30)).mean()) if keep.any() else 0.0
         return g, loss
 
@@ -150,13 +151,13 @@ class Model:
 class Fit:
     """Adam over a model's parameters."""
 
-    def __init__(self, model: Model, rate: float, embeddings: bool):
-        self.model, self.rate, self.embeddings, self.step = model, rate, embeddings, 0
+    def __init__(self, model: Model, rate: float):
+        self.model, self.rate, self.step = model, rate, 0
         self.one: dict[str, np.ndarray] = {}
         self.two: dict[str, np.ndarray] = {}
 
     def learn(self, first, last, target, valid, rate: float | None = None) -> float:
-        grads, loss = self.model.gradients(first, last, target, valid, self.embeddings)
+        grads, loss = self.model.gradients(first, last, target, valid, True)
         self.step += 1
         for name, g in grads.items():
             own = {"e_first": "first", "e_last": "last"}.get(name, name)

@@ -5,10 +5,12 @@ the attention model, times that of the word within its class, from counts. A cla
 subword id, so the count part multiplies out to the word's subwords given the class. The attention model reads the first and last subword
 id of each word in overlapping windows, each word predicted once (:mod:`probatum.llm.attention`).
 
-Fitting: a warm-up on at most ``warm_docs`` training documents on the driver sets the classes, the embeddings and the start of the other parameters.
-Then every batch of documents improves these on all windows of its training documents, and the results are averaged by their words:
-their number grows with the corpus, the average does not. Counts cover all training documents: batches send each distinct word
-once to the word's part, and get its total count back.
+Fitting: counts and co-occurrence of the subword ids of all training documents set the classes. A warm-up on at most ``warm_docs`` training
+documents on the driver gives the parameters a start. Then every batch of documents improves all parameters, embeddings too, on all windows of
+its training documents. Batches take turns in ``rounds`` rounds; after each, results are written and averaged, an embedding's row by the words
+that used it, other parameters by all words, and the next round starts from the average. Counts of words cover all training documents:
+batches send each distinct word once to the word's part, and get its total count back. How documents are dealt to batches follows from
+their bytes alone, so the fit does not depend on the session's settings.
 
 Training documents are those whose id has a crc32 that is not 0 modulo ``folds``; a missing id is held out. A missing text is empty: it has
 the end alone. Rows that repeat a doc_id are scored separately.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import itertools
 import zlib
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.attention import CLASSES, GROUPS, Fit, Model, windows_of
+from probatum.llm.attention import CLASSES, GROUPS, ROWS, START, WIDTH, Fit, Model, windows_of
 from probatum.llm.common import LAST, Hashes, batched, durable, edges, id_of, in_order, shares, text_bytes, words
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,7 +40,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = xxhash.xxh64_intdigest(b"")
 IDS = 1 << 16
 BATCH_BYTES, PART_BYTES = 6 << 20, 16 << 20
-STEP_WINDOWS = 256
+STEP_WINDOWS, RATE = 256, 2e-3
+MARKS = 16  # width of the vectors that stand for co-occurrence
+PIECES = 64
+FINE = 1 << 16  # fixed point of sums, which so do not depend on their order
 
 
 @cache
@@ -89,109 +95,193 @@ class Batch:
         return out
 
 
-def choose_classes(texts: list[np.ndarray], seed: int = 0) -> np.ndarray:
-    """The class of each subword id. Ids that stand in the same texts share a group, ids of a group are cut by frequency into classes of like mass."""
-    count = np.bincount(np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64), minlength=IDS)
+@cache
+def id_marks() -> np.ndarray:
+    """A vector of random signs for each subword id."""
+    return np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (MARKS, IDS))
+
+
+def co_occurrence(sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some texts, and per id: its count, the weight of all that stands in texts with it, and the weighted sum of that by its marks.
+
+    The sums of marks are the table of all pairs of ids, projected to ``MARKS`` columns: they add up over texts.
+    """
+    pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * IDS + first, return_counts=True)
+    text, ids = pair // IDS, pair % IDS
+    used, where = np.unique(ids, return_inverse=True)
+    if not len(used):
+        return used.astype(np.uint16), np.empty((0, MARKS + 2), np.float32)
+    weight = np.sqrt(times / sizes[text])
+    begin = np.flatnonzero(np.diff(text, prepend=-1))
+    row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(text))))
+
+    def others(x: np.ndarray) -> np.ndarray:
+        return np.bincount(where, weight * (np.add.reduceat(x, begin)[row] - x))
+
+    return used.astype(np.uint16), np.stack([np.bincount(where, times), others(weight), *(others(weight * m[ids]) for m in id_marks())],
+                                            axis=1).astype(np.float32)
+
+
+def choose_classes(table: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The class of each subword id, from a row of :func:`co_occurrence` sums per id.
+
+    Ids that stand with the same ids share a group, ids of a group are cut by frequency into classes of like mass.
+    """
     class_of = np.arange(IDS) % (CLASSES - 1) + 1
-    top = np.argsort(-count, kind="stable")[:2000]
-    top = top[count[top] > 1]
-    if len(top) < GROUPS or len(texts) < 2:
+    count, near, marks = table[:, 0], table[:, 1], table[:, 2:]
+    known = np.argsort(-count, kind="stable")[:np.count_nonzero(count)]
+    if len(known) < GROUPS or not near.any():
         return class_of.astype(np.int16)
-    place = np.full(IDS, -1)
-    place[top] = np.arange(len(top))
-    table = np.zeros((len(top), len(texts)))
-    for i, ids in enumerate(texts):
-        known = place[ids]
-        np.add.at(table[:, i], known[known >= 0], 1.0)
-    table = np.sqrt(table / np.maximum(table.sum(axis=0), 1))
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    lean = marks[known] / np.maximum(near[known], 1e-9)[:, None] - marks.sum(axis=0) / near.sum()  # against what stands with any id
+    lean /= np.maximum(np.linalg.norm(lean, axis=1, keepdims=True), 1e-9)
+    weight = np.sqrt(count[known])[:, None]
     rng = np.random.default_rng(seed)
-    centres = table[rng.choice(len(top), GROUPS, replace=False)]
-    for _ in range(15):
-        group = (table @ centres.T).argmax(axis=1)
+    centres = lean[rng.choice(len(known), GROUPS, replace=False, p=weight[:, 0] / weight.sum())]
+    for _ in range(30):
+        group = (lean @ centres.T).argmax(axis=1)
         for g in range(GROUPS):
             if (group == g).any():
-                centres[g] = table[group == g].sum(axis=0)
-                centres[g] /= np.linalg.norm(centres[g])
+                centres[g] = (weight * lean)[group == g].sum(axis=0)
+                centres[g] /= max(np.linalg.norm(centres[g]), 1e-9)
     for g in range(GROUPS):
-        own = top[group == g]
+        own = known[group == g]
         mass = np.cumsum(count[own]) - count[own] / 2
         class_of[own] = np.maximum(g * GROUPS + np.minimum(mass * GROUPS // max(count[own].sum(), 1), GROUPS - 1), 1)
     return class_of.astype(np.int16)
 
 
-def warm_up(pdf: pd.DataFrame, path: str, folds: int, epochs: int = 8) -> tuple[np.ndarray, Model]:
-    """Classes, and a model fitted on a few documents."""
+def warm_up(pdf: pd.DataFrame, class_of: np.ndarray, path: str, folds: int, epochs: int = 8) -> Model:
+    """A model to start from, fitted on a few documents."""
     batch, model = Batch(pdf, folds), Model()
-    ids = batch.ids(path).astype(np.int64)[batch.where] if len(batch.flat) else np.empty((0, 2), np.int64)
-    class_of = choose_classes(np.split(ids[:, 0], np.cumsum(batch.sizes)[:-1]) if len(batch.sizes) else [])
     if len(batch.sizes):
+        ids = batch.ids(path).astype(np.int64)[batch.where] if len(batch.flat) else np.empty((0, 2), np.int64)
         data = windows_of(batch.sizes, ids[:, 0], ids[:, 1], batch.targets(class_of, ids[:, 0]))[:4]
-        fit, rng = Fit(model, 3e-3, True), np.random.default_rng(0)
+        fit, rng = Fit(model, 3e-3), np.random.default_rng(0)
         for epoch in range(epochs):
             order = rng.permutation(len(data[0]))
             for i in range(0, len(order), STEP_WINDOWS):
                 some = order[i:i + STEP_WINDOWS]
                 fit.learn(*(x[some] for x in data), rate=3e-3 * (1 - epoch / epochs))
-    return class_of, model
+    return model
 
 
-def _improved(batch: Batch, ids: np.ndarray, class_of: np.ndarray, model: Model) -> tuple[np.ndarray, int]:
-    """The moving parameters after one pass over the batch's training texts, and the number of its tokens."""
-    sizes = batch.sizes[batch.train]
-    own = ids.astype(np.int64)[batch.where]
-    keep = np.repeat(batch.train, batch.sizes)
-    targets = batch.targets(class_of, own[:, 0])[np.repeat(batch.train, batch.sizes + 1)]
-    first, last, target, valid, _, _ = windows_of(sizes, own[keep, 0], own[keep, 1], targets)
-    fit, order = Fit(model, 1e-3, False), np.random.default_rng(len(first)).permutation(len(first))
+def improve(sizes: np.ndarray, first: np.ndarray, last: np.ndarray, class_of: np.ndarray, model: Model, rate: float = RATE) -> np.ndarray:
+    """One pass of ``model`` over a batch's training texts; how many of their tokens used each row of the two embedding tables."""
+    targets = np.zeros(len(first) + len(sizes), np.int16)
+    targets[np.arange(len(first)) + np.repeat(np.arange(len(sizes)), sizes)] = class_of[first]
+    data = windows_of(sizes, first, last, targets)[:4]
+    fit, order = Fit(model, rate), np.random.default_rng(len(data[0])).permutation(len(data[0]))
     for i in range(0, len(order), STEP_WINDOWS):
         some = order[i:i + STEP_WINDOWS]
-        fit.learn(first[some], last[some], target[some], valid[some], rate=1e-3 * (1 - 0.9 * i / len(order)))
-    return model.vector(), int(valid.sum())
+        fit.learn(*(x[some] for x in data), rate=rate * (1 - 0.9 * i / len(order)))
+    uses = np.stack([np.bincount(x % ROWS, minlength=ROWS + 2) for x in (first, last)])
+    uses[:, START] = len(sizes)
+    return uses.astype(np.int32)
+
+
+def totals(rows: DataFrame, numbers: Callable, length: int) -> np.ndarray:
+    """The sum of the integer vectors that ``numbers`` makes of each row: within tasks, then piece by piece, exact in any order."""
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(length, np.int64)
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                total += numbers(row)
+        if total.any():
+            yield pd.DataFrame({"piece": np.arange(PIECES), "sums": [x.tobytes() for x in np.array_split(total, PIECES)]})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        high, low = 0, 0
+        for raw in pdf["sums"]:
+            x = np.frombuffer(raw, np.int64)
+            high, low = high + (x >> 24), low + (x & 0xFFFFFF)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "sums": [(high * float(1 << 24) + low).tobytes()]})
+
+    pieces = dict(rows.mapInPandas(within, "piece int, sums binary").groupBy("piece").applyInPandas(across, "piece int, sums binary").collect())
+    sums = [np.frombuffer(pieces[i], np.float64) for i in sorted(pieces)]
+    return np.concatenate(sums) if sums else np.zeros(length)
+
+
+def averaged(results: DataFrame, start: Model) -> Model:
+    """The mean of the batches' parameters, an embedding's row by the tokens that used it, the others by all tokens. What none used stays."""
+    vector = start.vector()
+    fixed = len(vector) - 2 * (ROWS + 2) * WIDTH
+
+    def numbers(row) -> np.ndarray:
+        weight = np.concatenate([np.full(fixed, row.tokens), np.repeat(np.frombuffer(row.uses, np.int32), WIDTH)]).astype(np.int64)
+        return np.concatenate([np.round(np.frombuffer(row.vector, np.float32) * FINE).astype(np.int64) * weight, weight])
+
+    value, weight = np.split(totals(results.select("vector", "uses", "tokens"), numbers, 2 * len(vector)), 2)
+    model = Model()
+    model.load(np.where(weight > 0, value / np.maximum(weight, 1) / FINE, vector))
+    return model
 
 
 def score_texts(docs: DataFrame, folds: int = 10, warm_docs: int = 300, tokenizer: str = TOKENIZER,
-                batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+                batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES, rounds: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     ``tokenizer`` is a path that executors can read.
     """
     spark = docs.sparkSession
     size = text_bytes(docs)
-    batches, parts = shares(spark, size, batch_bytes), shares(spark, size, part_bytes)
+    batches, parts = max(-(-size // batch_bytes), 1), shares(spark, size, part_bytes)
     dealt = batched(docs, batches)
     train = dealt.where((F.col("key") != LAST) & (F.crc32(F.col("key").cast("string")) % folds != 0))
-    mark = F.xxhash64("key", "text").alias("mark")
-    chosen = train.select("key", mark).orderBy("mark", "key").limit(warm_docs)  # narrow rows; their texts follow by a join
-    few = train.select("*", mark).join(F.broadcast(chosen.distinct()), ["key", "mark"]).groupBy("key", "mark").agg(
-        F.min("text").alias("text"), F.lit(0).alias("batch"), F.lit("").alias("rest")).toPandas()
-    class_of, start = warm_up(few, tokenizer, folds)
-    held = spark.sparkContext.broadcast((class_of, start))
 
     def send(pdf):
+        """Rows of part -2: sums for the classes; -1: the training texts as ids; others: the part's distinct words."""
         batch = Batch(pdf, folds)
         ids = batch.ids(tokenizer)
-        number, (classes, model) = int(pdf["batch"].iloc[0]), held.value
-        rows = []
+        number, rows = int(pdf["batch"].iloc[0]), []
         if batch.train.any():
-            learner = Model()
-            learner.first, learner.last = model.first, model.last
-            learner.load(model.vector())
-            vector, tokens = _improved(batch, ids, classes, learner)
-            rows.append((number, -1, vector.tobytes(), b"", b"", tokens))
+            sizes, own = batch.sizes[batch.train], ids[batch.where[np.repeat(batch.train, batch.sizes)]]
+            used, table = co_occurrence(sizes, own[:, 0].astype(np.int64))
+            rows = [(number, -2, used.tobytes(), table.tobytes(), b"", 0),
+                    (number, -1, *(zlib.compress(x.tobytes(), 1) for x in (sizes, own[:, 0], own[:, 1])), len(own) + len(sizes))]
         cut = edges(batch.distinct, parts)
         counts = batch.counts.astype(np.int32)
         rows += [(number, i, batch.distinct[a:b].tobytes(), counts[a:b].tobytes(), ids[a:b].tobytes(), 0)
                  for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
         return pd.DataFrame(rows, columns=["batch", "part", "hashes", "counts", "ids", "tokens"])
 
+    def for_classes(row):
+        sums = np.zeros((IDS, MARKS + 2), np.int64)
+        sums[np.frombuffer(row.hashes, np.uint16)] = np.round(np.frombuffer(row.counts, np.float32).reshape(-1, MARKS + 2).astype(np.float64) * FINE)
+        return sums.ravel()
+
+    sent = durable(dealt.groupBy("batch").applyInPandas(
+        send, "batch int, part int, hashes binary, counts binary, ids binary, tokens long"), "lm-words")
+    class_of = choose_classes(totals(sent.where("part = -2").select("hashes", "counts"), for_classes, IDS * (MARKS + 2)).reshape(IDS, -1) / FINE)
+    mark = F.xxhash64("key", "text").alias("mark")
+    chosen = train.select("key", mark).orderBy("mark", "key").limit(warm_docs)  # narrow rows; their texts follow by a join
+    few = train.select("*", mark).join(F.broadcast(chosen.distinct()), ["key", "mark"]).groupBy("key", "mark").agg(
+        F.min("text").alias("text"), F.lit(0).alias("batch"), F.lit("").alias("rest")).toPandas()
+    model = warm_up(few, class_of, tokenizer, folds)
+    for number in range(min(rounds, batches)):
+        held = spark.sparkContext.broadcast((class_of, model))
+
+        def learn(frames, held=held):
+            for frame in frames:
+                for row in frame.itertuples(index=False):
+                    classes, start = held.value
+                    learner = Model()
+                    learner.load(start.vector())
+                    sizes, first, last = (np.frombuffer(zlib.decompress(x), kind).astype(np.int64)
+                                          for x, kind in ((row.hashes, np.int64), (row.counts, np.uint16), (row.ids, np.uint16)))
+                    uses = improve(sizes, first, last, classes, learner)
+                    yield pd.DataFrame([(learner.vector().tobytes(), uses.tobytes(), row.tokens)], columns=["vector", "uses", "tokens"])
+
+        turn = sent.where((F.col("part") == -1) & (F.col("batch") % rounds == number)).select("hashes", "counts", "ids", "tokens")
+        model = averaged(durable(turn.mapInPandas(learn, "vector binary, uses binary, tokens long"), f"lm-round-{number}"), model)
+    held = spark.sparkContext.broadcast(class_of)
+
     def count(pdf):
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
         n = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]])
         first = np.concatenate([np.frombuffer(x, np.uint16)[::2] for x in pdf["ids"]])
         _, one, where = np.unique(h, return_index=True, return_inverse=True)
         total = np.bincount(where, n).astype(np.int64)
-        classes = held.value[0][first[one]]
+        classes = held.value[first[one]]
         sums, kinds = np.bincount(classes, total, CLASSES), np.bincount(classes, total > 0, CLASSES)
         rows = [(-1, c, b"", b"", int(sums[c]), int(kinds[c])) for c in np.flatnonzero(sums).tolist()]
         at = 0
@@ -201,8 +291,6 @@ def score_texts(docs: DataFrame, folds: int = 10, warm_docs: int = 300, tokenize
             rows.append((batch, part, own.tobytes(), ids, 0, 0))
         return pd.DataFrame(rows, columns=["batch", "part", "counts", "ids", "total", "kinds"])
 
-    sent = durable(dealt.groupBy("batch").applyInPandas(
-        send, "batch int, part int, hashes binary, counts binary, ids binary, tokens long"), "lm-words")
     answers = durable(sent.where("part >= 0").groupBy("part").applyInPandas(
         count, "batch int, part int, counts binary, ids binary, total long, kinds long"), "lm-counts")
     sums, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -210,7 +298,6 @@ def score_texts(docs: DataFrame, folds: int = 10, warm_docs: int = 300, tokenize
         sums[c], kinds[c] = total, kind
     ends = train.count()
     sums[0], kinds[0] = ends, int(ends > 0)  # class 0 is the end's alone
-    model = averaged(sent.where("part < 0"), start)
     held_too = spark.sparkContext.broadcast((class_of, model, sums, kinds))
 
     def score(pdf, known):
@@ -247,22 +334,3 @@ def score_texts(docs: DataFrame, folds: int = 10, warm_docs: int = 300, tokenize
     return done.select(id_of().alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(sums.sum())).cast("long").alias("train_tokens"),
                        "base_score", "score")
 
-
-def averaged(vectors: DataFrame, start: Model) -> Model:
-    """The mean of the batches' parameters by tokens, summed exactly so that the order does not matter."""
-    def numbers(frames):
-        for frame in frames:
-            for raw, tokens in zip(frame["hashes"], frame["tokens"]):
-                v = np.frombuffer(raw, np.float32)
-                yield pd.DataFrame({"place": np.arange(len(v)), "value": np.round(v * 1e6).astype(np.int64) * tokens, "tokens": tokens})
-
-    rows = vectors.select("hashes", "tokens").mapInPandas(numbers, "place int, value long, tokens long").groupBy("place").agg(
-        F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.sum("tokens").alias("tokens")).collect()  # a row per parameter
-    model = Model()
-    model.first, model.last = start.first, start.last
-    vector = start.vector()
-    for place, value, tokens in rows:
-        if tokens:
-            vector[place] = float(value) / tokens / 1e6
-    model.load(vector)
-    return model

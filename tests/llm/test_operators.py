@@ -14,7 +14,7 @@ import pytest
 from probatum.llm import attention
 from probatum.llm.components import components
 from probatum.llm.lempel_ziv import dedup_substrings
-from probatum.llm.lm_scoring import TOKENIZER, end_ids, score_texts
+from probatum.llm.lm_scoring import IDS, MARKS, TOKENIZER, averaged, choose_classes, co_occurrence, end_ids, improve, score_texts
 from probatum.llm.mixing import mixture, plan_mixture
 from probatum.llm.nbsvm import judge
 from probatum.llm.ngram_join import far_apart, join_documents
@@ -255,6 +255,42 @@ def test_lm_scores(spark, docs, none):
     assert score_texts(none).collect() == []
 
 
+def test_lm_fit_does_not_depend_on_settings(spark, docs):
+    found, old = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append(as_sorted((r.doc_id, r.n_tokens, round(r.score, 4)) for r in score_texts(docs, batch_bytes=40_000).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert found[0] == found[1]
+
+
+def test_lm_classes_of_rare_ids():
+    rng = np.random.default_rng(2)
+    halves = rng.permutation(6000).reshape(2, 3000)  # two languages of 3,000 ids each, 30 of them common
+    table = np.zeros((IDS, MARKS + 2))
+    for i in range(1200):
+        own = halves[i % 2]
+        used, sums = co_occurrence(np.array([80]), np.concatenate([rng.choice(own[:30], 50), rng.choice(own, 30)]))
+        table[used] += sums
+    group = choose_classes(table) // attention.GROUPS
+    counts = [np.bincount(group[half], minlength=attention.GROUPS) for half in halves]
+    assert (table[:, 0] > 0).sum() > 5900 and np.minimum(*counts).sum() < 0.1 * 6000  # hardly a group holds ids of both
+
+
+def test_lm_embeddings_are_trained_and_averaged_by_use(spark):
+    start, rows = attention.Model(), []
+    for ids, n in ((np.array([5, 6, 5, 5]), 4), (np.array([5, 7]), 2)):
+        model = attention.Model()
+        uses = improve(np.array([n]), ids, ids, np.zeros(IDS, np.int16), model)
+        assert (model.first[ids] != start.first[ids]).any() and np.array_equal(model.first[9], start.first[9])
+        rows.append((model, uses, n + 1))
+    got = averaged(spark.createDataFrame([(m.vector().tobytes(), u.tobytes(), t) for m, u, t in rows], "vector binary, uses binary, tokens long"), start)
+    (a, _, _), (b, _, _) = rows
+    assert np.allclose(got.first[5], (3 * a.first[5] + b.first[5]) / 4, atol=1e-4)
+    assert np.allclose(got.last[6], a.last[6], atol=1e-4) and np.allclose(got.first[7], b.first[7], atol=1e-4)
+    assert np.allclose(got.out, (5 * a.out + 3 * b.out) / 8, atol=1e-4) and np.array_equal(got.first[9], start.first[9])
+
+
 def test_attention_is_causal_and_sums_to_one():
     rng = np.random.default_rng(0)
     model, sizes = attention.Model(), np.array([50, 0, 7])
