@@ -10,7 +10,10 @@ belong to the template, not to a slot.
 The slot that holds the article is chosen per host: the template's innermost element that is marked as an article, else the innermost that
 holds nearly all text that varies. Pages that lack it, and hosts with a single page, are read by their own marks. In the chosen part,
 menus, headers and footers of pages, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, and everything
-else is kept: blocks of an element marked as an article stay even if other pages repeat them.
+else is kept: blocks of an element marked as an article stay even if other pages repeat them. A class or id names such a part if all its
+words do (``cookie-notice``, ``comments-area``); within an article only containers are left out by it, no headings or paragraphs, nor a section that
+opens with a heading and whose name may be a topic (``discussion``). Where just a word of it does (``side-effects``), a
+container goes only if most pages of the host repeat its text.
 
 Null, empty or text-free html gives an empty text. A null url is a host of its own. Repeated rows get a row each. Html that is cut off or
 leaves elements open is read to its end.
@@ -42,6 +45,14 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense b
                   "notices alert popup modal overlay newsletter subscribe subscription signup login paywall form search share sharing social "
                   "related recommended recommendations teaser teasers comment comments commentlist reply replies respond discussion disqus "
                   "pagination pager toolbar skip masthead topbar copyright disclaimer".split())
+# Words that may stand beside those in one class or id and add nothing; names that may also be what a section of an article is about.
+BESIDE = frozenset("container area list box wrapper wrap block section slot unit bar button buttons link links item items group inner outer left right "
+                   "top bottom header site page main global primary secondary content post posts article articles story stories icon icons tools row col "
+                   "column panel the".split())
+TOPICS = frozenset("discussion side notice notices search alert advertising advertisement promotion cookies consent gdpr copyright disclaimer subscription "
+                   "navigation menu form foot rail skip respond widget widgets recommendations sharing sponsors".split())
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd tr td th tbody thead tfoot caption figcaption blockquote pre address".split()) | INLINE
+HEADED = re.compile(r"\s*(?:<(?:header|hgroup|div|a|span)\b[^>]*>\s*)*<h[1-6]\b", re.I)
 OUTSIDE = frozenset("header head top".split())
 MARKS = frozenset("article main content post entry story articlebody maincontent".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
@@ -59,49 +70,59 @@ PAGE = "#page"
 class Block:
     """A block of text with the path of its element and what the elements around it say of it."""
 
-    __slots__ = ("text", "path", "article", "out")
+    __slots__ = ("text", "path", "article", "out", "doubtful")
 
-    def __init__(self, text: str, path: str, article: bool, out: bool):
-        self.text, self.path, self.article, self.out = text, path, article, out
+    def __init__(self, text: str, path: str, article: bool, out: bool, doubtful: bool):
+        self.text, self.path, self.article, self.out, self.doubtful = text, path, article, out, doubtful
 
 
 class Reader:
     """Reads one page into blocks and elements. Elements are (name, path, in an article, left out)."""
 
     def __init__(self):
-        self.kinds: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+        self.kinds: dict[tuple[str, str], tuple[str, bool, bool, bool, str, bool]] = {}
 
-    def kind(self, name: str, more: str) -> tuple[str, bool, bool, bool]:
-        """(label for paths, marks an article, is left out, is left out outside articles) of a start tag."""
+    def kind(self, name: str, more: str) -> tuple[str, bool, bool, bool, str, bool]:
+        """(label for paths, marks an article, is left out, is left out outside articles, its name, is doubtful) of a start tag.
+
+        The name is "" if class and id name nothing to be left out, "topic" if a section may be about it, else "part".
+        """
         known = self.kinds.get((name, more))
         if known is None:
             if len(self.kinds) > 50_000:
                 self.kinds.clear()
-            marks, label, hidden = set(), name, False
+            marks, label, hidden, whole = set(), name, False, []
             role = ""
             for attribute, *values in ATTRIBUTE.findall(more) if more.strip() else ():
                 attribute, value = attribute.lower(), "".join(values)
                 if attribute in ("class", "id"):
                     marks.update(w.lower() for w in WORDS.findall(value))
+                    if attribute == "class" or name not in TEXTUAL - INLINE:  # headings and the like have ids made of their text
+                        whole += [{w.lower() for w in WORDS.findall(token)} for token in value.split()]
                     if attribute == "class" and value:
                         label = f"{name}.{' '.join(sorted(value.split()))}"
                 elif attribute == "role":
                     role = value.strip().lower()
                 elif attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and "display:none" in value.replace(" ", "").lower():
                     hidden = True
-            out = hidden or name in LEFT_OUT or role in ROLES_OUT or (name not in ("article", "main", "body", "html") and bool(marks & NAMES))
+            out = hidden or name in LEFT_OUT or role in ROLES_OUT
+            named, doubtful = "", False
+            if name not in ("article", "main", "body", "html"):
+                parts = [words & NAMES for words in whole if words & NAMES and words <= NAMES | BESIDE]
+                named = ("topic" if all(words <= TOPICS for words in parts) else "part") if parts else ""
+                doubtful = not named and name not in TEXTUAL and bool(marks & NAMES)
             article = name in ("article", "main") or role in ("main", "article") or (name in ("div", "section", "td") and bool(marks & MARKS))
             outside = name == "header" or (name not in ("body", "html", "h1", "h2", "h3", "p") and bool(marks & OUTSIDE))
-            if name == "article" and marks & {"comment", "comments", "reply", "teaser", "related", "promo", "ad"}:
+            if name == "article" and any(words & {"comment", "comments", "reply", "teaser", "related", "promo", "ad"} and words <= NAMES | BESIDE for words in whole):
                 out = True
-            known = self.kinds[name, more] = (label, article and not out, out, outside)
+            known = self.kinds[name, more] = (label, article and not out and not named, out, outside, named, doubtful)
         return known
 
     def read(self, text: str | None) -> tuple[list[Block], dict[str, int]]:
         """Blocks in page order, and how often each path opens."""
         blocks: list[Block] = []
         opened: dict[str, int] = defaultdict(int)
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
         parts: list[str] = []
         at = 0
 
@@ -110,8 +131,7 @@ class Reader:
                 words = entities.unescape("".join(parts)).split()
                 parts.clear()
                 if words:
-                    _, path, article, out = next(x for x in reversed(stack) if x[0] not in INLINE)
-                    blocks.append(Block(" ".join(words), path, article, out))
+                    blocks.append(Block(" ".join(words), *next(x for x in reversed(stack) if x[0] not in INLINE)[1:]))
 
         def close(upto: int) -> None:
             del stack[upto:]
@@ -132,9 +152,9 @@ class Reader:
                     if stack[-1][0] == name:
                         stack.pop()
                 else:
-                    label, _, out, _ = self.kind(name, found["more"])
-                    if out and name not in ("img", "wbr"):
-                        stack.append((name, stack[-1][1], stack[-1][2], True))
+                    _, _, out, _, named, _ = self.kind(name, found["more"])
+                    if (out or named and not stack[-1][2]) and name not in ("img", "wbr"):
+                        stack.append((name, stack[-1][1], stack[-1][2], True, stack[-1][4]))
                 continue
             flush()
             if found["end"]:
@@ -151,16 +171,18 @@ class Reader:
                 continue
             if name == "body":
                 close(2 if len(stack) > 1 and stack[1][0] == "html" else 1)
-            label, article, out, outside = self.kind(name, found["more"])
+            label, article, out, outside, named, doubtful = self.kind(name, found["more"])
             if name in ("article", "main"):  # neither stands in a menu or a page's header: those were left open
                 close(next((i for i, x in enumerate(stack) if x[0] in ("nav", "header", "menu")), len(stack)))
-            _, path, within, already = stack[-1]
+            _, path, within, already, doubt = stack[-1]
+            if named and not (within and (name in TEXTUAL or name == "section" and named == "topic" and HEADED.match(text, at))):
+                out = True
             if name in ("article", "main") and already and all(x[0] == "form" for x in stack if x[3] and x[0] in LEFT_OUT):
                 already = False  # a form around the whole page
             path = f"{path}/{label}"
             opened[path] += 1
             if name not in VOID and not found["more"].endswith("/"):
-                stack.append((name, path, within or article, already or out or (outside and not within)))
+                stack.append((name, path, within or article, already or out or (outside and not within), doubt or doubtful))
         if text and at < len(text) and not stack[-1][3]:
             parts.append(text[at:])
         flush()
@@ -245,6 +267,7 @@ def article_slot(classes) -> str:
 
 def main_text(blocks: list[Block], slot: str, shared: frozenset[str]) -> str:
     """The blocks of the article in page order, joined by an empty line."""
+    blocks = [b for b in blocks if not (b.doubtful and xxhash.xxh64_hexdigest(b.text) in shared)]
     within = [b for b in blocks if not b.out and slot and (b.path == slot or b.path.startswith(f"{slot}/"))]
     chosen = [b for b in within if b.article]
     if not chosen:

@@ -430,6 +430,20 @@ def test_articles_of_awkward_pages(spark):
     assert extract_articles(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_articles_keep_text_whose_names_only_resemble_page_parts(spark):
+    kept = ["Search", "Related work", "Deadline {i}", "Discussion", "Section text {i}", "Nausea {i}", "Token {i}", "Unmarked {i}"]
+    inner = ("<h2 id=search>Search</h2><h2 id=related-work>Related work</h2><p class=notice-period>Deadline {i}</p>"
+             "<section id=discussion><h2>Discussion</h2><p>Section text {i}</p></section><div class=side-effects>Nausea {i}</div>"
+             "<pre><span class='token comment'>Token {i}</span></pre><div class='share-this'>Tell a friend</div><div class=comments-area><h3>Comments</h3>Hi</div>"
+             "<section id=comments><h2>Comments</h2>Reader {i}</section><div class=ad>Buy</div><div id=discussion>Reader {i}</div><p class=x>Unmarked {i}</p>")
+    pages = [(i, f"https://h.org/{i}", f"<body><div class=menu>Menu</div><article class='post ad-free'>{inner.format(i=i)}</article></body>") for i in range(6)]
+    pages += [(9, "https://alone.org/", f"<body><div class=menu>Menu</div><div>{inner.split('<section')[0].format(i=9)}</div></body>")]
+    got = {r.page_id: r.text.split("\n\n") for r in extract_articles(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == [k.format(i=i) for k in kept]
+    assert got[9] == ["Search", "Related work", "Deadline 9"]
+
+
 def test_reader_decodes_once():
     blocks, _ = Reader().read("<p>&amp;lt; &eacute; &#8212;</p>")
     assert blocks[0].text == html.unescape("&amp;lt; &eacute; &#8212;")
