@@ -366,6 +366,19 @@ def test_url_rules(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_url_rules_read_whole_urls_and_single_hosts(spark):
+    rules = [("block", "bad.org/"), ("allow", "good.org/")]
+    urls = [f"http://bad.org/en/2024/casino/{i}" for i in range(40)] + [f"http://good.org/en/2024/news/{i}" for i in range(4000)]
+    urls += ["http://x.net/en/2024/casino/a", "http://x.net/en/2024/news/a", "http://x.net/en/2024/casino/" + "/".join(f"s{i}" for i in range(30))]
+    urls += ["http://good.org/" + "/".join(f"d{i}" for i in range(40))] * 25  # one deep url, often: its tokens are one item
+    rows = [(i, u) for i, u in enumerate(urls)]
+    got = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert [got[u].verdict for u in urls[4040:4043]] == ["block", "allow", "block"]
+    assert got[urls[4040]].mined.endswith("-> block") and len(got) == 4044
+    only = [(i, f"http://bad.org/en/{i}") for i in range(50)] + [(99, "http://x.net/en/1")]  # all labels are alike: no rule can lift
+    assert {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(only, "page_id long, url string"), rules).collect()}[99] == "block"
+
+
 def test_mixture(spark, docs, none):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(200), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)] + [(5, "w w", "a")] * 3 + [(None, None, "z")]
