@@ -120,3 +120,36 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     from probatum.llm.lm_scoring import score_texts
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@register("op11_token_alignment")
+def op11(spark, sf_dir):
+    from probatum.llm.token_alignment import align_documents
+    return align_documents(table(spark, sf_dir, "documents"))[0]
+
+
+@register("op12_minhash_near_dedup")
+def op12(spark, sf_dir):
+    from probatum.llm.minhash_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, anchor_id, b, vec_id AS positive_id, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.a = s.a WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+@register("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    from probatum.llm.hard_negatives import mine_negatives, shifted_labels
+    return mine_negatives(shifted_labels(table(spark, sf_dir, "embeddings")))
