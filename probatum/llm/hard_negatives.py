@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatum.llm.common import LAST, durable, id_of, key_of
@@ -72,11 +72,11 @@ def build_lists(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 class Anchors:
-    """Some anchors: row ids, labels, vectors, and the windows (owner, lower bound, upper bound, both in hundredths)."""
+    """Some anchors: row ids, labels, vectors, and the windows of scores (lowest, highest) that their positives set."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, vectors: list[np.ndarray]):
         self.rows, self.labels, self.vectors = rows, labels, vectors
-        self.windows: list[list[tuple[int, int, int]]] = [[] for _ in rows]
+        self.windows: list[list[tuple[int, int]]] = [[] for _ in rows]
 
 
 class Lists:
@@ -189,19 +189,19 @@ def _search(index: DataFrame, held, search, k: int) -> DataFrame:
 
 def _first(found: DataFrame, k: int) -> DataFrame:
     """The k best of all tasks as (anchor, window, rank, score, key); a task sends k rows of each at most."""
-    from pyspark.sql import Window
     turn = F.row_number().over(Window.partitionBy("anchor", "window").orderBy(F.col("score").desc(), "key"))
     return found.withColumn("rank", turn).where(F.col("rank") <= k)
 
 
-def _anchor_groups(index: DataFrame, every: int, size: int) -> Iterator[Anchors]:
-    """The rows whose id is divisible by ``every``, a group of at most about ``size`` bytes at a time."""
+def _anchor_groups(index: DataFrame, every: int, size: int) -> Iterator[tuple[Anchors, np.ndarray]]:
+    """The rows whose id is divisible by ``every``, with their ids, a group of at most about ``size`` bytes at a time."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 block = Lists(*row)
                 at = np.flatnonzero((block.keys % every == 0) & (block.keys != LAST))
-                yield pd.DataFrame({"row": block.rows[at], "label": block.labels[at], "key": block.keys[at], "q": list(block.vectors[at])})
+                if len(at):
+                    yield pd.DataFrame({"row": block.rows[at], "label": block.labels[at], "key": block.keys[at], "q": list(block.vectors[at])})
 
     anchors = durable(index.mapInPandas(read, "row long, label long, key long, q array<long>"), "anchors")
     total = anchors.agg(F.coalesce(F.sum(8 * F.size("q") + 16), F.lit(0))).first()[0]

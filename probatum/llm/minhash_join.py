@@ -11,8 +11,10 @@ count only after both full sets have been compared.
 Copies fold into sets before anything is posted, and a probe that one set alone posts goes no further. Not all pairs of a group are listed.
 Each set first meets the heaviest set it shares a probe with within the distance (one that shares most probes in all stands in the middle of its
 group). With the components that these links give, every pair within the distance whose sets share a probe and lie in different components
-is compared; pairs inside a component cannot change it. The distance is tested inside the join, on four bits a place, which never exceeds
-the full distance.
+is compared; pairs inside a component cannot change it. Two tests inside the join keep it from listing pairs that cannot link: the distance on
+four bits a place, which never exceeds the full distance, and parity maps, in which each shingle turns one of ``64 * MAP`` bits: the
+bits that differ between two maps never outnumber the shingles that differ between the sets. They tell variants of one text that are less
+alike than asked apart from those that are, for sets of up to some thousand shingles; above that the maps fill up and only the distance counts.
 
 Lower-casing touches A-Z only. Fewer words than ``size`` make one shingle; null, empty or blank texts have none and link with nothing. Rows
 that repeat a doc_id are judged by their own texts; a missing doc_id counts as the largest. Shingles and sets are known by 64-bit hashes.
@@ -35,6 +37,7 @@ from probatum.llm.components import components
 BITS = 16
 STRIDE = 1 << 15  # shingles hashed at a time, so that they stay in cache
 NIBBLES = 0x1111111111111111
+MAP = 16
 
 
 def distinct_shingles(text: str | None, hashes: Hashes, size: int) -> np.ndarray:
@@ -84,8 +87,14 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low.reshape(len(signature), -1, 16) << shift, axis=2).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """``64 * MAP`` bits, each telling whether an odd number of shingles of the set belong to it."""
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * MAP), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def describe(docs: DataFrame, size: int, places: int) -> DataFrame:
-    """(key, text_mark, n, mark, signature) per row; no signature without shingles."""
+    """(key, text_mark, n, mark, signature, map) per row; no signature and no map without shingles."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for frame in frames:
@@ -94,21 +103,23 @@ def describe(docs: DataFrame, size: int, places: int) -> DataFrame:
             rows = iter(signatures(filled, places)) if filled else iter(())
             marks = [int(np.add.reduce(mix(s.copy())).view(np.int64)) if len(s) else 0 for s in sets]
             yield pd.DataFrame({"key": frame["key"], "text_mark": frame["text_mark"], "n": [len(s) for s in sets], "mark": marks,
-                                "signature": [next(rows).tobytes() if len(s) else None for s in sets]})
+                                "signature": [next(rows).tobytes() if len(s) else None for s in sets],
+                                "map": [parity(s).tobytes() if len(s) else None for s in sets]})
 
     return docs.select(key_of().alias("key"), text_mark().alias("text_mark"), "text").mapInPandas(
-        read, "key long, text_mark long, n long, mark long, signature binary")
+        read, "key long, text_mark long, n long, mark long, signature binary, map binary")
 
 
 def posted(sets: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
-    """(mark, n, sketch, probes) per set."""
+    """(mark, n, sketch, map, probes) per set."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 signature = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), -1)
-                yield pd.DataFrame({"mark": frame["mark"], "n": frame["n"], "sketch": list(sketches(signature)), "probes": list(probes(signature, chunks, width, errors))})
+                yield pd.DataFrame({"mark": frame["mark"], "n": frame["n"], "sketch": list(sketches(signature)),
+                                    "map": list(np.frombuffer(b"".join(frame["map"]), np.int64).reshape(len(frame), -1)), "probes": list(probes(signature, chunks, width, errors))})
 
-    return sets.select("mark", "n", "signature").mapInPandas(read, "mark long, n long, sketch array<long>, probes array<long>")
+    return sets.select("mark", "n", "signature", "map").mapInPandas(read, "mark long, n long, sketch array<long>, map array<long>, probes array<long>")
 
 
 def distance(one: list, other: list):
@@ -123,37 +134,45 @@ def distance(one: list, other: list):
 def near(percent: int, most: int, longs: int):
     """Whether a pair of postings may be linked, by their sizes and sketches; the other side's columns end in 2."""
     alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    names = [f"s{i}" for i in range(longs)]
+    names = [f"s{i}_" for i in range(longs)]
     return (F.col("mark") != F.col("mark2")) & alike & (distance(names, [f"{x}2" for x in names]) <= most)
 
 
+def differ_little(percent: int):
+    """Whether the parity maps leave it possible that the sets reach the similarity."""
+    both = F.col("n") + F.col("n2")
+    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"p{i}_").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(MAP)])
+    return bits <= both - 2 * F.ceil(percent * both / (100 + percent))
+
+
 def second(rows: DataFrame) -> DataFrame:
     """The same columns under the names of a pair's other side."""
-    return rows.select("probe", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "probe"])
+    return rows.select(*[F.col(c).alias(f"{c}2") for c in rows.columns])
 
 
-def to_heaviest(shared: DataFrame, percent: int, most: int, longs: int) -> DataFrame:
+def to_heaviest(shared: DataFrame, facts: DataFrame, percent: int, most: int, longs: int) -> DataFrame:
     """(a, b): each set with the heaviest set among the heaviest of its probes that lies within the distance."""
-    rows = shared.drop("members")
-    fields = [c for c in rows.columns if c != "probe"]
-    heaviest = rows.groupBy("probe").agg(F.max_by(F.struct(*fields), F.struct("weight", "mark")).alias("c")).select("probe", "c.*")
-    pairs = rows.join(second(heaviest).withColumnRenamed("probe", "probe2"), (F.col("probe") == F.col("probe2")) & near(percent, most, longs))
+    names = ["n", "weight", *[f"s{i}_" for i in range(longs)]]
+    rows = shared.select("probe", "mark").join(facts.select("mark", *names), "mark")
+    heaviest = rows.groupBy("probe").agg(F.max_by(F.struct("mark", *names), F.struct("weight", "mark")).alias("c")).select("probe", "c.*")
+    pairs = rows.join(second(heaviest), (F.col("probe") == F.col("probe2")) & near(percent, most, longs))
     chosen = pairs.groupBy("mark").agg(F.max_by("mark2", F.struct("weight2", "mark2")).alias("other"))
     return chosen.select(F.least("mark", "other").alias("a"), F.greatest("mark", "other").alias("b")).distinct()
 
 
-def across(shared: DataFrame, labels: DataFrame, percent: int, most: int, longs: int) -> DataFrame:
-    """(a, b): all pairs within the distance that share a probe and lie in different components.
+def across(shared: DataFrame, facts: DataFrame, labels: DataFrame, percent: int, most: int, longs: int) -> DataFrame:
+    """(a, b): all pairs that may be linked, share a probe and lie in different components.
 
     Within a probe, the sets outside its largest component meet all sets; those within it are not paired.
     """
-    rows = shared.drop("members", "weight").join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
+    rows = shared.select("probe", "mark").join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
     by_label = rows.groupBy("probe", "label").agg(F.count("*").alias("members"))
     mixed = by_label.groupBy("probe").agg(F.max_by("label", F.struct("members", "label")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1")
-    rows = rows.join(mixed.select("probe", "major"), "probe")
-    minor = rows.where("label <> major")
+    rows = durable(rows.join(mixed.select("probe", "major"), "probe"), "mixed-probes")
+    facts = facts.drop("weight")
+    minor, every = rows.where("label <> major").join(facts, "mark"), second(rows.join(facts, "mark"))
     once = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("major2")) | (F.col("mark") < F.col("mark2")))
-    pairs = minor.join(second(rows).withColumnRenamed("probe", "probe2"), (F.col("probe") == F.col("probe2")) & once & near(percent, most, longs))
+    pairs = minor.join(every, (F.col("probe") == F.col("probe2")) & once & near(percent, most, longs) & differ_little(percent))
     return pairs.select(F.least("mark", "mark2").alias("a"), F.greatest("mark", "mark2").alias("b")).distinct()
 
 
@@ -189,19 +208,19 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, chunks: i
     name of its group, null without shingles."""
     most, longs = chunks * (errors + 1) - 1, -(-chunks * width // 16)
     rows = durable(describe(docs, size, chunks * width), "signatures")
-    sets = rows.where("n > 0").groupBy("mark").agg(F.min(F.struct("key", "text_mark")).alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    sets = durable(sets.select("mark", "n", "signature", "least.*"), "distinct-sets")
+    sets = rows.where("n > 0").groupBy("mark").agg(F.min(F.struct("key", "text_mark")).alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("map").alias("map"))
+    sets = durable(sets.select("mark", "n", "signature", "map", "least.*"), "distinct-sets")
     book = durable(posted(sets, chunks, width, errors), "probes")
     postings = book.select("mark", F.explode("probes").alias("probe"))
     counts = postings.groupBy("probe").agg(F.count("*").alias("members")).where("members > 1")
     shared = durable(postings.join(counts, "probe"), "shared-probes")
     weights = shared.groupBy("mark").agg(F.sum("members").alias("weight"))
-    facts = weights.join(book.select("mark", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)]), "mark")
-    shared = durable(shared.join(facts, "mark"), "weighed-probes")
+    facts = durable(weights.join(book.select("mark", "n", *[F.col("sketch")[i].alias(f"s{i}_") for i in range(longs)], *[F.col("map")[i].alias(f"p{i}_") for i in range(MAP)]),
+                                 "mark"), "posted-sets")
 
-    central = durable(to_heaviest(shared, percent, most, longs), "central-pairs")
+    central = durable(to_heaviest(shared, facts, percent, most, longs), "central-pairs")
     links = durable(verified(central, docs, sets, size, percent), "central-links")
-    rest = durable(across(shared, components(links), percent, most, longs).join(central, ["a", "b"], "left_anti"), "other-pairs")
+    rest = durable(across(shared, facts, components(links), percent, most, longs).join(central, ["a", "b"], "left_anti"), "other-pairs")
     links = links.unionByName(durable(verified(rest, docs, sets, size, percent), "other-links"))
 
     named = sets.select("mark", "key").join(components(links).withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))

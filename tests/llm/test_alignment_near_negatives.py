@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from probatum.llm import token_alignment as alignment
 from probatum.llm.common import Hashes, mix
 from probatum.llm.hard_negatives import Best, Lists, build_lists, mine_negatives, shifted_labels, usable
-from probatum.llm.minhash_join import distinct_shingles, near_duplicates, probes, signatures, sketches
+from probatum.llm.minhash_join import distinct_shingles, near_duplicates, parity, probes, signatures, sketches
 from probatum.llm.token_alignment import BYTE_BPE, PIECE_BPE, Aligned, Tokenizers, align_documents
 
 DOCS = "doc_id long, text string, key long, block string, mark long, label int, signature string"
@@ -193,6 +193,14 @@ def test_signatures_within_the_distance_share_a_probe():
     assert (close <= (base != other).sum(1)).all()
 
 
+def test_parity_maps_never_tell_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 150, 3000):
+        u = mix(rng.integers(1, 1 << 63, n + n // 4, dtype=np.uint64))
+        a, b = u[:n], u[n // 4:]
+        assert np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum() <= 2 * (n // 4)
+
+
 def test_places_differ_as_often_as_sets_do():
     rng = np.random.default_rng(4)
     pairs = []
