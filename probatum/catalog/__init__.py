@@ -2,8 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["vectors", "search", "fusion", "cleaning", "segmentation", "chunking", "tagging", "gating", "graph", "evidence",
-           "analytics", "stateful", "evaluation", "quality", "conversation", "stores", "streams", "plans"]
+MODULES = ["vectors", "search", "lexemes", "fusion", "cleaning", "segmentation", "chunking", "tagging", "gating", "graph", "evidence",
+           "analytics", "stateful", "evaluation", "quality", "conversation", "stores", "streams",
+           "plans"]
 
 
 def load() -> None:

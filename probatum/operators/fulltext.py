@@ -9,7 +9,7 @@ BM25 in closed form.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -127,11 +127,11 @@ def read_query(query_id, parts: Sequence[str], folded: Sequence[Sequence[str]],
     return query
 
 
-def _blocks(queries: DataFrame, stop_words: Sequence[str], block_bytes: int) -> Iterator[list[Query]]:
-    """The queries, read, a block of bounded size at a time."""
+def _blocks(queries: DataFrame, stop_words: Sequence[str], block_bytes: int, words: Callable[[Column], Column] = tokens) -> Iterator[list[Query]]:
+    """The queries, read, a block of bounded size at a time; ``words`` cuts their parts as the index was cut."""
     parts = max(1, -(-(queries.agg(F.sum(F.octet_length("query_text"))).first()[0] or 0) // block_bytes))
     cut = F.regexp_extract_all("query_text", F.lit(r'(-?"[^"]*"|\S+)'), F.lit(1))
-    columns = ["query_id", cut.alias("parts"), F.transform(cut, tokens).alias("folded")] + (["types"] if "types" in queries.columns else [])
+    columns = ["query_id", cut.alias("parts"), F.transform(cut, words).alias("folded")] + (["types"] if "types" in queries.columns else [])
     for i in range(parts):
         rows = queries.where(F.col("query_text").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).select(*columns).collect()
         found = [read_query(r.query_id, r.parts, r.folded, stop_words, set(r.types) if "types" in queries.columns else None) for r in rows]
