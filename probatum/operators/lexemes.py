@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_terms
+from ..session import materialise
 from .fulltext import BLOCK_BYTES, Index, Page, Query, Search, _blocks
 from .ranking import top_per
 
@@ -32,22 +33,19 @@ def written_words(col: Column) -> Column:
 
 
 def build_stemmed(chunks: DataFrame, text_col: str = "texto", stop_words: Sequence[str] = ()) -> Index:
-    """Index of chunks ``(chunk_id, text)`` whose vocabulary has the stem of each term."""
+    """Index of chunks ``(chunk_id, text)`` whose vocabulary has the stem of each term; the vocabulary is written, so that searches do not stem it again."""
     words = written_words(F.col(text_col))
     if stop_words:
         words = F.transform(words, lambda w: F.when(w.isin(*stop_words), F.lit("")).otherwise(w))
     plain = Index.of(chunks.select("chunk_id", words.alias("words")).where("size(words) > 0"))
-    return Index(plain.chunks, stem_terms(plain.vocabulary), plain.stats)
+    return Index(plain.chunks, materialise(stem_terms(plain.vocabulary), "stems"), plain.stats)
 
 
 def write_stemmed(index: Index, path: str) -> Index:
-    """The index, stored; the vocabulary is stemmed once, when it is written."""
-    spark = index.chunks.sparkSession
-    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    stored = Index.of(spark.read.parquet(f"{path}/chunks"))
-    stem_terms(stored.vocabulary).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    stored.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    return Index.read(spark, path)
+    """The index, stored at a place of its own."""
+    for name in ("chunks", "vocabulary", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    return Index.read(index.chunks.sparkSession, path)
 
 
 class CoverSearch(Search):
