@@ -14,7 +14,8 @@ group). With the components that these links give, every pair within the distanc
 is compared; pairs inside a component cannot change it. Two tests inside the join keep it from listing pairs that cannot link: the distance on
 four bits a place, which never exceeds the full distance, and parity maps, in which each shingle turns one of ``64 * MAP`` bits: the
 bits that differ between two maps never outnumber the shingles that differ between the sets. They tell variants of one text that are less
-alike than asked apart from those that are, for sets of up to some thousand shingles; above that the maps fill up and only the distance counts.
+alike than asked apart from those that are, for sets of up to some thousand shingles; above that the maps fill up and only the distance counts. A pair with chunks alike as a whole is listed once for each of
+these, not for all probes that it shares.
 
 Lower-casing touches A-Z only. Fewer words than ``size`` make one shingle; null, empty or blank texts have none and link with nothing. Rows
 that repeat a doc_id are judged by their own texts; a missing doc_id counts as the largest. Shingles and sets are known by 64-bit hashes.
@@ -78,6 +79,19 @@ def probes(signature: np.ndarray, chunks: int, width: int, errors: int) -> np.nd
     return np.concatenate(found, axis=1).view(np.int64)
 
 
+def whole_chunks(signature: np.ndarray, chunks: int, width: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of whole chunks with their number, and of what the first choice leaves out of each chunk."""
+    parts = signature.reshape(len(signature), chunks, width).astype(np.uint64)
+
+    def hashed(places: range) -> np.ndarray:
+        h = np.broadcast_to(np.arange(chunks, dtype=np.uint64), parts.shape[:2]).copy()
+        for place in places:
+            h = mix(h * STEP + parts[:, :, place] + np.uint64(1))
+        return h.view(np.int64)
+
+    return hashed(range(width)), hashed(range(width - errors, width))
+
+
 def sketches(signature: np.ndarray) -> np.ndarray:
     """Four bits of each place, 16 places to a 64-bit value."""
     places = -(-signature.shape[1] // 16) * 16
@@ -111,15 +125,17 @@ def describe(docs: DataFrame, size: int, places: int) -> DataFrame:
 
 
 def posted(sets: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
-    """(mark, n, sketch, map, probes) per set."""
+    """(mark, n, sketch, map, whole, left, probes) per set."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 signature = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), -1)
-                yield pd.DataFrame({"mark": frame["mark"], "n": frame["n"], "sketch": list(sketches(signature)),
+                whole, left = whole_chunks(signature, chunks, width, errors)
+                yield pd.DataFrame({"mark": frame["mark"], "n": frame["n"], "whole": list(whole), "left": list(left), "sketch": list(sketches(signature)),
                                     "map": list(np.frombuffer(b"".join(frame["map"]), np.int64).reshape(len(frame), -1)), "probes": list(probes(signature, chunks, width, errors))})
 
-    return sets.select("mark", "n", "signature", "map").mapInPandas(read, "mark long, n long, sketch array<long>, map array<long>, probes array<long>")
+    return sets.select("mark", "n", "signature", "map").mapInPandas(
+        read, "mark long, n long, whole array<long>, left array<long>, sketch array<long>, map array<long>, probes array<long>")
 
 
 def distance(one: list, other: list):
@@ -145,6 +161,12 @@ def differ_little(percent: int):
     return bits <= both - 2 * F.ceil(percent * both / (100 + percent))
 
 
+def in_one_place():
+    """Whether a pair that shares several probes is to be listed by this one: by the first probe of each chunk that is alike as a whole, or, if no
+    chunk is, by every one."""
+    return F.coalesce(F.col("left") == F.col("left2"), F.lit(False)) | ~F.arrays_overlap("whole", "whole2")
+
+
 def second(rows: DataFrame) -> DataFrame:
     """The same columns under the names of a pair's other side."""
     return rows.select(*[F.col(c).alias(f"{c}2") for c in rows.columns])
@@ -165,14 +187,14 @@ def across(shared: DataFrame, facts: DataFrame, labels: DataFrame, percent: int,
 
     Within a probe, the sets outside its largest component meet all sets; those within it are not paired.
     """
-    rows = shared.select("probe", "mark").join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
+    rows = shared.select("probe", "mark", "left").join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
     by_label = rows.groupBy("probe", "label").agg(F.count("*").alias("members"))
     mixed = by_label.groupBy("probe").agg(F.max_by("label", F.struct("members", "label")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1")
     rows = durable(rows.join(mixed.select("probe", "major"), "probe"), "mixed-probes")
     facts = facts.drop("weight")
     minor, every = rows.where("label <> major").join(facts, "mark"), second(rows.join(facts, "mark"))
     once = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("major2")) | (F.col("mark") < F.col("mark2")))
-    pairs = minor.join(every, (F.col("probe") == F.col("probe2")) & once & near(percent, most, longs) & differ_little(percent))
+    pairs = minor.join(every, (F.col("probe") == F.col("probe2")) & once & near(percent, most, longs) & differ_little(percent) & in_one_place())
     return pairs.select(F.least("mark", "mark2").alias("a"), F.greatest("mark", "mark2").alias("b")).distinct()
 
 
@@ -211,11 +233,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, chunks: i
     sets = rows.where("n > 0").groupBy("mark").agg(F.min(F.struct("key", "text_mark")).alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("map").alias("map"))
     sets = durable(sets.select("mark", "n", "signature", "map", "least.*"), "distinct-sets")
     book = durable(posted(sets, chunks, width, errors), "probes")
-    postings = book.select("mark", F.explode("probes").alias("probe"))
+    # the first probes of a set, one a chunk, leave the same places out
+    postings = book.select("mark", "left", F.posexplode("probes").alias("pos", "probe")).select("mark", "probe", F.get("left", "pos").alias("left"))
     counts = postings.groupBy("probe").agg(F.count("*").alias("members")).where("members > 1")
     shared = durable(postings.join(counts, "probe"), "shared-probes")
     weights = shared.groupBy("mark").agg(F.sum("members").alias("weight"))
-    facts = durable(weights.join(book.select("mark", "n", *[F.col("sketch")[i].alias(f"s{i}_") for i in range(longs)], *[F.col("map")[i].alias(f"p{i}_") for i in range(MAP)]),
+    facts = durable(weights.join(book.select("mark", "n", "whole", *[F.col("sketch")[i].alias(f"s{i}_") for i in range(longs)], *[F.col("map")[i].alias(f"p{i}_") for i in range(MAP)]),
                                  "mark"), "posted-sets")
 
     central = durable(to_heaviest(shared, facts, percent, most, longs), "central-pairs")
