@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import vector_index as stored
 from ..operators import vectors as ops
+from ..session import scratch_path
 from . import derived as d
 from .registry import query
 
@@ -121,6 +123,31 @@ def vector_ann_lsh(t):
     return ops.vector_ann_lsh(d.chunk_vectors(t), d.query_vectors(t))
 
 
+def built_index(t):
+    return stored.build_index(d.chunk_vectors(t), scratch_path(t.spark, "vector-index"))
+
+
+@query("vector_index_search")
+def vector_index_search(t):
+    return stored.search_index(built_index(t), d.query_vectors(t))
+
+
+@query("vector_index_exact", d.with_(_BASE, topk_sql("true", 10)))
+def vector_index_exact(t):
+    return stored.search_exact(built_index(t), d.query_vectors(t))
+
+
+# One query per hundredth vector; the check states the recall to be reached.
+@query("vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(t):
+    index = built_index(t)
+    asked = t.embeddings.where("vec_id % 100 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"))
+    exact = ops.vector_topk(d.chunk_vectors(t), asked, 10)
+    return stored.index_recall(stored.search_index(index, asked, 10), exact).agg(
+        F.count("*").alias("queries"), (F.sum("found") >= 0.9 * F.sum("expected")).alias("enough"))
+
+
 @query("embed_batch")
 def embed_batch(t):
     v = ops.embed_text(d.chunk_texts(t))
