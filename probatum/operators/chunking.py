@@ -41,28 +41,39 @@ def windows_of(tokens: Column, max_tokens: int, overlap: int, emit_tail_suffixes
     left out unless asked for.
     """
 
-    def tail_sum(i: Column):
-        return lambda r: F.aggregate(F.slice(tokens, r + 1, i - r), F.lit(0), lambda s, x: s + x)
+    return let(tokens, lambda sizes: let(_running(sizes), lambda upto: _windows(
+        sizes, upto, max_tokens, overlap, emit_tail_suffixes)))
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of the first 0, 1, 2, ... sizes."""
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda upto, x: F.concat(upto, F.array(F.element_at(upto, -1) + x)))
+
+
+def _windows(sizes: Column, upto: Column, max_tokens: int, overlap: int, emit_tail_suffixes: bool) -> Column:
+
+    def between(r: Column, i: Column) -> Column:
+        return F.get(upto, i) - F.get(upto, r)
 
     def restart(s: Column, i: Column) -> Column:
-        enough = F.filter(_range(s + 1, i - 1), lambda r: tail_sum(i)(r) >= overlap)
+        enough = F.filter(_range(s + 1, i - 1), lambda r: between(r, i) >= overlap)
         return F.coalesce(F.array_max(enough), F.least(s + 1, i))
 
     def step(state: Column, i: Column) -> Column:
-        t, s = F.get(tokens, i), state["s"]
+        t, s = F.get(sizes, i), state["s"]
         full = (state["acc"] + t > max_tokens) & (i > s)
 
         def reopen(back: Column) -> Column:
-            repeated = F.filter(_range(back, i - 1), lambda r: tail_sum(i)(r) + t > max_tokens)
+            repeated = F.filter(_range(back, i - 1), lambda r: between(r, i) + t > max_tokens)
             return let(repeated, lambda again: let((back + F.size(again)).cast("int"), lambda start: F.struct(
-                start.alias("s"), (tail_sum(i)(start) + t).cast("int").alias("acc"),
+                start.alias("s"), (between(start, i) + t).cast("int").alias("acc"),
                 F.concat(state["out"], F.array(_span(s, i)), F.transform(again, lambda r: _span(r, i))).alias("out"))))
 
         grown = F.struct(s.alias("s"), (state["acc"] + t).cast("int").alias("acc"), state["out"].alias("out"))
         return F.when(full, let(restart(s, i), reopen)).otherwise(grown)
 
     def close(state: Column) -> Column:
-        n = F.size(tokens)
+        n = F.size(sizes)
         out = F.concat(state["out"], F.array(_span(state["s"], n)))
         if emit_tail_suffixes:
             back = restart(state["s"], n)
@@ -71,19 +82,19 @@ def windows_of(tokens: Column, max_tokens: int, overlap: int, emit_tail_suffixes
 
     empty = F.array().cast("array<struct<a:int,b:int>>")
     start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("acc"), empty.alias("out"))
-    folded = F.aggregate(_range(F.lit(0), F.size(tokens) - 1), start, step, close)
-    return F.when(F.size(tokens) == 0, empty).otherwise(folded)
+    folded = F.aggregate(_range(F.lit(0), F.size(sizes) - 1), start, step, close)
+    return F.when(F.size(sizes) == 0, empty).otherwise(folded)
 
 
 def overlapping(
     paragraphs: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, emit_tail_suffixes: bool = False
 ) -> Column:
     """Chunk texts of a section: one if it fits whole, else overlapping windows of paragraphs."""
-    joined = F.array_join(paragraphs, "\n\n")
+    length = F.aggregate(paragraphs, F.lit(-2), lambda n, p: n + F.length(p) + 2)  # of the paragraphs joined
     spans = windows_of(F.transform(paragraphs, estimate_tokens), max_tokens, overlap, emit_tail_suffixes)
     cut = F.transform(spans, lambda w: F.array_join(F.slice(paragraphs, w["a"] + 1, w["b"] - w["a"]), "\n\n"))
     return F.when(F.size(paragraphs) == 0, F.array().cast("array<string>")).when(
-        estimate_tokens(joined) <= max_tokens, F.array(joined)).otherwise(cut)
+        F.ceil(length / 4) <= max_tokens, F.array(F.array_join(paragraphs, "\n\n"))).otherwise(cut)
 
 
 def chunk_overlap(

@@ -25,9 +25,8 @@ def normalise_number(raw: Column) -> Column:
 
 def references_in(text: Column) -> Column:
     """Distinct ``(tipo, numero)`` named in a text."""
-    named = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit("(?i)" + REF_NORM), F.lit(1)).alias("t"),
-        F.regexp_extract_all(text, F.lit("(?i)" + REF_NORM), F.lit(2)).alias("n"))
+    named = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + REF_NORM), F.lit(0)), lambda hit: F.struct(
+        F.regexp_extract(hit, "(?i)" + REF_NORM, 1).alias("t"), F.regexp_extract(hit, "(?i)" + REF_NORM, 2).alias("n")))
     laws = F.regexp_extract_all(text, F.lit("(?i)" + REF_LAW), F.lit(1))
     found = F.concat(
         F.transform(named, lambda r: F.struct(normalise_type(r["t"]).alias("tipo"), normalise_number(r["n"]).alias("numero"))),

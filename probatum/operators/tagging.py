@@ -55,7 +55,7 @@ def restriction_tagger(passages: DataFrame) -> DataFrame:
     start = F.greatest(at - 60, F.lit(1))
     fragment = strip(F.substring(text, start, at + F.length("patron") + 100 - start))
     label = F.when(F.col("patron").isNotNull(), "restrictivo").when(
-        any_match(text, P.EXCEPTIONS), "excepcion").otherwise("general")
+        first_hit(text, P.EXCEPTIONS).isNotNull(), "excepcion").otherwise("general")
     return tagged.withColumn("etiqueta", label).withColumn("fragmento", F.when(F.col("patron").isNotNull(), fragment))
 
 

@@ -266,3 +266,25 @@ def test_bm25_is_finite_for_a_term_in_every_chunk(rows):
     chunks = rows([(i, "siempre") for i in range(5)], "chunk_id long, texto string")
     got = fulltext.fts_search(fulltext.build_index(chunks), rows([(1, "siempre")], "query_id long, query_text string"), 3).collect()
     assert len(got) == 3 and all(math.isfinite(r.score) for r in got)
+
+
+# --- patterns --------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("regex, literals", [
+    (r"\bno\s+podr[aá]\b", ["podr"]), (r"residuo(s)? (peligros|tóxic)", ["residuo"]), (r"impuesto|tributari|sri", ["impuesto", "tributari", "sri"]),
+    (r"\bN[°º]\s*\d+", None), (r"a(b|c(d)?)e?", None), (r"aguas?x{0,3}", ["agua"]), (r"obra.{0,40}permiso(?:nes)?", ["permiso"])])
+def test_literals_that_every_match_needs(regex, literals):
+    from probatum.functions.patterns import needed_literals
+    assert needed_literals(regex) == literals
+
+
+def test_first_hit_equals_trying_every_pattern(spark):
+    from probatum.functions.patterns import UNICODE, first_hit
+    from probatum.lookups.patterns import CROSSING_AREAS, EXCEPTIONS, RESTRICTIVE
+    texts = ["No\n podrá acogerse", "SE EXCLUYE y no procede", "se prohıbıcıón", "ſalvo lo que diga", "DEROGADO", "İMPROCEDENTE", "", None, "nada",
+             "RESIDUOS PELIGROSOS", "aguas servidas", "Álveo", "alveo del río", "humedales", "paneles fotovoltaicos"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for regexes in [RESTRICTIVE, EXCEPTIONS] + [area[3] for area in CROSSING_AREAS]:
+        hits = [F.regexp_extract("t", UNICODE + r, 0) for r in regexes]
+        plain = F.coalesce(*[F.when(h != "", h) for h in hits])
+        assert not frame.where(~first_hit(F.col("t"), regexes).eqNullSafe(plain)).collect()
