@@ -36,10 +36,10 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let rows with texts travel between Spark and Python in batches of at most 2,000 rows and 16 MB, whatever the texts' lengths."""
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Let rows with texts travel between Spark and Python in batches of at most 2,000 rows and ``most`` bytes, whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -127,9 +127,12 @@ def text_mark():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def batched(docs: DataFrame, batches: int, carried: list[str] | tuple = ()) -> DataFrame:
     """The key and text of each row, with the batch that id and text deal it to. Columns to be carried along travel as JSON."""
-    rest = F.to_json(F.struct(*carried), {"ignoreNullFields": "false"}) if carried else F.lit("")
+    rest = F.to_json(F.struct(*carried), {"ignoreNullFields": "false"} | EXACT_TIMES) if carried else F.lit("")
     return docs.select(rest.alias("rest"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), F.lit(batches)).cast("int").alias("batch"),
                        key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -242,12 +242,13 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int, block_bytes
     return _merged(_search(index, items, None, slop, block_bytes))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES,
+                  shard_words: int = 1 << 20) -> DataFrame:
     """(doc_id, mark, n_words, n_hit, spans, items, contaminated) per document, by windows of ``size`` words of the benchmark.
 
     A document is contaminated if at least one in ``share`` of its words is covered. The index is kept in the shared
     folder, and each block of the benchmark reads it once.
     """
-    index = durable(build_index(docs), "positional-index")
+    index = durable(build_index(docs, shard_words), "positional-index")
     found = _merged(_search(index, benchmark, size, None, block_bytes))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
