@@ -1,7 +1,10 @@
 """A training corpus from ``documents``: quality, near copies, repeated passages, benchmark passages, mixture.
 
 Each stage takes what the one before it kept, as it was written and read back, and returns the columns of ``documents``; the
-last returns the mixture: words per source, and how often and in which shards each document is taken.
+last returns the mixture: a row each time a document is taken, by output shard and place within it.
+
+Other columns of ``documents`` may have any names and pass unchanged. Batches, shards and blocks are smaller than those of the
+operators alone, as the stages share their executors.
 """
 
 from __future__ import annotations
@@ -9,41 +12,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm.common import WORD, durable, key_of, small_batches, text_mark
-from probatum.llm.mixing import plan_mixture
+from probatum.llm.common import EXACT_TIMES, WORD, durable, key_of, small_batches, text_mark
+from probatum.llm.mixing import mixture, plan_mixture
 from probatum.llm.nbsvm import judge
 from probatum.llm.ngram_join import join_documents
 from probatum.llm.positional import decontaminate
 from probatum.llm.suffix_index import dedup_suffixes
 
+ARROW_BYTES, REPEAT_BYTES, SHARD_WORDS = 4 << 20, 8 << 20, 1 << 18
+
 ORACLE_SQL = None  # SQL cannot fit the classifier
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows with the id and text mark that name them, apart from columns of whatever names."""
+    return docs.select(F.struct("*").alias("all"), key_of().alias("key"), text_mark().alias("mark"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Labels of a quarter of the ids are kept out of the fit, as in op2."""
-    small_batches(spark)
-    judged = judge(docs.select("doc_id", "text", F.struct(*docs.columns).alias("all")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    small_batches(spark, ARROW_BYTES)
+    judged = judge(docs.select("doc_id", "text", F.struct("*").alias("all")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("predicted = 1").select("all.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id. Documents without words are in no group."""
-    small_batches(spark)
+    small_batches(spark, ARROW_BYTES)
     rows = join_documents(docs).where("group is not null").select(key_of().alias("key"), "text_mark", "group")
     first = rows.groupBy("group").agg(F.min(F.struct("key", "text_mark")).alias("first")).select("first.*")
     has_words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    named = docs.where(has_words).withColumns({"_key": key_of(), "_mark": text_mark()})
-    chosen = named.join(first.select(F.col("key").alias("_key"), F.col("text_mark").alias("_mark")), ["_key", "_mark"], "left_semi")
-    return chosen.dropDuplicates(["_key", "_mark"]).select(docs.columns).unionByName(docs.where(~has_words))
+    chosen = _named(docs.where(has_words)).join(first.withColumnRenamed("text_mark", "mark"), ["key", "mark"], "left_semi")
+    return chosen.dropDuplicates(["key", "mark"]).select("all.*").unionByName(docs.where(~has_words))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat; a character cut in two goes whole. n_chars follows the text."""
-    small_batches(spark)
+    small_batches(spark, ARROW_BYTES)
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others).schema
-    kept = dedup_suffixes(docs, carried=others, whole_characters=True)
-    out = kept.select(F.from_json("rest", schema).alias("rest"), F.decode("kept", "UTF-8").alias("text")).select("rest.*", "text")
+    kept = dedup_suffixes(docs, carried=others, whole_characters=True, batch_bytes=REPEAT_BYTES)
+    out = kept.select(F.from_json("rest", schema, EXACT_TIMES).alias("rest"), F.decode("kept", "UTF-8").alias("text")).select("rest.*", "text")
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -51,15 +60,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than a twentieth."""
-    small_batches(spark)
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(key_of().alias("_key"), F.col("mark").alias("_mark")).distinct()
-    return docs.withColumns({"_key": key_of(), "_mark": text_mark()}).join(bad, ["_key", "_mark"], "left_anti").select(docs.columns)
+    small_batches(spark, ARROW_BYTES)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shard_words=SHARD_WORDS)
+    bad = found.where("contaminated").select(key_of().alias("key"), "mark").distinct()
+    return _named(docs).join(bad, ["key", "mark"], "left_anti").select("all.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How the kept documents are mixed."""
-    return plan_mixture(docs)
+    """The kept documents as they are mixed: one row each time one is taken, shuffled within its shard."""
+    return mixture(plan_mixture(docs))
 
 
 STAGES = [("quality", keep_quality), ("near_copies", drop_near_copies), ("repeated_passages", cut_repeats),
