@@ -2,89 +2,125 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stateful import CHANGE_THRESHOLD
 from ..session import scratch_path
 from ..sources.upserts import subscription_latest
 from ..streaming import jobs
 from . import derived as d
+from . import stores
+from .conversation import message_events
 from .registry import SQL, query
 from .stateful import DAY_MS, LIMIT_SQL
-from . import stores  # noqa: F401  (its check SQL is shared)
+from .vectors import EPOCH_MS
 
 
 SLICES = 4
 
 
-def stream_of(t, name: str, order: str | None = None):
-    """A table as a stream of several micro-batches.
+class Feed:
+    """A table that arrives in slices, as a growing log does: a slice is written by as many tasks as its rows need, the stream
+    runs until it has read it, and is started again from its checkpoint when the next slice is there.
 
-    With ``order`` the rows arrive in slices of time, each written after the one before, as a log would be: state is carried from
-    batch to batch and no row is late. Without, they arrive in any order.
+    With ``order`` the slices follow each other in time, so no row is late; ``deal`` gives each row the number of its slice;
+    without either, rows arrive in any order. An empty table arrives as one slice without rows. ``batches`` counts the
+    micro-batches that had rows.
     """
-    table = getattr(t, name)
-    path = scratch_path(t.spark, f"feed-{name}")
-    if order is None:
-        table.repartition(SLICES).write.parquet(path)
-    else:
-        low, high = table.agg(F.min(order), F.max(order)).first()
-        edges = [low + (high - low) * i / SLICES for i in range(1, SLICES)]
-        for start, end in zip([None, *edges], [*edges, None]):
-            after = F.lit(True) if start is None else F.col(order) >= F.lit(start)
-            before = F.lit(True) if end is None else F.col(order) < F.lit(end)
-            table.where(after & before).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def several_batches(query) -> None:
-    """The run must have had more than one batch with rows."""
-    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) > 1, "the stream was one batch"
-
-
-def run_to_end(stream, t, label: str, mode: str = "append"):
-    """Run a stream over all there is, into a table in the shared folder."""
-    out = scratch_path(t.spark, label)
-    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-progress")
-    running = writer.option("path", out).trigger(availableNow=True).start()
-    running.awaitTermination()
-    several_batches(running)
-    return t.spark.read.schema(stream.schema).parquet(out)
+
+    def __init__(self, spark: SparkSession, table: DataFrame, label: str, order: str | None = None, deal: Column | None = None):
+        self.spark, self.table, self.path, self.batches = spark, table, scratch_path(spark, f"feed-{label}"), 0
+        if order is not None:
+            low, high = table.agg(F.min(order), F.max(order)).first()
+            edges = [] if low is None else [low + (high - low) * i / SLICES for i in range(1, SLICES)]
+            deal = sum((F.when(F.col(order) >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+        self.deal = deal if deal is not None else F.pmod(F.xxhash64(*table.columns), F.lit(SLICES))
+
+    def stream(self) -> DataFrame:
+        self.spark.createDataFrame([], self.table.schema).write.mode("append").parquet(self.path)
+        return self.spark.readStream.schema(self.table.schema).parquet(self.path)
+
+    def run(self, writer) -> None:
+        """Start a stream writer once a slice, until all rows are read."""
+        for i in range(SLICES):
+            self.table.where(self.deal == i).write.mode("append").parquet(self.path)
+            running = writer.trigger(availableNow=True).start()
+            running.awaitTermination()
+            self.batches += sum(p["numInputRows"] > 0 for p in running.recentProgress)
+
+    def run_into_table(self, frame: DataFrame, label: str, mode: str = "append") -> DataFrame:
+        """Run a stream into a table in the shared folder."""
+        out = scratch_path(self.spark, label)
+        self.run(frame.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-progress").option("path", out))
+        return jobs.read_or_empty(self.spark, out, frame.schema)
+
+    def run_each(self, frame: DataFrame, step, label: str, mode: str = "append") -> None:
+        """Run a stream through a ``foreachBatch`` step."""
+        progress = scratch_path(self.spark, f"{label}-progress")
+        self.run(frame.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", progress))
 
 
 @query("rate_limit_stream", LIMIT_SQL)
 def rate_limit_stream(t):
-    events = stream_of(t, "events", order="ts")
-    asked = events.select(F.col("user_id").cast("string").alias("client"), "event_id", jobs.utc_timestamp("ts").alias("ts"))
-    return run_to_end(jobs.rate_limit_stream(asked, 5, DAY_MS), t, "rate-limit")
+    feed = Feed(t.spark, t.events, "events", order="ts")
+    asked = feed.stream().select(F.col("user_id").cast("string").alias("client"), "event_id", jobs.utc_timestamp("ts").alias("ts"))
+    return feed.run_into_table(jobs.rate_limit_stream(asked, 5, DAY_MS), "rate-limit")
 
 
 @query("subscription_latest_stream", SQL["subscription_latest"])
 def subscription_latest_stream(t):
-    path = scratch_path(t.spark, "subscriptions")
-    from .stores import subscription_events
+    feed = Feed(t.spark, t.orders, "orders")
 
-    class Feed:
-        spark, sf_dir = t.spark, t.sf_dir
-        orders = stream_of(t, "orders")
+    class Arriving:
+        spark, sf_dir, orders = t.spark, t.sf_dir, feed.stream()
 
     schema = "event_id long, at timestamp_ntz, user_id long, type string, status string, sub_id string, period_end string"
-    table = jobs.KeyedTable(path, schema, ["user_id"], ["at", "event_id"])
-    events = subscription_events(Feed).select("event_id", "at", "user_id", "type", "status", "sub_id", "period_end")
-    known = jobs.upsert_into(table, lambda df: df.where("user_id IS NOT NULL"))
-    running = events.writeStream.foreachBatch(known).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
-    running.awaitTermination()
-    several_batches(running)
+    table = jobs.KeyedTable(scratch_path(t.spark, "subscriptions"), schema, ["user_id"], ["at", "event_id"])
+    events = stores.subscription_events(Arriving).select("event_id", "at", "user_id", "type", "status", "sub_id", "period_end")
+    feed.run_each(events, jobs.upsert_into(table, lambda df: df.where("user_id IS NOT NULL")), "subscriptions")
     return subscription_latest(table.read(t.spark))
 
 
 @query("queries_per_day_stream", d.with_("", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dia, count(*) AS n FROM events GROUP BY 1"""))
 def queries_per_day_stream(t):
-    events = stream_of(t, "events", order="ts").select(jobs.utc_timestamp("ts").alias("created_at"))
-    path = scratch_path(t.spark, "per-day")
-    table = jobs.KeyedTable(path, "dia string, n long", ["dia"], ["n"])
-    running = jobs.daily_counts(events).writeStream.outputMode("update").foreachBatch(jobs.upsert_into(table)).option(
-        "checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
-    running.awaitTermination()
-    several_batches(running)
+    feed = Feed(t.spark, t.events, "events", order="ts")
+    asked = feed.stream().select(jobs.utc_timestamp("ts").alias("created_at"))
+    table = jobs.KeyedTable(scratch_path(t.spark, "per-day"), "dia string, n long", ["dia"], ["n"])
+    feed.run_each(jobs.daily_counts(asked), jobs.upsert_into(table), "per-day", mode="update")
     return table.read(t.spark)
+
+
+@query("fold_messages_stream", SQL["fold_message_events"])
+def fold_messages_stream(t):
+    """Answers from their events, which arrive over several micro-batches: pieces by their number, the end last."""
+    events = message_events(t).withColumn("ts", F.timestamp_millis(F.lit(EPOCH_MS) + F.col("seq")))
+    ends = F.col("type").isin("done", "error")
+    feed = Feed(t.spark, events, "messages", deal=F.when(ends, SLICES - 1).otherwise((F.col("seq") % (SLICES - 1)).cast("int")))
+    with jobs.keyed_state_store(t.spark):
+        return feed.run_into_table(jobs.fold_messages_stream(feed.stream()), "messages")
+
+
+@query("size_alerts_stream", """
+WITH seen AS (
+  SELECT page_id, v, CAST(length(html) + v * (page_id % 5) * 300 AS INTEGER) AS size, v < 1 OR page_id % 7 <> v AS ok
+  FROM pages CROSS JOIN (SELECT unnest(range(4)) AS v)),
+steps AS (
+  SELECT CAST(page_id AS VARCHAR) AS key, v, CASE WHEN ok THEN size END AS actual,
+    last_value(CASE WHEN ok THEN size END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previo
+  FROM seen)
+SELECT key, CAST(v AS INTEGER) AS visita, CASE WHEN actual IS NULL THEN 'error' WHEN previo IS NULL THEN 'baseline'
+  WHEN abs(actual - previo) > 500 THEN 'changed' ELSE 'unchanged' END AS estado, previo, actual, abs(actual - previo) AS delta
+FROM steps""")
+def size_alerts_stream(t):
+    """Every page is visited once a micro-batch; its size is compared with the last one known."""
+    page, visit = F.col("page_id"), F.col("at")
+    visits = t.pages.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).select(
+        page.cast("string").alias("key"), "at",
+        F.when((visit < 1) | (page % 7 != visit), F.length("html") + visit * (page % 5) * 300).cast("int").alias("size"))
+    feed, folder = Feed(t.spark, visits, "visits", deal=visit), scratch_path(t.spark, "sizes")
+    table = jobs.KeyedTable(folder, "key string, size int, at int", ["key"], ["at"])
+    feed.run_each(feed.stream(), jobs.track_sizes(table, f"{folder}-alerts", CHANGE_THRESHOLD), "sizes")
+    schema = "key string, estado string, previo int, actual int, delta int, nuevo int, at int, batch long"
+    return jobs.read_or_empty(t.spark, f"{folder}-alerts", schema).select("key", F.col("at").alias("visita"), "estado", "previo", "actual", "delta")

@@ -7,11 +7,12 @@ the query's progress, see ``late_rows``. State of a client ends when its window
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stateful import DECISION_SCHEMA, HOUR_MS, SlidingLog, latest_per_key, snapshot_change
@@ -55,33 +56,79 @@ def rate_limit_stream(
         decide, DECISION_SCHEMA, "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fold_messages_stream(events: DataFrame, watermark: str = WATERMARK, idle_ms: int = HOUR_MS) -> DataFrame:
-    """Finished answers from their events ``(msg_id, seq, type, payload, ts)``, emitted once when ``done`` or
-    ``error`` arrives, or unfinished after an idle time."""
-    schema = "msg_id long, texto string, fuentes int, meta_id string, error string, cerrado boolean"
+@contextmanager
+def keyed_state_store(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, which list and map state need."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class MessageFold(StatefulProcessor):
+    """Events of one answer until it ends. Pieces of text are appended to a list as they come and read once, at the end; of each
+    other type the newest is kept. A timer ends an answer that has been idle; all state goes with the answer."""
+
+    COLUMNS = ["msg_id", "texto", "fuentes", "meta_id", "error", "cerrado"]
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getListState("pieces", "seq long, payload string")
+        self.last = handle.getMapState("last", "type string", "seq long, payload string")
+        self.due = handle.getValueState("due", "ms long")
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = {s: (t, p) for s, t, p in zip(*state.get)} if state.exists else {}
-        newest = 0
-        for pdf in frames:
-            seen.update({s: (t, p) for s, t, p in zip(pdf["seq"], pdf["type"], pdf["payload"])})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest, ended = timerValues.getCurrentWatermarkInMs(), False
+        for pdf in rows:
             newest = max(newest, int(pdf["ts_ms"].max()))
-        ended = state.hasTimedOut or any(t in ("done", "error") for t, _ in seen.values())
-        if not ended:
-            ordered = sorted(seen)
-            state.update(([int(s) for s in ordered], [seen[s][0] for s in ordered], [seen[s][1] for s in ordered]))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+            text = pdf[pdf["type"] == "chunk"]
+            if len(text):
+                self.pieces.appendList([(int(s), p) for s, p in zip(text["seq"], text["payload"])])
+            for seq, kind, payload in pdf.loc[pdf["type"] != "chunk", ["seq", "type", "payload"]].itertuples(index=False):
+                known = self.last.getValue((kind,)) if self.last.containsKey((kind,)) else None
+                if known is None or seq >= known[0]:
+                    self.last.updateValue((kind,), (int(seq), payload))
+                ended = ended or kind in ("done", "error")
+        if ended:
+            yield self.finish(key)
             return
-        if state.exists:
-            state.remove()
-        last = {t: p for _, (t, p) in sorted(seen.items())}
-        text = "".join(p for _, (t, p) in sorted(seen.items()) if t == "chunk")
-        yield pd.DataFrame([(key[0], text, int(last["fuentes"]) if "fuentes" in last else None, last.get("meta"), last.get("error"),
-                             "done" in last)], columns=["msg_id", "texto", "fuentes", "meta_id", "error", "cerrado"])
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        self.due.update((newest + self.idle_ms,))
+        self.handle.registerTimer(newest + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
+        yield self.finish(key)
+
+    def finish(self, key) -> pd.DataFrame:
+        pieces = {seq: payload for seq, payload in self.pieces.get()} if self.pieces.exists() else {}
+        last = {kind[0]: value[1] for kind, value in self.last.iterator()} if self.last.exists() else {}
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        for state in (self.pieces, self.last, self.due):
+            state.clear()
+        text = "".join(pieces[seq] for seq in sorted(pieces) if pieces[seq] is not None)
+        sources = int(last["fuentes"]) if last.get("fuentes") is not None else None
+        row = (key[0], text, sources, last.get("meta"), last.get("error"), "done" in last)
+        return pd.DataFrame([row], columns=self.COLUMNS).astype({"fuentes": "Int32", "meta_id": object, "error": object})
+
+    def close(self) -> None:
+        pass
+
 
+def fold_messages_stream(events: DataFrame, watermark: str = WATERMARK, idle_ms: int = HOUR_MS) -> DataFrame:
+    """Finished answers from their events ``(msg_id, seq, type, payload, ts)``, emitted once when ``done`` or
+    ``error`` arrives, or unfinished after an idle time. Start it inside ``keyed_state_store``."""
+    schema = "msg_id long, texto string, fuentes int, meta_id string, error string, cerrado boolean"
     timed = events.withColumn("ts_ms", F.unix_millis("ts")).withWatermark("ts", watermark)
-    return timed.groupBy("msg_id").applyInPandasWithState(
-        fold, schema, "seqs array<long>, types array<string>, payloads array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("msg_id").transformWithStateInPandas(MessageFold(idle_ms), schema, "append", "eventTime")
 
 
 def without_replays(events: DataFrame, key: str = "event_id", time: str = "at", watermark: str = WATERMARK) -> DataFrame:
@@ -89,6 +136,15 @@ def without_replays(events: DataFrame, key: str = "event_id", time: str = "at",
     return events.withWatermark(time, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, without rows as long as nothing has been written there."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(conf).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 class KeyedTable:
     """Latest row per key, kept as appended changes.
 
@@ -103,12 +159,7 @@ class KeyedTable:
         latest_per_key(rows, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def history(self, spark, before: int | None = None) -> DataFrame:
-        empty = spark.createDataFrame([], self.schema)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(conf).exists(folder):
-            return empty
-        rows = spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+        rows = read_or_empty(spark, self.path, f"{self.schema}, batch long")
         rows = rows.where(F.col("batch") < before) if before is not None else rows
         return rows.drop("batch")
 
@@ -138,7 +189,7 @@ def track_sizes(table: KeyedTable, alerts_path: str, threshold: int):
         spark = batch.sparkSession
         now = latest_per_key(batch.select("key", "at", "size"), ["key"], ["at"])
         stored = table.read(spark, before=batch_id).join(now.select("key"), "key", "left_semi")
-        changes = snapshot_change(now, stored, threshold)
+        changes = snapshot_change(now, stored, threshold).join(now.select("key", "at"), "key", "left")
         changes.write.mode("overwrite").parquet(f"{alerts_path}/batch={batch_id}")
         table.append(now.where("size IS NOT NULL").select("key", "size", "at"), batch_id)
 
