@@ -9,12 +9,14 @@ from ..operators.stateful import CHANGE_THRESHOLD
 from ..session import scratch_path
 from ..sources.upserts import subscription_latest
 from ..streaming import jobs
+from ..streaming.answer_cache import AnswerCache
+from ..streaming.late import LateGate
 from . import derived as d
 from . import stores
 from .conversation import message_events
 from .registry import SQL, query
 from .stateful import DAY_MS, LIMIT_SQL
-from .vectors import EPOCH_MS
+from .vectors import EPOCH_MS, MODES
 
 
 SLICES = 4
@@ -124,3 +126,57 @@ def size_alerts_stream(t):
     feed.run_each(feed.stream(), jobs.track_sizes(table, f"{folder}-alerts", CHANGE_THRESHOLD), "sizes")
     schema = "key string, estado string, previo int, actual int, delta int, nuevo int, at int, batch long"
     return jobs.read_or_empty(t.spark, f"{folder}-alerts", schema).select("key", F.col("at").alias("visita"), "estado", "previo", "actual", "delta")
+
+
+LATE_MS = 5 * DAY_MS
+
+
+@query("late_rows_stream", f"""
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dia, count(*) FILTER (NOT late) AS aceptadas, count(*) FILTER (late) AS tardias FROM (
+  SELECT ts, coalesce(epoch_ms(ts) < {-LATE_MS} + (SELECT max(epoch_ms(b.ts)) FROM events b WHERE b.event_id % {SLICES} < e.event_id % {SLICES}), false) AS late
+  FROM events e) GROUP BY 1""")
+def late_rows_stream(t):
+    """Accepted and late events per day; the events arrive out of order, dealt over the slices by their ids."""
+    events = t.events.select("event_id", jobs.utc_timestamp("ts").alias("ts"))
+    feed = Feed(t.spark, events, "events", deal=F.col("event_id") % SLICES)
+    gate = LateGate(scratch_path(t.spark, "late"), "event_id long, ts timestamp", F.col("ts"), LATE_MS)
+    feed.run_each(feed.stream(), gate, "late")
+    kinds = gate.accepted(t.spark).withColumn("late", F.lit(False)).unionByName(gate.late(t.spark).withColumn("late", F.lit(True)))
+    day = F.date_format(F.from_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd")
+    return kinds.groupBy(day.alias("dia")).agg(F.count_if(~F.col("late")).alias("aceptadas"), F.count_if("late").alias("tardias"))
+
+
+CACHE_SIMILARITY = 0.3
+
+
+@query("answer_cache_stream", f"""
+WITH RECURSIVE asked AS (
+  SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n, {d.sql_pick(MODES, 'vec_id')} AS mode, CAST(embedding AS DOUBLE[]) AS v,
+    {EPOCH_MS} + vec_id * 3600000 AS ms, length(text) > 100 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS fit
+  FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+near AS (
+  SELECT a.n, b.id AS stored, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM asked a JOIN asked b
+  ON a.mode = b.mode AND b.ms < a.ms AND a.ms - b.ms < 168 * 3600000 AND b.fit WHERE round(list_cosine_similarity(a.v, b.v), 6) >= {CACHE_SIMILARITY}),
+before AS (SELECT n, list(stored) AS ids FROM near GROUP BY n),
+walk(n, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT a.n, CASE WHEN a.fit AND NOT list_has_any(w.kept, coalesce(b.ids, [])) THEN list_append(w.kept, a.id) ELSE w.kept END
+  FROM walk w JOIN asked a ON a.n = w.n + 1 LEFT JOIN before b ON b.n = a.n),
+entries AS (SELECT unnest(kept) AS id FROM walk WHERE n = (SELECT max(n) FROM walk))
+SELECT a.id AS query_id, CASE WHEN h.stored IS NOT NULL THEN 'hit' WHEN e.id IS NOT NULL THEN 'stored' ELSE 'miss' END AS outcome,
+  h.stored AS cache_id, h.similarity
+FROM asked a LEFT JOIN entries e ON e.id = a.id LEFT JOIN (
+  SELECT n, stored, similarity FROM near WHERE stored IN (SELECT id FROM entries)
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY similarity DESC, stored) = 1) h ON h.n = a.n""")
+def answer_cache_stream(t):
+    """Every vector is a question, an hour after the one before; the document of its number is the answer."""
+    i = F.col("vec_id")
+    asked = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("answer")), "vec_id", "left").select(
+        i.cast("long").alias("query_id"), d.pick(MODES, i).alias("mode"), F.col("embedding").cast("array<double>").alias("query_vector"),
+        (F.lit(EPOCH_MS) + i * 3_600_000).cast("long").alias("query_ms"), F.substring("answer", 1, 80).alias("query_text"), "answer",
+        (i % 5 != 0).alias("single_turn"), (i % 7 == 0).alias("rule_active"))
+    feed = Feed(t.spark, asked, "asked", order="query_ms")
+    cache = AnswerCache(scratch_path(t.spark, "answers"), CACHE_SIMILARITY)
+    feed.run_each(feed.stream(), cache, "answers")
+    return cache.outcomes(t.spark).drop("query_ms")

@@ -76,7 +76,8 @@ def test_messages_stream(spark, tmp_path):
     df = spark.createDataFrame(data, "msg_id long, seq long, type string, payload string")
     timed = df.withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("seq") * 100))
     frames = [timed.where("seq < 4"), timed.where("seq >= 4")]
-    got, _ = run(jobs.fold_messages_stream(feed(spark, tmp_path, frames, timed.schema)), spark, tmp_path)
+    with jobs.keyed_state_store(spark):
+        got, _ = run(jobs.fold_messages_stream(feed(spark, tmp_path, frames, timed.schema)), spark, tmp_path)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in conversation.fold_message_events(df).collect()}
 
 
