@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import analytics
 from ..operators.stateful import CHANGE_THRESHOLD
 from ..session import scratch_path
 from ..sources.upserts import subscription_latest
@@ -13,6 +14,7 @@ from ..streaming.answer_cache import AnswerCache
 from ..streaming.late import LateGate
 from . import derived as d
 from . import stores
+from .analytics import LOG, log
 from .conversation import message_events
 from .registry import SQL, query
 from .stateful import DAY_MS, LIMIT_SQL
@@ -180,3 +182,19 @@ def answer_cache_stream(t):
     cache = AnswerCache(scratch_path(t.spark, "answers"), CACHE_SIMILARITY)
     feed.run_each(feed.stream(), cache, "answers")
     return cache.outcomes(t.spark).drop("query_ms")
+
+
+RANKS = [0.5, 0.9, 0.99]
+RANK_ERROR = 0.01
+
+
+@query("latency_sketch_stream", d.with_("", f"""
+SELECT modo, count(*) AS n, r.cuantil, true AS dentro FROM log CROSS JOIN (SELECT unnest([{', '.join(map(str, RANKS))}]::DOUBLE[]) AS cuantil) r
+WHERE latencia_ms > 0 GROUP BY modo, r.cuantil""", LOG))
+def latency_sketch_stream(t):
+    """Quantiles per mode from sketches that every micro-batch adds to; each must lie within the stated rank error of the exact one."""
+    rows = log(t).select("modo", "latencia_ms", "created_at")
+    feed, table = Feed(t.spark, rows, "latencies", order="created_at"), jobs.SketchTable(scratch_path(t.spark, "sketches"))
+    feed.run_each(feed.stream(), table, "latencies")
+    found = analytics.sketch_quantiles(table.merged(t.spark, ["modo"]), RANKS)
+    return analytics.rank_error(rows, found, "modo").select("modo", "n", "cuantil", (F.col("desvio") <= RANK_ERROR).alias("dentro"))

@@ -77,6 +77,47 @@ def latency_summary(log: DataFrame, last: int = 500) -> DataFrame:
         F.array_max("v").alias("maximo"), F.get("v", F.floor(n * 0.9).cast("int")).alias("p90"))
 
 
+SKETCH_K = 800
+"""Width of a latency sketch: ranks are off by less than 0.5 % of the rows in 99 of 100 sketches, by some 10 KB each."""
+
+
+def latency_sketches(log: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """One mergeable quantile sketch of the latencies per day and mode: ``(dia, modo, sketch)``.
+
+    Rows without a latency, and zeros, count as in ``latency_summary``: not at all. Days or modes without others have no row.
+    """
+    timed = log.where("latencia_ms > 0").withColumn("dia", F.to_date("created_at"))
+    return timed.groupBy("dia", "modo").agg(F.kll_sketch_agg_bigint(F.col("latencia_ms").cast("long"), k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of coarser groups; what was sketched is not read again."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, ranks: list[float]) -> DataFrame:
+    """One row per group and rank: the group's columns, ``n``, ``cuantil`` and the estimated ``latencia_ms``."""
+    group = [c for c in sketches.columns if c != "sketch"]
+    found = [F.struct(F.lit(r).alias("cuantil"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(r)).alias("latencia_ms")) for r in ranks]
+    return sketches.select(*group, F.kll_sketch_get_n_bigint("sketch").alias("n"), F.explode(F.array(*found)).alias("q")).select(
+        *group, "n", "q.cuantil", "q.latencia_ms")
+
+
+def rank_error(log: DataFrame, estimates: DataFrame, by: str) -> DataFrame:
+    """Estimates with ``desvio``: how far, as a share of the group's rows, each lies from the rank that was asked for.
+
+    An estimate that several rows share covers a span of ranks; inside it the error is 0.
+    """
+    value, rank = F.col("latencia_ms"), F.col("cuantil")
+    ranked = log.where("latencia_ms > 0").select(F.col(by).alias("_group"), F.col("latencia_ms").alias("_value")).groupBy("_group", "_value").agg(
+        F.count("*").alias("_rows"))
+    pairs = estimates.join(ranked, F.col(by).eqNullSafe(F.col("_group")))
+    below = F.sum(F.when(F.col("_value") < value, F.col("_rows")).otherwise(0)) / F.first("n")
+    upto = F.sum(F.when(F.col("_value") <= value, F.col("_rows")).otherwise(0)) / F.first("n")
+    return pairs.groupBy(by, "n", "cuantil", "latencia_ms").agg(below.alias("_below"), upto.alias("_upto")).select(
+        by, "n", "cuantil", "latencia_ms", F.greatest(F.col("_below") - rank, rank - F.col("_upto"), F.lit(0.0)).alias("desvio"))
+
+
 def feedback_rate(log: DataFrame) -> DataFrame:
     """Thumbs up and down with their share of all rated queries."""
     counts = log.agg(F.count_if("feedback").alias("arriba"), F.count_if(~F.col("feedback")).alias("abajo"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.analytics import latency_sketches, merge_sketches
 from ..operators.stateful import DECISION_SCHEMA, HOUR_MS, SlidingLog, latest_per_key, snapshot_change
 
 WATERMARK = "10 minutes"
@@ -196,6 +197,29 @@ def track_sizes(table: KeyedTable, alerts_path: str, threshold: int):
     return apply
 
 
+class SketchTable:
+    """Quantile sketches per day and mode, kept as what each micro-batch adds.
+
+    A micro-batch writes the sketches of its own rows to its own folder, so a repeated one replaces itself; late rows of a day are
+    one more sketch of that day. Readers merge; ``compact`` writes the merged sketches of all folders into one.
+    """
+
+    SCHEMA = "dia date, modo string, sketch binary"
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        latency_sketches(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def merged(self, spark: SparkSession, by: list[str]) -> DataFrame:
+        return merge_sketches(read_or_empty(spark, self.path, self.SCHEMA), by)
+
+    def compact(self, spark: SparkSession, path: str) -> SketchTable:
+        self.merged(spark, ["dia", "modo"]).write.mode("overwrite").parquet(f"{path}/batch=-1")
+        return SketchTable(path)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows dropped so far because they came after the watermark."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0))

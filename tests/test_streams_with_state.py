@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probatum.catalog.streams import Feed
+from probatum.operators import analytics
 from probatum.streaming import jobs
 from probatum.streaming.answer_cache import DAY_MS, HOUR_MS, AnswerCache
 from probatum.streaming.late import LateGate
@@ -156,3 +157,36 @@ def test_feed_arrives_in_slices_of_time(spark):
     feed.run_each(feed.stream(), lambda batch, n: seen.append(sorted(r.id for r in batch.collect())), "slices")
     assert [ids for ids in seen if ids] == [list(range(lo, lo + 10)) for lo in range(0, 40, 10)]
     assert feed.batches == 4
+
+
+def latencies(spark, n, start=0):
+    i = F.col("id")
+    return spark.range(start, start + n).select(
+        F.when(i % 3 == 0, "a").when(i % 3 == 1, "b").alias("modo"), F.when(i % 10 != 9, F.pmod(F.xxhash64("id"), F.lit(5000)).cast("int")).alias("latencia_ms"),
+        F.timestamp_millis(F.lit(START) + i * 10_000).alias("created_at"))
+
+
+def test_merged_sketches_are_within_the_stated_error(spark, tmp_path):
+    table = jobs.SketchTable(str(tmp_path / "sketches"))
+    assert table.merged(spark, ["modo"]).count() == 0
+    for n in range(6):
+        for _ in range(1 + (n == 2)):  # one micro-batch again
+            table(latencies(spark, 10_000, n * 10_000), n)
+    rows = latencies(spark, 60_000)
+    exact = {r.modo: r.n for r in rows.where("latencia_ms > 0").groupBy("modo").agg(F.count("*").alias("n")).collect()}
+    for source in (table, table.compact(spark, str(tmp_path / "base"))):
+        found = analytics.rank_error(rows, analytics.sketch_quantiles(source.merged(spark, ["modo"]), [0.0, 0.5, 0.9, 0.99, 1.0]), "modo").collect()
+        assert len(found) == 15 and {r.modo: r.n for r in found} == exact  # the mode that is null too
+        assert max(r.desvio for r in found) <= 0.01
+    days = table.merged(spark, ["dia"])
+    assert days.count() == rows.select(F.to_date("created_at")).distinct().count()
+
+
+def test_small_sketches_are_exact_and_ties_span_ranks(spark):
+    rows = spark.createDataFrame([("a", v, 0) for v in [0, 5, 5, 5, 9, None]], "modo string, latencia_ms int, ms long").select(
+        "modo", "latencia_ms", F.timestamp_millis("ms").alias("created_at"))
+    found = analytics.sketch_quantiles(analytics.latency_sketches(rows).drop("dia"), [0.5, 1.0])
+    assert [(r.n, r.cuantil, r.latencia_ms, r.desvio) for r in analytics.rank_error(rows, found, "modo").orderBy("cuantil").collect()] == [
+        (4, 0.5, 5, 0.0), (4, 1.0, 9, 0.0)]
+    far = found.withColumn("latencia_ms", F.lit(9).cast("long"))
+    assert analytics.rank_error(rows, far, "modo").where("cuantil = 0.5").first().desvio == 0.25
