@@ -78,7 +78,7 @@ def latency_summary(log: DataFrame, last: int = 500) -> DataFrame:
 
 
 SKETCH_K = 800
-"""Width of a latency sketch: ranks are off by less than 0.5 % of the rows in 99 of 100 sketches, by some 10 KB each."""
+"""Width of a latency sketch: ranks are off by less than 0.5 % of the rows in 99 of 100 sketches, for at most some 20 KB each."""
 
 
 def latency_sketches(log: DataFrame, k: int = SKETCH_K) -> DataFrame:
