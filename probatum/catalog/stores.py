@@ -17,7 +17,7 @@ SELECT doc_id, lang, length(text) AS chars, sha256(text) AS hash, 'documents.par
 def scan_documents(t):
     docs = readers.scan_documents(t.spark, f"{t.sf_dir}/documents.parquet", whole_column="text")
     return docs.select("doc_id", "lang", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("hash"),
-                       F.element_at(F.split("path", "/"), -1).alias("archivo"))
+                       readers.table_name(F.col("path")).alias("archivo"))
 
 
 @query("scan_csv_inventory", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lookups.norms import DEFAULT_SOURCE_URL, KEY_FALLBACK, KEY_PREFIXES, KEY_WHOLE, TYPE_MARKER_FALLBACK, TYPE_MARKERS
@@ -30,6 +30,11 @@ def scan_documents(spark: SparkSession, path: str, pattern: str = "*.txt", whole
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def table_name(path: Column) -> Column:
+    """Name of the parquet table a file belongs to: its own, or that of the folder that holds the table's files."""
+    return F.regexp_extract(path, r"/([^/]+\.parquet)(?:/.*)?$", 1)
+
+
 def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata records: every ``metadata.json`` in a ``03_metadatos`` folder; broken files are skipped."""
     schema = ("titulo_oficial string, nombre_corto string, tipo_norma string, numero string, anio string, organismo string, url string, "

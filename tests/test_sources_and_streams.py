@@ -18,6 +18,16 @@ def test_text_folder(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.text) for r in got] == [("x.txt", "uno\ndos")]
 
 
+def test_table_of_one_file_or_a_folder_of_files_has_one_name(spark, tmp_path):
+    """A table written by Spark is a folder; its documents are named after the table, not after its part files."""
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(i, "t", "es") for i in range(4)], "doc_id long, text string, lang string").repartition(2).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    assert {r.archivo for r in queries()["scan_documents"](spark, str(tmp_path)).collect()} == {"documents.parquet"}
+    assert {r.archivo for r in queries()["scan_documents"](spark, "/root/testdata/sf0.001").collect()} == {"documents.parquet"}
+
+
 def test_metadata_folder(spark, tmp_path):
     good = tmp_path / "01_Leyes" / "ley" / "03_metadatos"
     good.mkdir(parents=True)
