@@ -1,4 +1,4 @@
-"""Tagging queries. The check SQL matches accent-folded text, the jobs use Unicode word boundaries."""
+"""Tagging queries. The check SQL matches accent-folded text, that of ``out_of_domain`` text as written; the jobs use Unicode word boundaries."""
 
 from __future__ import annotations
 
@@ -44,7 +44,18 @@ def domain_crossings(t):
     return ops.domain_crossings(d.questions(t))
 
 
-@query("out_of_domain", d.with_("questions", f"SELECT query_id, {sql_any(P.OUT_OF_DOMAIN, 'texto')} AS fuera FROM questions"))
+def sql_any_written(regexes: list[str], x: str) -> str:
+    """As the jobs match: the text as written, marks kept, ignoring case, with Unicode word ends."""
+    other = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]"
+
+    def ended(regex: str) -> str:
+        parts = [(p.startswith(r"\b"), p.endswith(r"\b"), p.removeprefix(r"\b").removesuffix(r"\b")) for p in regex.split("|")]
+        return "|".join((f"(^|{other})" if first else "") + word + (f"($|{other})" if last else "") for first, last, word in parts)
+
+    return "(" + " OR ".join(f"regexp_matches(translate({x}, 'ıİ', 'ii'), '(?i){ended(r)}')" for r in regexes) + ")"
+
+
+@query("out_of_domain", d.with_("questions", f"SELECT query_id, {sql_any_written(P.OUT_OF_DOMAIN, 'texto')} AS fuera FROM questions"))
 def out_of_domain(t):
     return d.questions(t).select("query_id", ops.out_of_domain(F.col("texto")).alias("fuera"))
 
