@@ -8,7 +8,7 @@ from ..lookups.norms import HIERARCHY, HIGH_TYPES
 from ..operators import fulltext, fusion as ops, vectors
 from . import derived as d
 from .registry import query
-from .search import INDEX, index_of, ranked, sql_tokens
+from .search import INDEX, SEARCH, index_of, ranked, sql_tokens
 
 FRAMES = "chunk_vectors query_vectors chunk_texts"
 
@@ -37,8 +37,8 @@ FROM (SELECT b.item_id AS query_id, c.chunk_id, round(list_cosine_similarity(c.e
 QUALIFY rank <= {k}"""
 
 
-def steps(kv: int, kf: int, **more: str) -> dict[str, str]:
-    return {**INDEX, "vec": _vec_sql(kv), "fts": ranked(kf), **more}
+def steps(kv: int, kf: int, search: dict[str, str] = INDEX, **more: str) -> dict[str, str]:
+    return {**search, "vec": _vec_sql(kv), "fts": ranked(kf), **more}
 
 
 _RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INTEGER) AS rank"
@@ -68,7 +68,7 @@ def hybrid_weighted(t):
 SELECT query_id, chunk_id, similarity, rank, 'hybrid' AS source FROM hybrid WHERE query_id % 3 <> 0
 UNION ALL SELECT query_id, chunk_id, similarity, rank, 'vector' FROM vec10
 WHERE query_id NOT IN (SELECT query_id FROM hybrid WHERE query_id % 3 <> 0)""", steps(
-    30, 30, mixed=_WEIGHTED.format(w="0.6::DOUBLE"),
+    30, 30, SEARCH, mixed=_WEIGHTED.format(w="0.6::DOUBLE"),
     hybrid=f"SELECT query_id, chunk_id, similarity, {_RANK} FROM mixed QUALIFY rank <= 10",
     vec10="SELECT * FROM vec WHERE rank <= 10")))
 def hybrid_or_vector(t):
@@ -86,7 +86,7 @@ SELECT query_id, chunk_id, first_list, round(raw, 3) AS similarity,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS INTEGER) AS rank
 FROM (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 12) AS raw, min(list_no) AS first_list FROM (
         SELECT 1 AS list_no, query_id, chunk_id, rank FROM vec UNION ALL SELECT 2, query_id, chunk_id, rank FROM fts)
-      GROUP BY query_id, chunk_id) QUALIFY rank <= 20""", steps(25, 25)))
+      GROUP BY query_id, chunk_id) QUALIFY rank <= 20""", steps(25, 25, SEARCH)))
 def rrf_fusion(t):
     lists = vector_list(t, 25).select("query_id", "chunk_id", "rank", F.lit(1).alias("list_no")).unionByName(
         text_list(t, 25).select("query_id", "chunk_id", "rank", F.lit(2).alias("list_no")))
@@ -181,7 +181,7 @@ def layered_candidates(t):
 SELECT query_id, chunk_id, round(score, 3) AS similarity,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
 FROM (SELECT v.query_id, v.chunk_id, f.score FROM vec v JOIN found f ON f.query_id = v.query_id AND f.chunk_id = v.chunk_id)
-QUALIFY rank <= 18""", steps(40, 40)))
+QUALIFY rank <= 18""", steps(40, 40, SEARCH)))
 def rerank_scores(t):
     scores = fulltext.fts_search(index_of(t), d.text_queries(t), None).withColumnRenamed("score", "relevance")
     return ops.rerank_scores(vector_list(t, 40), scores)

@@ -95,7 +95,7 @@ SELECT query_id, chunk_id, e, min(s) AS s FROM (
 GROUP BY query_id, chunk_id, e HAVING count(*) = CASE WHEN query_id % 4 < 2 THEN 2 ELSE 1 END""",
     "covers": "SELECT query_id, chunk_id, s, min(e) AS e FROM reach GROUP BY query_id, chunk_id, s",
     "dense": """
-SELECT query_id, chunk_id, round(sum(0.1 / (1 + noise)), 6) AS score FROM (
+SELECT query_id, chunk_id, round(round(sum(CAST(0.1 AS DOUBLE) / (1 + noise)), 12), 6) AS score FROM (
   SELECT c.query_id, c.chunk_id, c.s, c.e - c.s - (count(*) - 1) AS noise FROM covers c
   JOIN entries n ON n.query_id = c.query_id AND n.chunk_id = c.chunk_id AND n.pos BETWEEN c.s AND c.e GROUP BY c.query_id, c.chunk_id, c.s, c.e)
 GROUP BY query_id, chunk_id""",

@@ -73,6 +73,35 @@ WHERE NOT h.bad AND (q.shape <> 1 OR EXISTS (
 }
 INDEX.pop("parts"), INDEX.pop("lines_of")
 
+# The search texts read part by part: an "or" between two parts joins them in one slot, any other is a word, and "-" excludes.
+_READ = {
+    "parts": r"""
+SELECT query_id, unnest(p) AS part, generate_subscripts(p, 1) AS i, len(p) AS n FROM (
+  SELECT query_id, regexp_extract_all(query_text, '\S+') AS p FROM text_queries WHERE shape <> 1)""",
+    "runs": """
+SELECT *, lower(part) = 'or' AS is_or, max(CASE WHEN lower(part) <> 'or' THEN i END) OVER (PARTITION BY query_id ORDER BY i) AS other FROM parts""",
+    "joined": """
+SELECT *, lag(op, 1, false) OVER (PARTITION BY query_id ORDER BY i) AS after_or, lead(op, 1, false) OVER (PARTITION BY query_id ORDER BY i) AS before_or
+FROM (SELECT query_id, part, i, is_or AND i < n AND (i - coalesce(other, 0)) % 2 = CASE WHEN other IS NULL THEN 0 ELSE 1 END AS op FROM runs)""",
+    "units": f"""
+SELECT query_id, i, after_or, before_or, part LIKE '-_%' AS excluded, unnest(w) AS term, generate_subscripts(w, 1) AS j
+FROM (SELECT *, {sql_tokens('part')} AS w FROM joined WHERE NOT op)""",
+    "numbered": """
+SELECT query_id, term, sum(starts) OVER (PARTITION BY query_id ORDER BY i, j) AS no FROM (
+  SELECT *, CASE WHEN after_or AND i > min(i) OVER (PARTITION BY query_id) THEN 0 WHEN j = 1 OR NOT before_or THEN 1 ELSE 0 END AS starts
+  FROM units WHERE NOT excluded)""",
+    # slots of the same words are one
+    "slots": """
+SELECT DISTINCT query_id, 's:' || array_to_string(terms, '|') AS slot, unnest(terms) AS term FROM (
+  SELECT query_id, no, list(DISTINCT term ORDER BY term) AS terms FROM numbered GROUP BY query_id, no)""",
+    "asked": f"""
+SELECT DISTINCT query_id, 'p' AS slot, term, false AS excluded FROM (SELECT query_id, unnest({sql_tokens('text')}) AS term FROM text_queries WHERE shape = 1)
+UNION ALL SELECT query_id, slot, term, false FROM slots
+UNION ALL SELECT DISTINCT query_id, 'n', term, true FROM units WHERE excluded""",
+}
+_HEAD = ("words", "postings", "text_queries")
+SEARCH = {**{k: INDEX[k] for k in _HEAD}, **_READ, **{k: v for k, v in INDEX.items() if k not in (*_HEAD, "alternatives", "asked")}}
+
 
 def ranked(k: int) -> str:
     return f"""
@@ -102,7 +131,7 @@ def fts_index(t):
     return counted.join(index.vocabulary.withColumnRenamed("df", "chunks"), "term")
 
 
-@query("fts_search", d.with_("chunk_texts", ranked(20), INDEX))
+@query("fts_search", d.with_("chunk_texts", ranked(20), SEARCH))
 def fts_search(t):
     return ops.fts_search(index_of(t), d.text_queries(t), 20)
 
@@ -119,7 +148,7 @@ def fts_phrase(t):
 
 
 @query("fts_fallback", d.with_("chunk_texts", f"""
-SELECT query_id, chunk_id, rank, CAST(0.5 AS DOUBLE) AS similarity FROM ({ranked(18)})""", INDEX))
+SELECT query_id, chunk_id, rank, CAST(0.5 AS DOUBLE) AS similarity FROM ({ranked(18)})""", SEARCH))
 def fts_fallback(t):
     return ops.fts_fallback(index_of(t), d.text_queries(t))
 

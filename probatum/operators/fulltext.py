@@ -99,18 +99,24 @@ class Query:
         return list(dict.fromkeys(term for slot in self.slots for unit in slot for _, term in unit))
 
 
+def _is_or(parts: Sequence[str], i: int) -> bool:
+    """Whether a part that follows another stands between two."""
+    return i + 1 < len(parts) and parts[i].lower() == "or"
+
+
 def read_query(query_id, parts: Sequence[str], folded: Sequence[Sequence[str]], stop_words: Sequence[str] = (), types=None) -> Query:
     """A search text, already cut into its parts with the folded words of each, in one pass.
 
     Words are required; ``"a b"`` is a phrase whose words must be adjacent; ``a or b`` asks for either side, words and
-    phrases alike, and binds tighter than the blank; ``-`` before a word or phrase excludes it. A text of exclusions only
-    finds everything else.
+    phrases alike, and binds tighter than the blank; ``-`` before a word or phrase excludes it. An ``or`` without a part on
+    its left or right is a word. A text of exclusions only finds everything else.
     """
-    query, either = Query(query_id, types=types), False
+    query, either, left = Query(query_id, types=types), False, False
     for i, (part, found) in enumerate(zip(parts, folded)):
-        if part.lower() == "or":
-            either = bool(query.slots) and i > 0
+        if left and _is_or(parts, i):
+            either, left = bool(query.slots), False
             continue
+        left = True
         negated = part.startswith("-") and len(part) > 1
         quoted = part.lstrip("-").startswith('"') and part.endswith('"')
         terms = [(j, term) for j, term in enumerate(found) if term not in stop_words]
@@ -119,7 +125,7 @@ def read_query(query_id, parts: Sequence[str], folded: Sequence[Sequence[str]],
             query.without += units
         elif units and either:
             query.slots[-1] += units
-        elif units and i + 1 < len(parts) and parts[i + 1].lower() == "or":
+        elif units and _is_or(parts, i + 1):
             query.slots.append(units)
         else:
             query.slots += [[unit] for unit in units]

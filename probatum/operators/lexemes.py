@@ -80,7 +80,7 @@ class CoverSearch(Search):
             for unit in without:
                 rows = np.setdiff1d(rows, page.holders(unit), assume_unique=True)
             if len(rows):
-                self._keep(i, page.ids[rows], np.round(cover_density(page, slots)[rows], 6))
+                self._keep(i, page.ids[rows], half_up(cover_density(page, slots)[rows]))
 
 
 def occurrences(page: Page, unit: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +95,11 @@ def occurrences(page: Page, unit: tuple[tuple[int, int], ...]) -> tuple[np.ndarr
     return start + unit[0][0], start + last
 
 
+def half_up(score: np.ndarray) -> np.ndarray:
+    """Six decimals, halves up as in Spark and SQL; sums are steadied first, so that their order does not tell halves apart."""
+    return np.floor(np.round(score, 12) * 1e6 + 0.5) / 1e6
+
+
 def cover_density(page: Page, slots: list[list[tuple[tuple[int, int], ...]]]) -> np.ndarray:
     """The rank of every chunk of the page; zero where a slot is not met.
 

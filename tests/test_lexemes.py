@@ -105,3 +105,11 @@ def test_search_in_blocks_equals_one_block(spark, index):
     rows = lambda n: sorted(tuple(r) for r in stem_search(index, queries, None, block_bytes=n).collect())
     assert rows(5) == rows(1 << 20)
     assert stem_search(build_stemmed(spark.createDataFrame([], "chunk_id long, texto string")), queries, 3).collect() == []
+
+
+def test_halves_are_rounded_up_and_or_may_be_a_word(spark):
+    chunks = [(1, "alfa " + "x " * 63 + "beta"), (2, "or beta"), (3, "beta")]
+    index = build_stemmed(spark.createDataFrame(chunks, "chunk_id long, texto string"))
+    # 63 words in between: 0.1 / 64 = 0.0015625
+    assert found(spark, index, "alfa beta") == {1: 0.001563}
+    assert set(found(spark, index, "or -alfa")) == {2} and set(found(spark, index, "or beta")) == {2}

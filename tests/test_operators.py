@@ -198,6 +198,36 @@ def test_search_syntax(rows):
             assert got.get(k, set()) == want, k
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Or obra", {2, 3}), ("or or obra", {1, 2, 3, 4, 5}), ("nada or", {4}), ("nada or or", {1, 2, 3, 4}), ("permiso or or or nada", {1, 2, 3, 4, 5}),
+    ("Or -obra", {1, 4}), ("nada or obra permiso", {5}), ("or", {1, 2, 3, 4})])
+def test_or_without_a_left_or_a_right_side_is_a_word(rows, text, want):
+    chunks = rows([(1, "or a"), (2, "or obra"), (3, "obra, or"), (4, "nada or"), (5, "permiso obra")], "chunk_id long, texto string")
+    got = fulltext.fts_search(fulltext.build_index(chunks), rows([(1, text)], "query_id long, query_text string"), None).collect()
+    assert {r.chunk_id for r in got} == want
+
+
+def test_search_sql_reads_queries_as_the_search_does(rows):
+    """The check SQL's slots, found again by the search's own reading."""
+    import duckdb
+
+    from probatum.catalog.search import SEARCH
+    texts = ["or uno dos", "uno or or dos or", "uno-dos or tres", "uno tres-dos\nOr or dos", "Or or uno.\nDos or", "-or uno or -dos tres", "uno — or dos", "uno uno or dos uno"]
+    steps = {k: SEARCH[k] for k in ("text_queries", "parts", "runs", "joined", "units", "numbered", "slots", "asked")}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [(4 * i + shape, t) for i, t in enumerate(texts) for shape in (0, 2, 3)])
+    head = ", ".join(f"{k} AS ({v})" for k, v in steps.items())
+    slots, without = {}, {}
+    for i, slot, term, excluded in con.execute(f"WITH {head} SELECT query_id, slot, term, excluded FROM asked").fetchall():
+        without.setdefault(i, set()).add(term) if excluded else slots.setdefault(i, {}).setdefault(slot, set()).add(term)
+    asked = rows(con.execute(f"WITH {head} SELECT query_id, query_text FROM text_queries").fetchall(), "query_id long, query_text string")
+    for block in fulltext._blocks(asked, (), 1 << 20):
+        for q in block:
+            assert {frozenset(t for u in s for _, t in u) for s in q.slots} == {frozenset(s) for s in slots[q.query_id].values()}, q
+            assert {t for u in q.without for _, t in u} == without.get(q.query_id, set()), q
+
+
 def test_many_alternatives_use_several_masks(rows):
     text = "\n".join(f"w{i} or v{i}" for i in range(130))
     chunks = rows([(1, " ".join(f"w{i}" for i in range(130))), (2, " ".join(f"v{i}" for i in range(129)))], "chunk_id long, texto string")
@@ -288,3 +318,19 @@ def test_first_hit_equals_trying_every_pattern(spark):
         hits = [F.regexp_extract("t", UNICODE + r, 0) for r in regexes]
         plain = F.coalesce(*[F.when(h != "", h) for h in hits])
         assert not frame.where(~first_hit(F.col("t"), regexes).eqNullSafe(plain)).collect()
+
+
+def test_out_of_domain_tells_marked_letters_apart(rows):
+    """The job and its check SQL: words as written, ends of words as in Unicode, any case."""
+    import duckdb
+
+    from probatum.catalog import tagging as catalog
+    from probatum.lookups import patterns
+    texts = ["asíí óes", "EL SII", "sueldó", "Sueldo.", "ésueldo", "codigo civil", "CÓDIGO CIVIL", "un sueldo_x", "sueldo", "ſii", "sıi", "salario2", "el salario"]
+    df = rows([(t,) for t in texts], "texto string").select("texto", tagging.out_of_domain(F.col("texto")).alias("fuera"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x (texto VARCHAR)")
+    con.executemany("INSERT INTO x VALUES (?)", [(t,) for t in texts])
+    want = dict(con.execute(f"SELECT texto, {catalog.sql_any_written(patterns.OUT_OF_DOMAIN, 'texto')} FROM x").fetchall())
+    assert {r.texto: r.fuera for r in df.collect()} == want
+    assert want["EL SII"] and want["Sueldo."] and not want["asíí óes"] and not want["codigo civil"] and not want["ésueldo"]
