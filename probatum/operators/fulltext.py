@@ -28,6 +28,9 @@ K1, B = 1.2, 0.75
 BLOCK_BYTES = 16 << 20
 """Query text that goes to every task at once."""
 
+PAGE_WORDS = 1 << 18
+"""Words that a task lays out at once: a batch of long chunks is read in several pages."""
+
 
 @dataclass
 class Index:
@@ -172,11 +175,25 @@ class Page:
             self.known[unit] = np.unique(self.chunk_of[start][self.chunk_of[start] == self.chunk_of[start + unit[-1][0]]])
         return self.known[unit]
 
-    def counts(self, code: int) -> np.ndarray:
-        """How often each chunk holds a term."""
+    def counts(self, code: int, rows: np.ndarray) -> np.ndarray:
+        """How often each of some chunks holds a term."""
         if code not in self.known:
-            self.known[code] = np.bincount(self.chunk_of[self.places[code]], minlength=len(self.ids))
-        return self.known[code]
+            self.known[code] = np.unique(self.chunk_of[self.places[code]], return_counts=True)
+        held, times = self.known[code]
+        if not len(held):
+            return np.zeros(len(rows), np.int64)
+        at = np.minimum(np.searchsorted(held, rows), len(held) - 1)
+        return np.where(held[at] == rows, times[at], 0)
+
+
+def pages(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded words, of one chunk at least."""
+    ends = np.cumsum(batch.column("words").value_lengths().to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAGE_WORDS, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 class Search:
@@ -206,7 +223,7 @@ class Search:
             if len(rows):
                 score = np.zeros(len(rows))
                 for code, weight in terms:
-                    tf = page.counts(code)[rows]
+                    tf = page.counts(code, rows)
                     score += weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * page.sizes[rows] / self.mean))
                 self._keep(i, page.ids[rows], np.round(score, 6))
 
@@ -258,12 +275,12 @@ def _scan_with(block: list[Query], weights: dict[str, float], mean: float, k: in
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(block, weights, mean, k)
         for batch in batches:
-            if block and batch.num_rows:
-                search.read(Page(batch, search.asked))
-            if k is None:
-                for frame in search.found():
-                    yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-                search.best = [None] * len(block)
+            for page in pages(batch) if block else ():
+                search.read(Page(page, search.asked))
+                if k is None:
+                    for frame in search.found():
+                        yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+                    search.best = [None] * len(block)
         if k is not None:
             for frame in search.found():
                 yield pa.RecordBatch.from_pandas(frame, preserve_index=False)

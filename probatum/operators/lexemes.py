@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_terms
 from ..session import materialise
-from .fulltext import BLOCK_BYTES, Index, Page, Query, Search, _blocks
+from .fulltext import BLOCK_BYTES, Index, Page, Query, Search, _blocks, pages
 from .ranking import top_per
 
 WEIGHT = 0.1
@@ -172,10 +172,10 @@ def _scan_with(block: list[Query], forms: dict[str, list[str]], k: int | None):
             search.best = [None] * len(block)
 
         for batch in batches:
-            if block and batch.num_rows:
-                search.read(search.page(batch))
-            if k is None:
-                yield from (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in frames())
+            for page in pages(batch) if block else ():
+                search.read(search.page(page))
+                if k is None:
+                    yield from (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in frames())
         yield from (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in frames())
 
     return scan
