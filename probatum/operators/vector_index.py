@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .ranking import top_per
-from .vectors import BLOCK_BYTES, QUERY_SLICE, _blocks, _unit_rows, vector_topk
+from .vectors import BLOCK_BYTES, QUERY_SLICE, Best, _blocks, _ids, _parts, _unit_rows, vector_topk
 
 MAX_CELLS = 4096
 """Most cells of an index. Centres go to every task, so their number is bounded; cells grow instead."""
@@ -112,7 +112,8 @@ def search_index(
     schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {index.id_type}, similarity double"
     kept = candidates or 20 * k
     hits = index.spark.createDataFrame([], schema)
-    for block in _blocks(asked, block_bytes) if len(index.centres) else ():
+    # a task holds up to twice the candidates of a block's queries, each with its cell
+    for block in _blocks(asked, _parts(asked, 2 * kept, block_bytes)) if len(index.centres) else ():
         ids, unit = _query_units(block, index.centres.shape[1])
         if not len(ids):
             continue
@@ -344,33 +345,26 @@ def _probed(unit: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
 def _scan_codes(ids, unit, probed, centres, codebook, kept: int):
     narrow = unit.astype(np.float32)
 
-    def first(found: list[pd.DataFrame]) -> pd.DataFrame:
-        merged = pd.concat(found, ignore_index=True).sort_values(
-            ["query_id", "similarity", "chunk_id"], ascending=[True, False, True])
-        return merged.groupby("query_id", sort=False).head(kept)
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[pd.DataFrame] = []
-        held = 0
+        best = Best(len(ids), kept)
         for batch in batches:
-            cells, chunk_ids = batch.column("cell").to_numpy(), batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            rest = _decode(batch.column("code"), codebook) if batch.num_rows else None
+            if not batch.num_rows:
+                continue
+            cells, chunk_ids = batch.column("cell").to_numpy(), _ids(batch)
+            rest = _decode(batch.column("code"), codebook)
             for cell in np.unique(cells):
                 at, wanted = np.flatnonzero(cells == cell), np.flatnonzero(probed[:, cell])
-                for lo in range(0, len(wanted), QUERY_SLICE):
-                    part = wanted[lo:lo + QUERY_SLICE]
+                for part in np.split(wanted, np.flatnonzero(np.diff(wanted // QUERY_SLICE)) + 1):
                     scores = (narrow[part] @ rest[at].T).astype(np.float64) + (unit[part] @ centres[cell])[:, None]
                     scores = np.round(scores, 6)
-                    floor = np.partition(scores, -kept, axis=1)[:, -kept] if len(at) > kept else np.full(len(part), -np.inf)
+                    floor = best.floor[part]
+                    if len(at) > kept:
+                        floor = np.maximum(floor, np.partition(scores, -kept, axis=1)[:, -kept])
                     q, c = np.nonzero(scores >= floor[:, None])
-                    found.append(pd.DataFrame({"query_id": ids[part][q], "chunk_id": chunk_ids[at][c], "similarity": scores[q, c],
-                                               "cell": np.int32(cell)}))
-                    held += len(q)
-                    if held > 4 * kept * len(ids):
-                        found = [first(found)]
-                        held = len(found[0])
-        if found:
-            yield pa.RecordBatch.from_pandas(first(found), preserve_index=False)
+                    best.offer(part[q], chunk_ids[at][c], scores[q, c], np.full(len(q), cell, np.int32))
+        for query, found, score, cell in best.found():
+            yield pa.RecordBatch.from_pydict({
+                "query_id": pa.array(ids[query]), "chunk_id": pa.array(found), "similarity": pa.array(score), "cell": pa.array(cell)})
 
     return scan
 

@@ -7,7 +7,7 @@ strings.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -17,14 +17,54 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import tokens
+from ..session import materialise
 from .ranking import top_per
 
 BLOCK_BYTES = 32 << 20
 """Query vectors that go to every task at once."""
 
+HELD_BYTES = 96 << 20
+"""Best rows that a task holds for the queries of a block."""
+
 QUERY_SLICE = 256
 
 
+class Best:
+    """The best k rows of each query so far, higher scores first and ties by id, with further columns if given.
+
+    Rows lie in plain arrays per slice of queries, and a slice is cut back to k rows per query once it holds twice as many:
+    the whole stays within twice the rows to be returned.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.rows: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(0, queries, QUERY_SLICE)]
+        self.floor = np.full(queries, -np.inf)
+
+    def offer(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray, *more: np.ndarray) -> None:
+        """Rows for queries of one slice, by their numbers."""
+        if len(query):
+            no = int(query[0]) // QUERY_SLICE
+            self.rows[no].append((query.astype(np.int32), ids, score, *more))
+            if sum(len(r[0]) for r in self.rows[no]) > 2 * self.k * QUERY_SLICE:
+                self._cut(no)
+
+    def _cut(self, no: int) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.rows[no])]
+        order = np.lexsort((columns[1], -columns[2], columns[0]))
+        query = columns[0][order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        self.rows[no] = [tuple(c[order[place < self.k]] for c in columns)]
+        last = place == self.k - 1
+        self.floor[query[last]] = columns[2][order[last]]
+
+    def found(self) -> Iterator[tuple[np.ndarray, ...]]:
+        for no, rows in enumerate(self.rows):
+            if rows:
+                self._cut(no)
+                yield self.rows[no][0]
+
+
 @dataclass
 class QueryBlock:
     """A bounded set of query vectors with their optional restrictions, as arrays."""
@@ -36,7 +76,7 @@ class QueryBlock:
     k: int = 10
     min_similarity: float | None = None
     max_age_ms: int | None = None
-    best: pd.DataFrame | None = field(default=None)
+    best: Best | None = field(default=None)
 
     @classmethod
     def build(cls, pdf: pd.DataFrame, **settings) -> QueryBlock:
@@ -45,17 +85,19 @@ class QueryBlock:
             raise ValueError(f"query vectors of different widths: {sorted(widths)}")
         matrix = np.array(pdf["query_vector"].tolist(), dtype=np.float64)
         unit, ok = _unit_rows(matrix)
+        same: dict[frozenset, frozenset] = {}
         return cls(
             ids=pdf["query_id"].to_numpy()[ok],
             unit=unit[ok],
-            types=[set(v) for v in pdf["types"][ok]] if "types" in pdf else None,
+            types=[same.setdefault(t, t) for t in map(frozenset, pdf["types"][ok])] if "types" in pdf else None,
             times=pdf["query_ms"].to_numpy()[ok] if "query_ms" in pdf else None,
             **settings,
         )
 
     def offer(self, ids: np.ndarray, unit: np.ndarray, types=None, times=None) -> None:
         """Score a batch of chunks and keep, per query, the best k seen so far (ties by id)."""
-        found = [self.best] if self.best is not None else []
+        if self.best is None:
+            self.best = Best(len(self.ids), self.k)
         for lo in range(0, len(self.ids), QUERY_SLICE):
             part = slice(lo, lo + QUERY_SLICE)
             scores = np.round(self.unit[part] @ unit.T, 6)
@@ -68,15 +110,11 @@ class QueryBlock:
                 scores[(age < 0) | (age >= self.max_age_ms)] = -np.inf
             if self.min_similarity is not None:
                 scores[scores < self.min_similarity] = -np.inf
-            if scores.shape[1] > self.k:
-                floor = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            else:
-                floor = np.full(len(scores), -np.inf)
+            floor = self.best.floor[part]
+            if scores.shape[1] > self.k and not np.isfinite(floor).all():
+                floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
             q, c = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-            found.append(pd.DataFrame({"query_id": self.ids[part][q], "chunk_id": ids[c], "similarity": scores[q, c]}))
-        merged = pd.concat(found, ignore_index=True)
-        merged = merged.sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True])
-        self.best = merged.groupby("query_id", sort=False).head(self.k)
+            self.best.offer(q + lo, ids[c], scores[q, c])
 
 
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +139,7 @@ def vector_topk(
     With ``type_col`` a query only sees chunks whose type is in its ``types`` array; with ``chunk_ms``
     only chunks younger than ``max_age_ms`` at its ``query_ms``. Chunks without a vector are skipped.
 
-    Queries are taken in blocks of at most ``block_bytes``, and every block scans the chunks in place, without a
+    Queries are taken in blocks of at most ``block_bytes`` and of at most ``HELD_BYTES`` of rows to be kept, and every block scans the chunks in place, without a
     shuffle: each task emits at most k rows per query of the block. One block or many is the same plan, once per
     block. Chunks whose vectors are not as wide as the queries' stop the job with an error.
     """
@@ -116,23 +154,36 @@ def vector_topk(
     asked = queries.select(*wanted).where("query_vector IS NOT NULL")
 
     schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {dict(pool.dtypes)['chunk_id']}, similarity double"
+    parts = _parts(asked, k, block_bytes)
+    if parts > 1:
+        # read once per block: neither is worked out again for each
+        pool, asked = materialise(pool, "vector-pool"), materialise(asked, "vector-queries")
     hits = None
-    for block in _blocks(asked, block_bytes):
-        found = pool.mapInArrow(_scan_with(block, settings), schema)
+    for block in _blocks(asked, parts):
+        found = pool.mapInArrow(_scan_with(QueryBlock.build(block, **settings) if len(block) else None), schema)
         hits = found if hits is None else hits.unionByName(found)
     return top_per(hits, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 
-def _blocks(asked: DataFrame, block_bytes: int) -> Iterator[pd.DataFrame]:
-    """The queries, a block of bounded size at a time."""
+def _parts(asked: DataFrame, k: int, block_bytes: int) -> int:
+    """Blocks so that neither the query vectors nor the rows kept for them outgrow a task."""
     rows, width = asked.agg(F.count("*"), F.max(F.size("query_vector"))).first()
-    parts = max(1, -(-rows * 8 * (width or 1) // block_bytes))
+    return max(1, -(-rows * 8 * (width or 1) // block_bytes), -(-rows * 24 * k // HELD_BYTES))
+
+
+def _blocks(asked: DataFrame, parts: int) -> Iterator[pd.DataFrame]:
+    """The queries, a block of bounded size at a time."""
     for i in range(parts):
         yield asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toPandas()
 
 
-def _offer_table(block: QueryBlock, batch) -> None:
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
     ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+    return np.array(ids.tolist()) if ids.dtype == object else ids
+
+
+def _offer_table(block: QueryBlock, batch) -> None:
+    ids = _ids(batch)
     cells = batch.column("embedding")
     wide = np.unique(cells.value_lengths().to_numpy(zero_copy_only=False))
     if (wide != block.unit.shape[1]).any():
@@ -145,14 +196,15 @@ def _offer_table(block: QueryBlock, batch) -> None:
     block.offer(ids[ok], unit[ok], types, times)
 
 
-def _scan_with(head: pd.DataFrame, settings: dict):
+def _scan_with(asked: QueryBlock | None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = QueryBlock.build(head, **settings) if len(head) else None
+        block = None if asked is None else replace(asked, best=None)
         for batch in batches:
             if block is not None and batch.num_rows:
                 _offer_table(block, batch)
         if block is not None and block.best is not None:
-            yield pa.RecordBatch.from_pandas(block.best, preserve_index=False)
+            for query, ids, score in block.best.found():
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(block.ids[query]), "chunk_id": pa.array(ids), "similarity": pa.array(score)})
 
     return scan
 
