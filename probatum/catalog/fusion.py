@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..lookups.norms import HIERARCHY, HIGH_TYPES
 from ..operators import fulltext, fusion as ops, vectors
+from ..session import materialise
 from . import derived as d
 from .registry import query
 from .search import INDEX, SEARCH, index_of, ranked, sql_tokens
@@ -229,17 +230,16 @@ FROM (SELECT g.query_id, g.gap_no, p.chunk_id, round(ln(1 + (s.chunks - f.df + 0
       FROM gaps g JOIN postings p ON p.term = g.term JOIN spread f ON f.term = g.term, stats s) QUALIFY rank <= 10""",
 }))
 def gap_expand(t):
-    index, first = index_of(t), vector_list(t, 18)
+    index, first = index_of(t), materialise(vector_list(t, 18), "gap-first")
     words = t.benchmark.select(
         F.col("item_id").alias("query_id"), F.explode(fulltext.tokens(F.col("text"))).alias("term"))
-    present = first.select("query_id", "chunk_id").join(index.terms.select("chunk_id", "term"), "chunk_id").select(
-        "query_id", "term")
-    gaps = ops.missing_terms(words, present)
+    present = ops.present_terms(first, index.chunks)
+    gaps = materialise(ops.missing_terms(words, present), "gap-terms")
     searches = gaps.select((F.col("query_id") * 10 + F.col("gap_no")).alias("query_id"), F.col("term").alias("query_text"))
     hits = fulltext.fts_search(index, searches, 10).select(
         F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("gap_no"),
         "chunk_id", "rank")
-    return ops.gap_expand(first, hits)
+    return ops.gap_expand(first, materialise(hits, "gap-hits"))
 
 
 _KEYS = ["DDU-161", "LGUC", "OGUC", "LEY-17288", "CGR-108", "DFL-105", "DL-106"]

@@ -112,6 +112,12 @@ def rerank_hierarchy(candidates: DataFrame, k: int = MAX_CHUNKS) -> DataFrame:
     return top_per(placed, ["query_id"], [F.asc("hierarchy"), F.desc("similarity"), F.asc("chunk_id")], k)
 
 
+def present_terms(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Words of the chunks that each query met, ``chunks (chunk_id, words)``: only those chunks are taken apart."""
+    met = hits.select("query_id", "chunk_id").join(chunks, "chunk_id")
+    return met.select("query_id", F.explode(F.array_distinct("words")).alias("term")).where("term <> ''").distinct()
+
+
 def missing_terms(query_words: DataFrame, chunk_words: DataFrame, limit: int = 3) -> DataFrame:
     """Query terms found in none of the query's chunks, as gap searches ``(query_id, gap_no, term)``."""
     gaps = query_words.select("query_id", "term").distinct().join(chunk_words, ["query_id", "term"], "left_anti")

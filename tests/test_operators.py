@@ -334,3 +334,53 @@ def test_out_of_domain_tells_marked_letters_apart(rows):
     want = dict(con.execute(f"SELECT texto, {catalog.sql_any_written(patterns.OUT_OF_DOMAIN, 'texto')} FROM x").fetchall())
     assert {r.texto: r.fuera for r in df.collect()} == want
     assert want["EL SII"] and want["Sueldo."] and not want["asíí óes"] and not want["codigo civil"] and not want["ésueldo"]
+
+
+def test_rows_held_for_queries_stay_within_twice_those_returned():
+    rng, best, seen = np.random.default_rng(1), vectors.Best(600, 5), []
+    for _ in range(30):
+        for lo in range(0, 600, vectors.QUERY_SLICE):
+            q = np.repeat(np.arange(lo, min(lo + vectors.QUERY_SLICE, 600)), 7)
+            ids, score = rng.integers(0, 10**6, len(q)), np.round(rng.random(len(q)), 2)
+            best.offer(q, ids, score)
+            seen += zip(q.tolist(), (-score).tolist(), ids.tolist())
+        assert all(sum(len(r[0]) for r in rows) <= 2 * 5 * vectors.QUERY_SLICE for rows in best.rows)
+    want = {i: [] for i in range(600)}
+    for q, score, i in sorted(seen):
+        want[q] = (want[q] + [(i, -score)])[:5]
+    got = {i: [] for i in range(600)}
+    for query, ids, score in best.found():
+        for q, i, x in zip(query.tolist(), ids.tolist(), score.tolist()):
+            got[q].append((i, x))
+    assert got == want
+
+
+def test_blocks_count_the_rows_kept_for_their_queries(rows):
+    asked = rows([(i, [1.0, 0.0]) for i in range(1000)], "query_id long, query_vector array<double>")
+    assert vectors._parts(asked, 1, 1 << 20) == 1
+    assert vectors._parts(asked, 1, 4000) == 4
+    assert vectors._parts(asked, vectors.HELD_BYTES // 24 // 250, 1 << 20) == 4
+    chunks = rows([(f"c{i}", [float(i % 7), 1.0]) for i in range(50)], "chunk_id string, embedding array<float>")
+    one = sorted(tuple(r) for r in vectors.vector_topk(chunks, asked.limit(40), 3).collect())
+    assert one == sorted(tuple(r) for r in vectors.vector_topk(chunks, asked.limit(40), 3, block_bytes=128).collect()) and len(one) == 120
+
+
+def test_long_batches_are_laid_out_in_pages():
+    import pyarrow as pa
+    words = [["a"] * 3, ["b"], ["a", "b"], ["c"] * (fulltext.PAGE_WORDS + 1), ["a"] * (fulltext.PAGE_WORDS - 1), ["b", "a"]]
+    batch = pa.RecordBatch.from_pydict({"chunk_id": pa.array(range(6), pa.int64()), "words": pa.array(words)})
+    cut = list(fulltext.pages(batch))
+    assert [p.column("chunk_id").to_pylist() for p in cut] == [[0, 1, 2], [3], [4], [5]]
+    page = fulltext.Page(cut[0], pa.array(["b", "a", "z"]))
+    assert page.counts(1, np.array([0, 1, 2])).tolist() == [3, 0, 1] and page.counts(2, np.array([0, 2])).tolist() == [0, 0]
+    # what is kept for a term grows with its places, not with all chunks
+    assert page.known[1][0].tolist() == [0, 2]
+
+
+def test_chunks_are_met_before_their_words_are_taken_apart(rows):
+    hits = rows([(1, 1, 1), (1, 2, 2), (2, 9, 1)], "query_id long, chunk_id long, rank int")
+    chunks = rows([(1, ["a", "b", "a", ""]), (2, ["b", "c"]), (3, ["d"])], "chunk_id long, words array<string>")
+    got = fusion.present_terms(hits, chunks)
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (1, "c")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner")
