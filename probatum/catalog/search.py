@@ -116,7 +116,7 @@ def index_of(t):
     """The index as ingest would store it: written once per application and table folder, then read."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _STORED:
-        _STORED[key] = ops.build_index(d.chunk_texts(t)).write(scratch_path(t.spark, "index"))
+        _STORED[key] = ops.build_index(d.plain_texts(t)).write(scratch_path(t.spark, "index"))
     return _STORED[key]
 
 
@@ -125,7 +125,7 @@ SELECT term, count(*) AS chunks, CAST(sum(tf) AS BIGINT) AS occurrences, min(chu
        CAST(sum(list_sum(positions)) AS BIGINT) AS position_sum
 FROM postings GROUP BY term""", {k: INDEX[k] for k in ("words", "postings")}))
 def fts_index(t):
-    index = ops.build_index(d.chunk_texts(t))
+    index = ops.build_index(d.plain_texts(t))
     counted = index.positions.groupBy("term").agg(
         F.count("*").alias("occurrences"), F.min("chunk_id").alias("first_chunk"), F.sum("pos").alias("position_sum"))
     return counted.join(index.vocabulary.withColumnRenamed("df", "chunks"), "term")

@@ -150,7 +150,7 @@ def vector_index_recall(t):
 
 @query("embed_batch")
 def embed_batch(t):
-    v = ops.embed_text(d.chunk_texts(t))
+    v = ops.embed_text(d.plain_texts(t))
     return v.select(
         "chunk_id", F.size("embedding").alias("width"),
         F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"))

@@ -33,11 +33,12 @@ def written_words(col: Column) -> Column:
 
 
 def build_stemmed(chunks: DataFrame, text_col: str = "texto", stop_words: Sequence[str] = ()) -> Index:
-    """Index of chunks ``(chunk_id, text)`` whose vocabulary has the stem of each term; the vocabulary is written, so that searches do not stem it again."""
+    """Index of chunks ``(chunk_id, text)`` whose vocabulary has the stem of each term. Words and vocabulary are written, so that a text is cut
+    once and searches do not stem again."""
     words = written_words(F.col(text_col))
     if stop_words:
         words = F.transform(words, lambda w: F.when(w.isin(*stop_words), F.lit("")).otherwise(w))
-    plain = Index.of(chunks.select("chunk_id", words.alias("words")).where("size(words) > 0"))
+    plain = Index.of(materialise(chunks.select("chunk_id", words.alias("words")).where("size(words) > 0"), "stem-chunks"))
     return Index(plain.chunks, materialise(stem_terms(plain.vocabulary), "stems"), plain.stats)
 
 

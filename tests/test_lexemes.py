@@ -113,3 +113,16 @@ def test_halves_are_rounded_up_and_or_may_be_a_word(spark):
     # 63 words in between: 0.1 / 64 = 0.0015625
     assert found(spark, index, "alfa beta") == {1: 0.001563}
     assert set(found(spark, index, "or -alfa")) == {2} and set(found(spark, index, "or beta")) == {2}
+
+
+def test_texts_are_indexed_where_they_lie(spark, index):
+    """The texts of an index enter no join, and its words are read back, not cut again."""
+    from probatum.catalog import derived
+    from probatum.catalog.registry import Tables
+
+    plan = derived.plain_texts(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    for table in (index.chunks, index.stats):
+        assert "split(" not in table._jdf.queryExecution().optimizedPlan().toString()
+    same = lambda name: sorted(map(str, getattr(derived, name)(Tables(spark, "/root/testdata/sf0.001")).select("chunk_id", "texto").collect()))
+    assert same("plain_texts") == same("chunk_texts")
