@@ -88,7 +88,7 @@ _DOC_STEPS = {
 
 def norm_docs(t):
     url = F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"))
-    return d.statutes(t, "code").join(d.norms(t).select("doc_id", "tipo", "numero"), "doc_id").withColumn("url", url)
+    return d.numbered_statutes(t, "code").withColumn("url", url)
 
 
 def code_sections():

@@ -22,7 +22,7 @@ SELECT doc_id, texto || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Artículo 9000
 FROM statutes_code"""}))
 def ingest_corpus(t):
     """Two runs: the second brings a changed text for every other document; only those are cut again."""
-    docs = d.statutes(t, "code").join(d.norms(t).select("doc_id", "tipo", "numero"), "doc_id").select(
+    docs = d.numbered_statutes(t, "code").select(
         F.col("doc_id").cast("string").alias("key"), "tipo", "numero", F.lit("https://docs.example/").alias("url"), F.col("texto").alias("text"))
     more = F.when(F.col("key").cast("long") % 2 == 0, F.lit("\nArtículo 9000.- Texto agregado en la segunda lectura")).otherwise("")
     corpus = ingesting.Corpus(t.spark, scratch_path(t.spark, "corpus"))

@@ -55,3 +55,14 @@ def test_rules_are_not_joined(spark):
 
 def test_topk_keeps_few_rows_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["latest_queries"](spark, SF))
+
+
+def test_statutes_get_their_type_and_number_without_a_join(spark):
+    from probatum.catalog import derived
+    from probatum.catalog.registry import Tables
+
+    tables = Tables(spark, SF)
+    found = derived.numbered_statutes(tables, "code")
+    assert "Join" not in plan(found) and "Join" not in plan(QUERIES["chunk_documents"](spark, SF))
+    pairs = lambda df: sorted(map(tuple, df.select("doc_id", "tipo", "numero").collect()))
+    assert pairs(found) == pairs(derived.norms(tables))
