@@ -10,8 +10,9 @@ count only after both full sets have been compared.
 
 Copies fold into sets before anything is posted, and a probe that one set alone posts goes no further. Not all pairs of a group are listed.
 Each set first meets the heaviest set it shares a probe with within the distance (one that shares most probes in all stands in the middle of its
-group). With the components that these links give, every pair within the distance whose sets share a probe and lie in different components
-is compared; pairs inside a component cannot change it. Two tests inside the join keep it from listing pairs that cannot link: the distance on
+group). In some turns each probe then draws one set of its largest component, and every set outside meets the most alike of those drawn for it; one link
+settles it with all the others there. With the components that these links give, every pair within the distance whose sets share a probe and lie
+in different components is compared; pairs inside a component cannot change it. Two tests inside the join keep it from listing pairs that cannot link: the distance on
 four bits a place, which never exceeds the full distance, and parity maps, in which each shingle turns one of ``64 * MAP`` bits: the
 bits that differ between two maps never outnumber the shingles that differ between the sets. They tell variants of one text that are less
 alike than asked apart from those that are, for sets of up to some thousand shingles; above that the maps fill up and only the distance counts. A pair with chunks alike as a whole is listed once for each of
@@ -154,11 +155,15 @@ def near(percent: int, most: int, longs: int):
     return (F.col("mark") != F.col("mark2")) & alike & (distance(names, [f"{x}2" for x in names]) <= most)
 
 
+def differing_bits():
+    """How many bits differ between the parity maps of a pair: at most the shingles that differ between the sets."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"p{i}_").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(MAP)])
+
+
 def differ_little(percent: int):
     """Whether the parity maps leave it possible that the sets reach the similarity."""
     both = F.col("n") + F.col("n2")
-    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"p{i}_").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(MAP)])
-    return bits <= both - 2 * F.ceil(percent * both / (100 + percent))
+    return differing_bits() <= both - 2 * F.ceil(percent * both / (100 + percent))
 
 
 def in_one_place():
@@ -182,15 +187,32 @@ def to_heaviest(shared: DataFrame, facts: DataFrame, percent: int, most: int, lo
     return chosen.select(F.least("mark", "other").alias("a"), F.greatest("mark", "other").alias("b")).distinct()
 
 
-def across(shared: DataFrame, facts: DataFrame, labels: DataFrame, percent: int, most: int, longs: int) -> DataFrame:
-    """(a, b): all pairs that may be linked, share a probe and lie in different components.
-
-    Within a probe, the sets outside its largest component meet all sets; those within it are not paired.
-    """
+def mixed_probes(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(probe, mark, left, label, major): the postings of probes whose sets lie in different components, ``major`` being the largest of these."""
     rows = shared.select("probe", "mark", "left").join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
     by_label = rows.groupBy("probe", "label").agg(F.count("*").alias("members"))
     mixed = by_label.groupBy("probe").agg(F.max_by("label", F.struct("members", "label")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1")
-    rows = durable(rows.join(mixed.select("probe", "major"), "probe"), "mixed-probes")
+    return rows.join(mixed.select("probe", "major"), "probe")
+
+
+def to_drawn(rows: DataFrame, facts: DataFrame, turn: int, percent: int, most: int, longs: int) -> DataFrame:
+    """(a, b): each set outside the largest component of a probe with the most alike, per component, of the sets drawn for its probes.
+
+    A probe draws one set of its largest component, another each ``turn``; so a set meets no more sets than it has probes.
+    """
+    drawn = rows.where("label = major").groupBy("probe").agg(F.max_by("mark", F.xxhash64("mark", "probe", F.lit(turn))).alias("mark2"))
+    met = rows.where("label <> major").join(drawn, "probe").select("mark", "mark2", F.col("major").alias("label2")).distinct()
+    facts = facts.drop("weight", "whole")
+    pairs = met.join(facts, "mark").join(second(facts), "mark2").where(near(percent, most, longs) & differ_little(percent))
+    chosen = pairs.groupBy("mark", "label2").agg(F.min_by("mark2", F.struct(differing_bits() / (F.col("n") + F.col("n2")), "mark2")).alias("other"))
+    return chosen.select(F.least("mark", "other").alias("a"), F.greatest("mark", "other").alias("b")).distinct()
+
+
+def across(rows: DataFrame, facts: DataFrame, percent: int, most: int, longs: int) -> DataFrame:
+    """(a, b): all pairs that may be linked, share a probe and lie in different components. ``rows``: as :func:`mixed_probes` gives them.
+
+    Within a probe, the sets outside its largest component meet all sets; those within it are not paired.
+    """
     facts = facts.drop("weight")
     minor, every = rows.where("label <> major").join(facts, "mark"), second(rows.join(facts, "mark"))
     once = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("major2")) | (F.col("mark") < F.col("mark2")))
@@ -225,7 +247,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perc
         "a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 16, width: int = 5, errors: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 16, width: int = 5, errors: int = 1,
+                    turns: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, group) per row: the set's size, the least doc_id reachable by links, whether the row has it, and a
     name of its group, null without shingles."""
     most, longs = chunks * (errors + 1) - 1, -(-chunks * width // 16)
@@ -243,7 +266,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, chunks: i
 
     central = durable(to_heaviest(shared, facts, percent, most, longs), "central-pairs")
     links = durable(verified(central, docs, sets, size, percent), "central-links")
-    rest = durable(across(shared, facts, components(links), percent, most, longs).join(central, ["a", "b"], "left_anti"), "other-pairs")
+    mixed, tested = durable(mixed_probes(shared, components(links)), "mixed-probes"), central
+    for turn in range(turns):
+        drawn = durable(to_drawn(mixed, facts, turn, percent, most, longs).join(tested, ["a", "b"], "left_anti"), "drawn-pairs")
+        links = links.unionByName(durable(verified(drawn, docs, sets, size, percent), "drawn-links"))
+        mixed, tested = durable(mixed_probes(mixed, components(links)), "mixed-probes"), tested.unionByName(drawn)
+    rest = durable(across(mixed, facts, percent, most, longs), "open-pairs").join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(durable(verified(rest, docs, sets, size, percent), "other-links"))
 
     named = sets.select("mark", "key").join(components(links).withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))

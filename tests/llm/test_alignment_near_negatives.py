@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from probatum.llm import minhash_join
 from probatum.llm import token_alignment as alignment
 from probatum.llm.common import Hashes, mix
 from probatum.llm.hard_negatives import Best, Lists, build_lists, mine_negatives, shifted_labels, usable
@@ -177,6 +178,21 @@ def test_near_duplicates_equal_plain_version(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_variants_meet_few_sets_of_each_other_component(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):  # about half of all pairs link, and a set that misses the centre has a hundred others to link with
+        words = [f"w{j}" for j in range(300)]
+        for j in rng.sample(range(300), rng.randint(8, 10)):
+            words[j] = f"x{i}.{j}"
+        rows.append((i, " ".join(words)))
+    compared, whole = [], minhash_join.verified
+    monkeypatch.setattr(minhash_join, "verified", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == plain_components(rows)
+    assert sum(compared) < 1500
+
+
 def test_signatures_within_the_distance_share_a_probe():
     rng = np.random.default_rng(2)
     chunks, width, errors = 16, 5, 1
