@@ -71,7 +71,11 @@ def keyed_state_store(spark: SparkSession):
 
 class MessageFold(StatefulProcessor):
     """Events of one answer until it ends. Pieces of text are appended to a list as they come and read once, at the end; of each
-    other type the newest is kept. A timer ends an answer that has been idle; all state goes with the answer."""
+    other type the newest is kept. A timer ends an answer that has been idle; all state goes with the answer.
+
+    Every call on state is a message to the JVM, so what is not a piece is one value, read and written once a micro-batch, and the
+    timer is set once: when it fires too early, as rows have come since, it is set again.
+    """
 
     COLUMNS = ["msg_id", "texto", "fuentes", "meta_id", "error", "cerrado"]
 
@@ -81,44 +85,51 @@ class MessageFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pieces = handle.getListState("pieces", "seq long, payload string")
-        self.last = handle.getMapState("last", "type string", "seq long, payload string")
-        self.due = handle.getValueState("due", "ms long")
+        self.rest = handle.getValueState("rest", "due long, timer long, last array<struct<type:string,seq:long,payload:string>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, ended = timerValues.getCurrentWatermarkInMs(), False
+        known = self.rest.get()
+        newest, came = timerValues.getCurrentWatermarkInMs(), []
+        last = {kind: (seq, payload) for kind, seq, payload in known[2]} if known else {}
         for pdf in rows:
             newest = max(newest, int(pdf["ts_ms"].max()))
-            text = pdf[pdf["type"] == "chunk"]
-            if len(text):
-                self.pieces.appendList([(int(s), p) for s, p in zip(text["seq"], text["payload"])])
-            for seq, kind, payload in pdf.loc[pdf["type"] != "chunk", ["seq", "type", "payload"]].itertuples(index=False):
-                known = self.last.getValue((kind,)) if self.last.containsKey((kind,)) else None
-                if known is None or seq >= known[0]:
-                    self.last.updateValue((kind,), (int(seq), payload))
-                ended = ended or kind in ("done", "error")
-        if ended:
-            yield self.finish(key)
+            for seq, kind, payload in zip(pdf["seq"].tolist(), pdf["type"].tolist(), pdf["payload"].tolist()):
+                if kind == "chunk":
+                    came.append((seq, payload))
+                elif kind not in last or seq >= last[kind][0]:
+                    last[kind] = (seq, payload)
+        if "done" in last or "error" in last:
+            if known:
+                self.handle.deleteTimer(known[1])
+            yield self.finish(key, last, came, bool(known))
             return
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-        self.due.update((newest + self.idle_ms,))
-        self.handle.registerTimer(newest + self.idle_ms)
+        if came:
+            self.pieces.appendList(came)
+        due = newest + self.idle_ms
+        if not known:
+            self.handle.registerTimer(due)
+        self.rest.update((due, known[1] if known else due, [(kind, *value) for kind, value in last.items()]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
-        yield self.finish(key)
-
-    def finish(self, key) -> pd.DataFrame:
-        pieces = {seq: payload for seq, payload in self.pieces.get()} if self.pieces.exists() else {}
-        last = {kind[0]: value[1] for kind, value in self.last.iterator()} if self.last.exists() else {}
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-        for state in (self.pieces, self.last, self.due):
-            state.clear()
+        due, _, last = self.rest.get()
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            self.rest.update((due, due, last))
+            return
+        yield self.finish(key, {kind: (seq, payload) for kind, seq, payload in last}, [], True)
+
+    def finish(self, key, last: dict, came: list, stored: bool) -> pd.DataFrame:
+        pieces = {}
+        if stored:
+            pieces = dict(self.pieces.get())
+            self.pieces.clear()
+            self.rest.clear()
+        pieces.update(came)
         text = "".join(pieces[seq] for seq in sorted(pieces) if pieces[seq] is not None)
-        sources = int(last["fuentes"]) if last.get("fuentes") is not None else None
-        row = (key[0], text, sources, last.get("meta"), last.get("error"), "done" in last)
-        return pd.DataFrame([row], columns=self.COLUMNS).astype({"fuentes": "Int32", "meta_id": object, "error": object})
+        sources, meta, error = (last.get(kind, (0, None))[1] for kind in ("fuentes", "meta", "error"))
+        row = (key[0], text, int(sources) if sources is not None else None, meta, error, "done" in last)
+        return pd.DataFrame({name: pd.Series([value], dtype="Int32" if name == "fuentes" else None if name in ("msg_id", "cerrado") else object)
+                             for name, value in zip(self.COLUMNS, row)})
 
     def close(self) -> None:
         pass

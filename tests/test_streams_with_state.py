@@ -4,6 +4,7 @@ import math
 import random
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,92 @@ def test_answers_over_restarts_idle_ones_and_redelivered_pieces(spark, tmp_path)
     assert state[-1] == 0  # nothing is kept of ended answers
 
 
+class CountedState:
+    """State of one key in memory; counts the calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def __getattribute__(self, name):
+        if name in ("calls", "held"):
+            return object.__getattribute__(self, name)
+        self.calls.append(name)
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return iter(self.held or []) if isinstance(self.held, list) else self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+    def appendList(self, values):
+        self.held = (self.held or []) + values
+
+    def containsKey(self, key):
+        return key in (self.held or {})
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held = (self.held or {}) | {key: value}
+
+    def iterator(self):
+        return iter((self.held or {}).items())
+
+
+class CountedHandle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def state(self, *_):
+        return CountedState(self.calls)
+
+    getListState = getMapState = getValueState = state
+
+    def registerTimer(self, ms):
+        self.calls.append("registerTimer")
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls.append("deleteTimer")
+        self.timers.remove(ms)
+
+
+def test_an_answer_asks_little_of_its_state():
+    class Now:
+        at = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    def rows(n, *extra):
+        events = [(10 + 4 * i + n, "chunk", f"{n}{i} ") for i in range(4)] + list(extra)
+        return iter([pd.DataFrame([(s, k, p, 1000 * n) for s, k, p in events], columns=["seq", "type", "payload", "ts_ms"])])
+
+    fold, handle, now, out = jobs.MessageFold(5000), CountedHandle(), Now(), []
+    fold.init(handle)
+    for n, extra in enumerate([[(3, "meta", "m")], [(1, "fuentes", "2")], [(2, "fuentes", "4")], [(99, "done", "fin")]]):
+        out += fold.handleInputRows((7,), rows(n, *extra), now)
+    assert [tuple(r) for f in out for r in f.itertuples(index=False)] == [(7, "".join(f"{n}{i} " for i in range(4) for n in range(4)), 4, "m", None, True)]
+    assert not handle.timers and len(handle.calls) <= 16
+
+    fold.init(handle)
+    list(fold.handleInputRows((8,), rows(0), now))
+    list(fold.handleInputRows((8,), rows(2), now))
+    now.at = 5000  # the first timer fires, but rows have come since
+    handle.timers.discard(5000)
+    assert list(fold.handleExpiredTimer((8,), now, None)) == [] and handle.timers == {7000}
+    now.at = 7000
+    assert len(list(fold.handleExpiredTimer((8,), now, None))) == 1
+
+
 def test_feed_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "id long, ts timestamp_ntz")
     feed = Feed(spark, empty, "empty", order="ts")
