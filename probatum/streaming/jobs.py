@@ -59,7 +59,7 @@ def rate_limit_stream(
 
 @contextmanager
 def keyed_state_store(spark: SparkSession):
-    """Streams that start inside keep their state in RocksDB, which list and map state need."""
+    """Streams that start inside keep their state in RocksDB, which their list and value state needs."""
     name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name, None)
     spark.conf.set(name, kind)
