@@ -8,6 +8,7 @@ them; windows overlap by that context, and every word is predicted once.
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 QUERIES, CONTEXT, WIDTH, HIDDEN, GROUPS = 16, 16, 16, 24, 8
 SPAN = QUERIES + CONTEXT
@@ -16,6 +17,7 @@ ROWS = 4096  # rows of the embedding tables; ids share them by remainder
 START, PAD = ROWS, ROWS + 1
 MASK = np.where(np.arange(SPAN)[None, :] <= CONTEXT + np.arange(QUERIES)[:, None], 0.0, -1e9).astype(np.float32)
 FAR = np.float32(-1e9)
+SCALE = np.float32(1 / np.sqrt(WIDTH))
 
 
 def windows_of(sizes: np.ndarray, first: np.ndarray, last: np.ndarray, target: np.ndarray):
@@ -24,7 +26,7 @@ def windows_of(sizes: np.ndarray, first: np.ndarray, last: np.ndarray, target: n
     ``sizes``: words per text, one more target than words each, as a text is ended by a token of its own. The first input of a text is ``START``.
     """
     blocks = -(-(sizes + 1) // QUERIES)
-    total = int(blocks.sum()) * QUERIES + len(sizes) * CONTEXT
+    total = max(int(blocks.sum()) * QUERIES + len(sizes) * CONTEXT, SPAN)
     begin = np.cumsum(blocks * QUERIES + CONTEXT) - blocks * QUERIES  # where each text's start token stands
     inputs = [np.full(total, PAD, np.int32), np.full(total, PAD, np.int32)]
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -37,23 +39,31 @@ def windows_of(sizes: np.ndarray, first: np.ndarray, last: np.ndarray, target: n
     place = begin[text] + np.arange(len(text)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
     wanted[place], valid[place] = target, True
     at = np.repeat(begin, blocks) + QUERIES * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    span = at[:, None] - CONTEXT + np.arange(SPAN)
-    query = at[:, None] + np.arange(QUERIES)
-    return inputs[0][span], inputs[1][span], wanted[query], valid[query], place, query
+    inputs = [sliding_window_view(table, SPAN)[at - CONTEXT] for table in inputs]
+    wanted, valid = (sliding_window_view(table, QUERIES)[at] for table in (wanted, valid))
+    return *inputs, wanted, valid, place, at[:, None] + np.arange(QUERIES)
 
 
 def _row_sums(x: np.ndarray) -> np.ndarray:
-    """Sums over the last axis, kept as an axis; a product with ones is faster than a reduction over few values."""
-    return x @ np.ones((x.shape[-1], 1), np.float32)
+    """Sums over the last axis, kept as an axis; one product with ones is faster than a reduction over few values."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(*x.shape[:-1], 1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Over the last axis. Values over 30 count as 30, so that nothing overflows."""
-    x = np.exp(np.minimum(x, np.float32(30)))
+    """Over the last axis, in place. Values over 30 count as 30, so that nothing overflows."""
+    np.exp(np.minimum(x, np.float32(30), out=x), out=x)
     x /= _row_sums(x)
     return x
 
 
+def _id_sums(ids: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each id; ``columns`` has the rows' columns, one after another. A column's sums stay in the fastest cache."""
+    sums = np.empty((len(columns), ROWS + 2), np.float32)
+    for own, column in zip(sums, columns):
+        own[:] = np.bincount(ids, column, ROWS + 2)
+    return sums.T.copy()
+
+
 class Model:
     """Parameters by name; the last two are the embeddings, a row per subword id."""
 
@@ -83,25 +93,31 @@ class Model:
 
     def forward(self, first: np.ndarray, last: np.ndarray, target: np.ndarray) -> dict:
         n = len(first)
-        x = self.first[first] + self.last[last]
+        x = self.first.take(first, axis=0)
+        x += self.last.take(last, axis=0)
         xq = x[:, CONTEXT:]
-        q, k, v = xq @ self.query, x @ self.key, x @ self.value
+        q, k, v = xq @ (self.query * SCALE), x @ self.key, x @ self.value
         score = q @ k.transpose(0, 2, 1)
-        score *= np.float32(1 / np.sqrt(WIDTH))
         score += self.near + MASK
-        score += np.where(first == PAD, FAR, np.float32(0))[:, None, :]
+        padded = first == PAD
+        some = np.flatnonzero(padded.any(axis=1))
+        score[some] += np.where(padded[some], FAR, np.float32(0))[:, None, :]
         score = _softmax(score)
         seen = score @ v
-        hidden = np.tanh(xq @ self.own + seen @ self.seen + self.bias).reshape(n * QUERIES, HIDDEN)
-        logits = hidden @ self.out + self.offset
+        hidden = xq @ self.own
+        hidden += seen @ self.seen
+        hidden += self.bias
+        hidden = np.tanh(hidden, out=hidden).reshape(n * QUERIES, HIDDEN)
+        logits = hidden @ self.out
+        logits += self.offset
+        logits = logits.reshape(-1, 1 + GROUPS, GROUPS)  # the groups, then the classes of each
         rows, wanted = np.arange(len(logits)), target.ravel()
         group, within = wanted // GROUPS, wanted % GROUPS
-        inside = (rows * logits.shape[1] + GROUPS + group * GROUPS)[:, None] + np.arange(GROUPS)  # the classes of the target's group
         parts = []
-        for part, aim in ((logits[:, :GROUPS], group), (logits.ravel()[inside], within)):
+        for part, aim in ((logits[:, 0].copy(), group), (logits[rows, 1 + group], within)):
             part = _softmax(part)
             parts.append((part, part[rows, aim], aim))
-        return {"x": x, "q": q, "k": k, "v": v, "weight": score, "seen": seen, "hidden": hidden, "inside": inside, "parts": parts,
+        return {"x": x, "q": q, "k": k, "v": v, "weight": score, "seen": seen, "hidden": hidden, "group": group, "parts": parts,
                 "p": parts[0][1] * parts[1][1]}
 
     def log10(self, first, last, target) -> np.ndarray:
@@ -114,36 +130,35 @@ class Model:
         keep = valid.ravel()
         scale = np.float32(1.0 / max(keep.sum(), 1))
         rows = np.arange(len(keep))
-        back = np.zeros((len(keep), GROUPS + CLASSES), np.float32)
-        for i, (part, _, aim) in enumerate(f["parts"]):
+        back = np.zeros((len(keep), 1 + GROUPS, GROUPS), np.float32)
+        for place, (part, _, aim) in zip((0, 1 + f["group"]), f["parts"]):
             part[rows, aim] -= 1
             part *= (keep * scale)[:, None]
-            if i == 0:
-                back[:, :GROUPS] = part
-            else:
-                back.ravel()[f["inside"]] = part
+            back[rows, place] = part
+        back = back.reshape(len(keep), -1)
         g = {"out": f["hidden"].T @ back, "offset": back.sum(axis=0)}
-        inner = (back @ self.out.T) * (1 - f["hidden"] ** 2)
+        inner = back @ self.out.T
+        inner *= 1 - f["hidden"] ** 2
         x, n = f["x"], len(first)
-        xq = x[:, CONTEXT:]
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g["own"], g["seen"], g["bias"] = flat(xq).T @ inner, flat(f["seen"]).T @ inner, inner.sum(axis=0)
+        xq = flat(x[:, CONTEXT:])
+        g["own"], g["seen"], g["bias"] = xq.T @ inner, flat(f["seen"]).T @ inner, inner.sum(axis=0)
         to_seen = (inner @ self.seen.T).reshape(n, QUERIES, WIDTH)
         weight = f["weight"]
-        to_weight = to_seen @ f["v"].transpose(0, 2, 1)
-        to_score = weight * (to_weight - _row_sums(to_weight * weight))
+        to_score = to_seen @ f["v"].transpose(0, 2, 1)
+        to_score -= _row_sums(to_score * weight)
+        to_score *= weight
         g["near"] = to_score.sum(axis=0)
-        to_score *= np.float32(1 / np.sqrt(WIDTH))
-        to_q, to_k = to_score @ f["k"], to_score.transpose(0, 2, 1) @ f["q"]
+        to_q, to_k = to_score @ f["k"], to_score.transpose(0, 2, 1) @ f["q"]  # q holds the scale already
+        to_q *= SCALE
         to_v = weight.transpose(0, 2, 1) @ to_seen
-        g["query"], g["key"], g["value"] = flat(xq).T @ flat(to_q), flat(x).T @ flat(to_k), flat(x).T @ flat(to_v)
+        g["query"], g["key"], g["value"] = xq.T @ flat(to_q), flat(x).T @ flat(to_k), flat(x).T @ flat(to_v)
         if embeddings:
-            to_x = to_k @ self.key.T + to_v @ self.value.T
-            to_x[:, CONTEXT:] += (inner @ self.own.T).reshape(n, QUERIES, WIDTH) + to_q @ self.query.T
-            to_x = to_x.ravel()
-            for name, ids in (("e_first", first), ("e_last", last)):
-                place = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-                g[name] = np.bincount(place, to_x, (ROWS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+            to_x = to_k @ self.key.T.copy()
+            to_x += to_v @ self.value.T.copy()
+            to_x[:, CONTEXT:] += (inner @ self.own.T).reshape(n, QUERIES, WIDTH) + to_q @ self.query.T.copy()
+            columns = flat(to_x).T.astype(np.float64, order="C")
+            g["e_first"], g["e_last"] = (_id_sums(ids.ravel().astype(np.int64), columns) for ids in (first, last))
         loss = -float(np.log(np.maximum(f["p"][keep], 1e-30)).mean()) if keep.any() else 0.0
         return g, loss
 
@@ -160,9 +175,19 @@ class Fit:
         grads, loss = self.model.gradients(first, last, target, valid, True)
         self.step += 1
         for name, g in grads.items():
+            if name not in self.one:
+                self.one[name], self.two[name] = np.zeros_like(g), np.zeros_like(g)
+            one, two = self.one[name], self.two[name]
+            one *= 0.9
+            one += 0.1 * g
+            two *= 0.99
+            g *= g
+            g *= 0.01
+            two += g
+            step = np.sqrt(two / (1 - 0.99 ** self.step))
+            step += 1e-8
+            np.divide(one, step, out=step)
+            step *= (rate or self.rate) / (1 - 0.9 ** self.step)
             own = {"e_first": "first", "e_last": "last"}.get(name, name)
-            self.one[name] = 0.9 * self.one.get(name, 0) + 0.1 * g
-            self.two[name] = 0.99 * self.two.get(name, 0) + 0.01 * g * g
-            one, two = self.one[name] / (1 - 0.9 ** self.step), self.two[name] / (1 - 0.99 ** self.step)
-            setattr(self.model, own, (getattr(self.model, own) - (rate or self.rate) * one / (np.sqrt(two) + 1e-8)).astype(np.float32))
+            setattr(self.model, own, getattr(self.model, own) - step)
         return loss

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.llm.attention import CLASSES, GROUPS, ROWS, START, WIDTH, Fit, Model, windows_of
-from probatum.llm.common import LAST, Hashes, batched, durable, edges, id_of, in_order, shares, text_bytes, words
+from probatum.llm.common import LAST, batched, durable, edges, id_of, in_order, shares, text_bytes, words
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern that splits text before the merges of that vocabulary: a fixed value of the tokenizer.
@@ -71,6 +71,14 @@ def in_training(key: int, folds: int) -> bool:
     return key != LAST and zlib.crc32(str(key).encode()) % folds != 0
 
 
+class Numbers(dict):
+    """A number for each distinct word, in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Batch:
     """The tokens of a batch: each distinct one once, with where it stands."""
 
@@ -80,13 +88,16 @@ class Batch:
         texts = [words(t, True) for t in rows["text"]]
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.train = np.array([in_training(k, folds) for k in self.keys], bool)
-        self.flat = list(itertools.chain.from_iterable(texts))
-        h = Hashes().of(self.flat)
-        self.distinct, self.first_at, self.where = np.unique(h, return_index=True, return_inverse=True)
+        numbers = Numbers()
+        flat = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(texts)), np.int32, int(self.sizes.sum()))
+        found = list(numbers)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+        self.distinct, first, where = np.unique(h, return_index=True, return_inverse=True)
+        self.found, self.where = [found[i] for i in first.tolist()], where[flat]
         self.counts = np.bincount(self.where[np.repeat(self.train, self.sizes)], minlength=len(self.distinct))
 
     def ids(self, path: str) -> np.ndarray:
-        return end_ids([self.flat[i] for i in self.first_at.tolist()], path)
+        return end_ids(self.found, path)
 
     def targets(self, class_of: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Classes of all tokens in order, the end's (0) after each text."""
@@ -154,7 +165,7 @@ def warm_up(pdf: pd.DataFrame, class_of: np.ndarray, path: str, folds: int, epoc
     """A model to start from, fitted on a few documents."""
     batch, model = Batch(pdf, folds), Model()
     if len(batch.sizes):
-        ids = batch.ids(path).astype(np.int64)[batch.where] if len(batch.flat) else np.empty((0, 2), np.int64)
+        ids = batch.ids(path).astype(np.int64)[batch.where] if len(batch.where) else np.empty((0, 2), np.int64)
         data = windows_of(batch.sizes, ids[:, 0], ids[:, 1], batch.targets(class_of, ids[:, 0]))[:4]
         fit, rng = Fit(model, 3e-3), np.random.default_rng(0)
         for epoch in range(epochs):

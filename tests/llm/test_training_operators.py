@@ -9,12 +9,14 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 
 from probatum.llm import attention
 from probatum.llm.components import components
 from probatum.llm.lempel_ziv import dedup_substrings
-from probatum.llm.lm_scoring import IDS, MARKS, TOKENIZER, averaged, choose_classes, co_occurrence, end_ids, improve, score_texts
+from probatum.llm.lm_scoring import IDS, MARKS, TOKENIZER, Batch, averaged, choose_classes, co_occurrence, end_ids, improve, score_texts
 from probatum.llm.mixing import mixture, plan_mixture
 from probatum.llm.nbsvm import judge
 from probatum.llm.ngram_join import far_apart, join_documents
@@ -323,6 +325,15 @@ def test_attention_gradients():
         assert g[at] == pytest.approx((loss[0] - loss[1]) / 2e-2, rel=0.05)
 
 
+def test_lm_batch_hashes_each_distinct_word_once(monkeypatch):
+    calls, real = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda word: calls.append(1) or real(word))
+    many = " ".join(f"w{i}" for i in range(140_000))  # more than the remembered hashes of op1
+    batch = Batch(pd.DataFrame({"key": [2, 1], "text": [many, many + " W7"], "batch": 0, "rest": ""}), 10)
+    assert len(calls) == 140_000 and batch.sizes.tolist() == [140_001, 140_000]
+    assert len(batch.distinct) == 140_000 and batch.distinct[batch.where[140_000]] == real(b"w7") and batch.found[batch.where[140_001]] == b"w0"
+
+
 def test_subword_ends():
     found = [b"hello", b"x", "ñandú".encode(), "a\xa0".encode(), b"!!", "\u2028".encode()]
     whole = end_ids(found, TOKENIZER)
