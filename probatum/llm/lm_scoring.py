@@ -19,20 +19,21 @@ the end alone. Rows that repeat a doc_id are scored separately.
 from __future__ import annotations
 
 import base64
-import itertools
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.llm.attention import CLASSES, GROUPS, ROWS, START, WIDTH, Fit, Model, windows_of
-from probatum.llm.common import LAST, batched, durable, edges, id_of, in_order, shares, text_bytes, words
+from probatum.llm.common import LAST, batched, durable, edges, id_of, in_order, shares, text_bytes
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern that splits text before the merges of that vocabulary: a fixed value of the tokenizer.
@@ -59,7 +60,7 @@ def end_ids(found: list[bytes], path: str) -> np.ndarray:
     if not found:
         return np.empty((0, 2), np.uint16)
     newline = coder.encode_ordinary("\n")[0]
-    ids = np.array(coder.encode_ordinary("\n".join(w.decode() for w in found) + "\n"), np.int64)
+    ids = np.array(coder.encode_ordinary(b"\n".join(found).decode() + "\n"), np.int64)
     at = np.flatnonzero(ids == newline)
     if len(at) != len(found) or (np.diff(np.concatenate([[-1], at])) < 2).any():  # a word whose white space joined the newline
         pairs = [coder.encode_ordinary(w.decode()) for w in found]
@@ -71,12 +72,19 @@ def in_training(key: int, folds: int) -> bool:
     return key != LAST and zlib.crc32(str(key).encode()) % folds != 0
 
 
-class Numbers(dict):
-    """A number for each distinct word, in the order they come."""
+def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text, a number for each word (equal words have the same), and the distinct words by number.
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+    The same words as :func:`probatum.llm.common.words` with A-Z lower-cased, cut and counted by Arrow without an object per word.
+    """
+    cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string()))))
+    sizes, flat = cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), cut.flatten()
+    blank = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # a text without words is cut into one empty string
+    if blank.any():
+        sizes[np.repeat(np.arange(len(sizes)), sizes)[blank]] = 0
+        flat = flat.filter(pa.array(~blank))
+    coded = flat.dictionary_encode()
+    return sizes, coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
 
 
 class Batch:
@@ -85,19 +93,15 @@ class Batch:
     def __init__(self, pdf: pd.DataFrame, folds: int):
         rows = in_order(pdf)
         self.keys = rows["key"].tolist()
-        texts = [words(t, True) for t in rows["text"]]
-        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.sizes, flat, found = numbered(rows["text"].tolist())
         self.train = np.array([in_training(k, folds) for k in self.keys], bool)
-        numbers = Numbers()
-        flat = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(texts)), np.int32, int(self.sizes.sum()))
-        found = list(numbers)
         h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
         self.distinct, first, where = np.unique(h, return_index=True, return_inverse=True)
-        self.found, self.where = [found[i] for i in first.tolist()], where[flat]
+        self.found, self.where = found[first], where[flat]
         self.counts = np.bincount(self.where[np.repeat(self.train, self.sizes)], minlength=len(self.distinct))
 
     def ids(self, path: str) -> np.ndarray:
-        return end_ids(self.found, path)
+        return end_ids(self.found.tolist(), path)
 
     def targets(self, class_of: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Classes of all tokens in order, the end's (0) after each text."""

@@ -14,9 +14,10 @@ import pytest
 import xxhash
 
 from probatum.llm import attention
+from probatum.llm.common import words
 from probatum.llm.components import components
 from probatum.llm.lempel_ziv import dedup_substrings
-from probatum.llm.lm_scoring import IDS, MARKS, TOKENIZER, Batch, averaged, choose_classes, co_occurrence, end_ids, improve, score_texts
+from probatum.llm.lm_scoring import IDS, MARKS, TOKENIZER, Batch, averaged, choose_classes, co_occurrence, end_ids, improve, numbered, score_texts
 from probatum.llm.mixing import mixture, plan_mixture
 from probatum.llm.nbsvm import judge
 from probatum.llm.ngram_join import far_apart, join_documents
@@ -334,6 +335,15 @@ def test_lm_batch_hashes_each_distinct_word_once(monkeypatch):
     assert len(batch.distinct) == 140_000 and batch.distinct[batch.where[140_000]] == real(b"w7") and batch.found[batch.where[140_001]] == b"w0"
 
 
+def test_lm_words_are_those_of_the_other_operators():
+    rng = random.Random(5)
+    texts = ["", " \t", "Ab aB", "\x1c x\x85y\xa0z\u2028 \x0b\x0cÑ É\x00"] + ["".join(rng.choices(" \t\n\x0b\x0c\r\x1cAbÑ\u3000\x00\U0001f600", k=30)) for _ in range(300)]
+    for some in (texts, texts[:2], []):
+        sizes, flat, found = numbered(some)
+        assert [len(words(t, True)) for t in some] == sizes.tolist() and len(set(found)) == len(found)
+        assert [w for t in some for w in words(t, True)] == [found[i] for i in flat]
+
+
 def test_subword_ends():
     found = [b"hello", b"x", "ñandú".encode(), "a\xa0".encode(), b"!!", "\u2028".encode()]
     whole = end_ids(found, TOKENIZER)
