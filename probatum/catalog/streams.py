@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics
 from ..operators.stateful import CHANGE_THRESHOLD
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources.upserts import subscription_latest
 from ..streaming import jobs
 from ..streaming.answer_cache import AnswerCache
@@ -178,7 +178,7 @@ def answer_cache_stream(t):
         i.cast("long").alias("query_id"), d.pick(MODES, i).alias("mode"), F.col("embedding").cast("array<double>").alias("query_vector"),
         (F.lit(EPOCH_MS) + i * 3_600_000).cast("long").alias("query_ms"), F.substring("answer", 1, 80).alias("query_text"), "answer",
         (i % 5 != 0).alias("single_turn"), (i % 7 == 0).alias("rule_active"))
-    feed = Feed(t.spark, asked, "asked", order="query_ms")
+    feed = Feed(t.spark, materialise(asked, "asked-rows"), "asked", order="query_ms")  # joined once, not for each slice
     cache = AnswerCache(scratch_path(t.spark, "answers"), CACHE_SIMILARITY)
     feed.run_each(feed.stream(), cache, "answers")
     return cache.outcomes(t.spark).drop("query_ms")

@@ -4,12 +4,13 @@ import math
 import random
 import shutil
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from probatum.catalog.streams import Feed
-from probatum.operators import analytics
+from probatum.operators import analytics, near_in_time
 from probatum.streaming import jobs
 from probatum.streaming.answer_cache import DAY_MS, HOUR_MS, AnswerCache
 from probatum.streaming.late import LateGate
@@ -106,6 +107,45 @@ def test_answer_cache_equals_a_replay_in_order(spark, tmp_path, cuts):
     assert hits == {q: sum(w == ("hit", q) for w in want.values()) for q, w in want.items() if w[0] == "stored"}
 
 
+@pytest.mark.parametrize("block_rows", [7, 4096])
+def test_answer_cache_equals_a_replay_with_small_blocks(spark, tmp_path, block_rows):
+    rows = questions()
+    cache = AnswerCache(str(tmp_path / "cache"), 0.95, block_rows=block_rows)
+    for n, (lo, hi) in enumerate(((0, 40), (40, len(rows)))):
+        cache(spark.createDataFrame(rows[lo:hi], QUESTION), n)
+    assert {r.query_id: (r.outcome, r.cache_id) for r in cache.outcomes(spark).collect()} == replay(rows, 0.95, 168 * HOUR_MS)
+
+
+def test_a_chain_of_questions_is_settled_in_few_rounds(spark, tmp_path, monkeypatch):
+    turn = [i * 0.3 for i in range(60)]  # each is similar to the one before and to no other
+    rows = [(i, "a", [math.cos(x), math.sin(x)], START + i * 13 * HOUR_MS, "q", "x" * 150, True, False) for i, x in enumerate(turn)]
+    scans, real = [], AnswerCache._best
+    monkeypatch.setattr(AnswerCache, "_best", lambda *a, **b: scans.append(1) or real(*a, **b))
+    cache = AnswerCache(str(tmp_path / "cache"), 0.95)
+    cache(spark.createDataFrame(rows, QUESTION), 0)
+    assert len(scans) <= 8  # two a round; one span after the other took some 60
+    assert {r.query_id: (r.outcome, r.cache_id) for r in cache.outcomes(spark).collect()} == replay(rows, 0.95, 168 * HOUR_MS)
+
+
+def test_a_question_meets_only_answers_of_its_time(spark):
+    n, window = 3000, 168 * HOUR_MS
+    asked = spark.range(n).select(F.col("id").alias("query_id"), F.lit("a").alias("mode"), F.array(F.lit(1.0), F.rand(1)).alias("query_vector"),
+                                  (F.lit(START) + F.col("id") * 24 * HOUR_MS).alias("query_ms"))
+    stored = asked.select(F.col("query_id").alias("cache_id"), "mode", F.col("query_vector").cast("array<float>").alias("embedding"), F.col("query_ms").alias("created_ms"))
+    found = near_in_time.best_earlier(stored, asked, window, 0.9, block_rows=50)
+    got = {r.query_id: (r.cache_id, r.similarity) for r in found.collect()}
+    unit = np.array([r.query_vector for r in asked.orderBy("query_id").collect()])
+    kept = unit.astype(np.float32).astype(np.float64)
+    unit, kept = (x / np.linalg.norm(x, axis=1)[:, None] for x in (unit, kept))
+    want = {}
+    for i in range(n):
+        near = np.round(kept[max(i - 6, 0):i] @ unit[i], 6)
+        if len(near) and near.max() >= 0.9:
+            want[i] = (max(i - 6, 0) + int(near.argmax()), near.max())
+    assert got.keys() == want.keys() and all(got[i][1] == pytest.approx(want[i][1], abs=2e-6) for i in want)
+    assert sum(got[i][0] != want[i][0] for i in want) <= 3  # other than where rounding differs
+
+
 def test_old_answers_are_deleted_by_day(spark, tmp_path):
     cache = AnswerCache(str(tmp_path / "cache"), 0.95)
     assert cache.evict(spark, START) == 0
