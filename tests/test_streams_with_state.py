@@ -123,7 +123,7 @@ def test_a_chain_of_questions_is_settled_in_few_rounds(spark, tmp_path, monkeypa
     monkeypatch.setattr(AnswerCache, "_best", lambda *a, **b: scans.append(1) or real(*a, **b))
     cache = AnswerCache(str(tmp_path / "cache"), 0.95)
     cache(spark.createDataFrame(rows, QUESTION), 0)
-    assert len(scans) <= 8  # two a round; one span after the other took some 60
+    assert len(scans) <= 8  # two a round; a round for each of the 30 stored would make 60
     assert {r.query_id: (r.outcome, r.cache_id) for r in cache.outcomes(spark).collect()} == replay(rows, 0.95, 168 * HOUR_MS)
 
 
