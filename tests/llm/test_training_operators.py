@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from probatum.llm import attention
+from probatum.llm import attention, suffix_index
 from probatum.llm.common import words
 from probatum.llm.components import components
 from probatum.llm.lempel_ziv import dedup_substrings
@@ -137,6 +138,27 @@ def test_suffix_dedup(docs, none):
     assert dedup_suffixes(none).collect() == []
 
 
+def test_suffix_dedup_with_other_ranges_than_batches(docs):
+    def rows(**sizes):
+        return as_sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in dedup_suffixes(docs, **sizes).collect())
+    assert rows(batch_bytes=1000, part_bytes=4000) == rows(batch_bytes=4000, part_bytes=1000) == rows()
+
+
+def test_strings_looked_up_one_by_one_need_little_memory():
+    rng = np.random.default_rng(0)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(5000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 5000, 1000)) for _ in range(100)]
+    batch = suffix_index.Batch(pd.DataFrame({"key": range(100), "text": texts}), 400, 100)
+    state = np.full(len(batch.level), suffix_index.PARTLY, np.uint8)[batch.entry]
+    strings = sum(max(len(raw) - 399, 0) for raw in batch.raw)
+    tracemalloc.start()
+    found = suffix_index.Strings(batch, state)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.distinct) == strings
+    assert most < 40 * strings, most / strings
+
+
 def test_suffix_dedup_carries_columns(docs):
     got = dedup_suffixes(docs, carried=["lang", "source"], whole_characters=True).collect()
     assert all('"lang":"en"' in r.rest and bytes(r.kept).decode() is not None for r in got)
