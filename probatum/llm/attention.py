@@ -56,6 +56,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _times(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``x @ by`` for windows ``x``: one product over all rows is faster than one for each window."""
+    return (_flat(x) @ by).reshape(*x.shape[:-1], by.shape[1])
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by one exponential; beyond 15 it is 1 in this precision."""
+    np.exp(np.clip(x, np.float32(-15), np.float32(15), out=x) * np.float32(-2), out=x)
+    x += 1
+    np.divide(np.float32(2), x, out=x)
+    x -= 1
+    return x
+
+
 def _id_sums(ids: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """The sum of the rows of each id; ``columns`` has the rows' columns, one after another. A column's sums stay in the fastest cache."""
     sums = np.empty((len(columns), ROWS + 2), np.float32)
@@ -92,11 +110,11 @@ class Model:
             at += old.size
 
     def forward(self, first: np.ndarray, last: np.ndarray, target: np.ndarray) -> dict:
-        n = len(first)
         x = self.first.take(first, axis=0)
         x += self.last.take(last, axis=0)
-        xq = x[:, CONTEXT:]
-        q, k, v = xq @ (self.query * SCALE), x @ self.key, x @ self.value
+        xq = np.ascontiguousarray(x[:, CONTEXT:])
+        q, both = _times(xq, self.query * SCALE), _times(x, np.hstack([self.key, self.value]))
+        k, v = both[..., :WIDTH], both[..., WIDTH:]
         score = q @ k.transpose(0, 2, 1)
         score += self.near + MASK
         padded = first == PAD
@@ -104,63 +122,65 @@ class Model:
         score[some] += np.where(padded[some], FAR, np.float32(0))[:, None, :]
         score = _softmax(score)
         seen = score @ v
-        hidden = xq @ self.own
-        hidden += seen @ self.seen
+        hidden = _flat(xq) @ self.own
+        hidden += _flat(seen) @ self.seen
         hidden += self.bias
-        hidden = np.tanh(hidden, out=hidden).reshape(n * QUERIES, HIDDEN)
+        hidden = _tanh(hidden)
         logits = hidden @ self.out
         logits += self.offset
-        logits = logits.reshape(-1, 1 + GROUPS, GROUPS)  # the groups, then the classes of each
-        rows, wanted = np.arange(len(logits)), target.ravel()
-        group, within = wanted // GROUPS, wanted % GROUPS
+        logits = logits.reshape(-1, GROUPS)  # of each query the groups, then the classes of each
+        rows, wanted = np.arange(target.size), target.ravel()
+        group, within = np.divmod(wanted.astype(np.int64), GROUPS)
         parts = []
-        for part, aim in ((logits[:, 0].copy(), group), (logits[rows, 1 + group], within)):
-            part = _softmax(part)
-            parts.append((part, part[rows, aim], aim))
-        return {"x": x, "q": q, "k": k, "v": v, "weight": score, "seen": seen, "hidden": hidden, "group": group, "parts": parts,
-                "p": parts[0][1] * parts[1][1]}
+        for place, aim in ((rows * (1 + GROUPS), group), (rows * (1 + GROUPS) + 1 + group, within)):
+            part, at = _softmax(logits.take(place, axis=0)), rows * GROUPS + aim
+            parts.append((place, part, part.ravel()[at], at))
+        return {"x": x, "xq": xq, "q": q, "k": k, "v": v, "weight": score, "seen": seen, "hidden": hidden, "parts": parts,
+                "p": parts[0][2] * parts[1][2]}
 
     def log10(self, first, last, target) -> np.ndarray:
         """log10 of the probability of each target, one per query."""
         return np.log10(np.maximum(self.forward(first, last, target)["p"], 1e-30)).reshape(target.shape)
 
-    def gradients(self, first, last, target, valid, embeddings: bool) -> tuple[dict[str, np.ndarray], float]:
-        """Gradients of the mean loss over valid queries, by name, and that loss."""
+    def gradients(self, first, last, target, valid, embeddings: bool, loss: bool = True) -> tuple[dict[str, np.ndarray], float | None]:
+        """Gradients of the mean loss over valid queries, by name, and that loss, if asked for."""
         f = self.forward(first, last, target)
         keep = valid.ravel()
         scale = np.float32(1.0 / max(keep.sum(), 1))
-        rows = np.arange(len(keep))
-        back = np.zeros((len(keep), 1 + GROUPS, GROUPS), np.float32)
-        for place, (part, _, aim) in zip((0, 1 + f["group"]), f["parts"]):
-            part[rows, aim] -= 1
-            part *= (keep * scale)[:, None]
-            back[rows, place] = part
-        back = back.reshape(len(keep), -1)
-        g = {"out": f["hidden"].T @ back, "offset": back.sum(axis=0)}
+        back = np.zeros((len(keep) * (1 + GROUPS), GROUPS), np.float32)
+        by = (keep * scale)[:, None]
+        for place, part, _, at in f["parts"]:
+            part.ravel()[at] -= 1
+            part *= by
+            back[place] = part
+        back, ones = back.reshape(len(keep), -1), np.ones(len(keep), np.float32)
+        g = {"out": f["hidden"].T @ back, "offset": ones @ back}
         inner = back @ self.out.T
         inner *= 1 - f["hidden"] ** 2
         x, n = f["x"], len(first)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        xq = flat(x[:, CONTEXT:])
-        g["own"], g["seen"], g["bias"] = xq.T @ inner, flat(f["seen"]).T @ inner, inner.sum(axis=0)
+        xq = _flat(f["xq"])
+        g["own"], g["seen"], g["bias"] = xq.T @ inner, _flat(f["seen"]).T @ inner, ones @ inner
         to_seen = (inner @ self.seen.T).reshape(n, QUERIES, WIDTH)
         weight = f["weight"]
         to_score = to_seen @ f["v"].transpose(0, 2, 1)
         to_score -= _row_sums(to_score * weight)
         to_score *= weight
         g["near"] = to_score.sum(axis=0)
-        to_q, to_k = to_score @ f["k"], to_score.transpose(0, 2, 1) @ f["q"]  # q holds the scale already
+        to_q = to_score @ f["k"]
         to_q *= SCALE
-        to_v = weight.transpose(0, 2, 1) @ to_seen
-        g["query"], g["key"], g["value"] = xq.T @ flat(to_q), flat(x).T @ flat(to_k), flat(x).T @ flat(to_v)
+        to_both = np.empty((*x.shape[:2], 2 * WIDTH), np.float32)
+        to_both[..., :WIDTH] = to_score.transpose(0, 2, 1) @ f["q"]  # q holds the scale already
+        to_both[..., WIDTH:] = weight.transpose(0, 2, 1) @ to_seen
+        g["query"] = xq.T @ _flat(to_q)
+        g["key"], g["value"] = np.hsplit(_flat(x).T @ _flat(to_both), 2)
         if embeddings:
-            to_x = to_k @ self.key.T.copy()
-            to_x += to_v @ self.value.T.copy()
-            to_x[:, CONTEXT:] += (inner @ self.own.T).reshape(n, QUERIES, WIDTH) + to_q @ self.query.T.copy()
-            columns = flat(to_x).T.astype(np.float64, order="C")
+            to_x = _times(to_both, np.vstack([self.key.T, self.value.T]))
+            to_x[:, CONTEXT:] += (inner @ self.own.T + _flat(to_q) @ self.query.T).reshape(n, QUERIES, WIDTH)
+            columns = _flat(to_x).T.astype(np.float64, order="C")
             g["e_first"], g["e_last"] = (_id_sums(ids.ravel().astype(np.int64), columns) for ids in (first, last))
-        loss = -float(np.log(np.maximum(f["p"][keep], 1e-30)).mean()) if keep.any() else 0.0
-        return g, loss
+        if not loss:
+            return g, None
+        return g, -float(np.log(np.maximum(f["p"][keep], 1e-30)).mean()) if keep.any() else 0.0
 
 
 class Fit:
@@ -171,23 +191,22 @@ class Fit:
         self.one: dict[str, np.ndarray] = {}
         self.two: dict[str, np.ndarray] = {}
 
-    def learn(self, first, last, target, valid, rate: float | None = None) -> float:
-        grads, loss = self.model.gradients(first, last, target, valid, True)
+    def learn(self, first, last, target, valid, rate: float | None = None) -> None:
+        grads, _ = self.model.gradients(first, last, target, valid, True, loss=False)
         self.step += 1
         for name, g in grads.items():
             if name not in self.one:
                 self.one[name], self.two[name] = np.zeros_like(g), np.zeros_like(g)
-            one, two = self.one[name], self.two[name]
+            one, two = self.one[name], self.two[name]  # 10 times the mean, 100 times that of the squares
             one *= 0.9
-            one += 0.1 * g
+            one += g
             two *= 0.99
             g *= g
-            g *= 0.01
             two += g
-            step = np.sqrt(two / (1 - 0.99 ** self.step))
-            step += 1e-8
+            scale = 0.1 / np.sqrt(1 - 0.99 ** self.step)
+            step = np.sqrt(two, out=g)
+            step += 1e-8 / scale
             np.divide(one, step, out=step)
-            step *= (rate or self.rate) / (1 - 0.9 ** self.step)
+            step *= 0.1 / scale * (rate or self.rate) / (1 - 0.9 ** self.step)
             own = {"e_first": "first", "e_last": "last"}.get(name, name)
             setattr(self.model, own, getattr(self.model, own) - step)
-        return loss

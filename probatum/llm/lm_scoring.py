@@ -42,30 +42,50 @@ END = xxhash.xxh64_intdigest(b"")
 IDS = 1 << 16
 BATCH_BYTES, PART_BYTES = 6 << 20, 16 << 20
 STEP_WINDOWS, RATE = 256, 2e-3
+REMEMBERED = 1 << 18  # words
 MARKS = 16  # width of the vectors that stand for co-occurrence
 PIECES = 64
 FINE = 1 << 16  # fixed point of sums, which so do not depend on their order
 
 
 @cache
-def encoding(path: str) -> tiktoken.Encoding:
+def subwords(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
-    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
+
 
+@cache
+def encoding(path: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=subwords(path), special_tokens={})
 
-def end_ids(found: list[bytes], path: str) -> np.ndarray:
-    """(first, last) subword id of each word."""
-    coder = encoding(path)
-    if not found:
-        return np.empty((0, 2), np.uint16)
+
+@cache
+def remembered(path: str) -> dict[bytes, int]:
+    """The two ids of words as one number: of words of a-z that are one subword, which the pattern never cuts, and of words met before."""
+    return {word: i << 16 | i for word, i in subwords(path).items() if word.isalpha() and word.islower()}
+
+
+def end_ids(found: list[bytes], path: str, often: np.ndarray | None = None) -> np.ndarray:
+    """(first, last) subword id of each word. Words marked in ``often`` are remembered by the process, up to a fixed number."""
+    coder, memory = encoding(path), remembered(path)
+    known = np.fromiter((memory.get(w, -1) for w in found), np.int64, len(found))
+    out = np.stack([known >> 16, known & 0xFFFF], axis=1).astype(np.uint16)
+    rest = np.flatnonzero(known < 0)
+    if not len(rest):
+        return out
+    cut = [found[i] for i in rest.tolist()]
     newline = coder.encode_ordinary("\n")[0]
-    ids = np.array(coder.encode_ordinary(b"\n".join(found).decode() + "\n"), np.int64)
+    ids = np.array(coder.encode_ordinary(b"\n".join(cut).decode() + "\n"), np.int64)
     at = np.flatnonzero(ids == newline)
-    if len(at) != len(found) or (np.diff(np.concatenate([[-1], at])) < 2).any():  # a word whose white space joined the newline
-        pairs = [coder.encode_ordinary(w.decode()) for w in found]
-        return np.array([(p[0], p[-1]) for p in pairs], np.uint16)
-    return np.stack([ids[np.concatenate([[0], at[:-1] + 1])], ids[at - 1]], axis=1).astype(np.uint16)
+    if len(at) != len(cut) or (np.diff(np.concatenate([[-1], at])) < 2).any():  # a word whose white space joined the newline
+        pairs = [coder.encode_ordinary(w.decode()) for w in cut]
+        out[rest] = np.array([(p[0], p[-1]) for p in pairs], np.uint16)
+    else:
+        out[rest] = np.stack([ids[np.concatenate([[0], at[:-1] + 1])], ids[at - 1]], axis=1)
+    if often is not None:
+        new = rest[often[rest]][:max(REMEMBERED - len(memory), 0)]
+        memory.update(zip([found[i] for i in new.tolist()], (out[new, 0].astype(np.int64) << 16 | out[new, 1]).tolist()))
+    return out
 
 
 def in_training(key: int, folds: int) -> bool:
@@ -101,7 +121,7 @@ class Batch:
         self.counts = np.bincount(self.where[np.repeat(self.train, self.sizes)], minlength=len(self.distinct))
 
     def ids(self, path: str) -> np.ndarray:
-        return end_ids(self.found.tolist(), path)
+        return end_ids(self.found.tolist(), path, np.bincount(self.where, minlength=len(self.found)) > 1)
 
     def targets(self, class_of: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Classes of all tokens in order, the end's (0) after each text."""

@@ -18,7 +18,7 @@ from probatum.llm import attention, suffix_index
 from probatum.llm.common import words
 from probatum.llm.components import components
 from probatum.llm.lempel_ziv import dedup_substrings
-from probatum.llm.lm_scoring import IDS, MARKS, TOKENIZER, Batch, averaged, choose_classes, co_occurrence, end_ids, improve, numbered, score_texts
+from probatum.llm.lm_scoring import IDS, MARKS, TOKENIZER, Batch, averaged, choose_classes, co_occurrence, encoding, end_ids, improve, numbered, remembered, score_texts
 from probatum.llm.mixing import mixture, plan_mixture
 from probatum.llm.nbsvm import judge
 from probatum.llm.ngram_join import far_apart, join_documents
@@ -372,6 +372,25 @@ def test_subword_ends():
     assert np.array_equal(whole, np.concatenate([end_ids([w], TOKENIZER) for w in found]))
 
 
+def test_subword_ends_of_words_met_twice_are_remembered():
+    found, often = [b"hello", b"qzxqzx", "zürück!".encode(), b"once9"], np.array([False, True, True, False])
+    plain = np.array([(x[0], x[-1]) for x in (encoding(TOKENIZER).encode_ordinary(w.decode()) for w in found)])
+    for marks in (None, often, None):
+        assert np.array_equal(end_ids(found, TOKENIZER, marks), plain)
+    memory = remembered(TOKENIZER)
+    assert b"qzxqzx" in memory and found[2] in memory and b"once9" not in memory
+    assert all(encoding(TOKENIZER).encode_ordinary(w.decode()) == [n >> 16] for w, n in memory.items() if n >> 16 == n & 0xFFFF)
+
+
+def test_a_learning_step_asks_for_no_loss(monkeypatch):
+    rng, model, asked = np.random.default_rng(1), attention.Model(), []
+    data = attention.windows_of(np.array([5, 40]), rng.integers(0, 50, 45), rng.integers(0, 50, 45), rng.integers(0, 64, 47))[:4]
+    real = attention.Model.gradients
+    monkeypatch.setattr(attention.Model, "gradients", lambda *a, **k: asked.append(real(*a, **k)[1]) or real(*a, **k))
+    attention.Fit(model, 1e-2).learn(*data)
+    assert asked == [None]
+
+
 def test_ledger(spark, docs, none):
     lines = "Same line of words here.\n"
     rows = [(i, t) for i, t in enumerate([*(t for _, t in corpus()), lines * 12, "# $ % words | & <b>" * 9, "a b c d e f g h " * 3, "LOUD WORDS " * 20])]
