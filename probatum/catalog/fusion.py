@@ -29,6 +29,10 @@ def text_list(t, k):
     return fulltext.fts_search(index_of(t), d.text_queries(t), k)
 
 
+def word_list(t, k):
+    return fulltext.fts_search(index_of(t), d.word_queries(t), k)
+
+
 def _vec_sql(k: int) -> str:
     return f"""
 SELECT query_id, chunk_id, similarity, CAST(row_number() OVER (PARTITION BY query_id
@@ -56,13 +60,13 @@ FROM vec v FULL OUTER JOIN fts f ON f.query_id = v.query_id AND f.chunk_id = v.c
 @query("hybrid_rrf", d.with_(FRAMES, f"SELECT query_id, chunk_id, similarity, {_RANK} FROM mixed QUALIFY rank <= 16",
                              steps(40, 40, mixed=_RRF.format(w="0.7::DOUBLE", u="(1 - 0.7::DOUBLE)"))))
 def hybrid_rrf(t):
-    return ops.hybrid_rrf(vector_list(t, 40), text_list(t, 40))
+    return ops.hybrid_rrf(vector_list(t, 40), word_list(t, 40))
 
 
 @query("hybrid_weighted", d.with_(FRAMES, f"SELECT query_id, chunk_id, similarity, {_RANK} FROM mixed QUALIFY rank <= 10",
                                   steps(30, 30, mixed=_WEIGHTED.format(w="0.7::DOUBLE"))))
 def hybrid_weighted(t):
-    return ops.hybrid_weighted(vector_list(t, 30), text_list(t, 30))
+    return ops.hybrid_weighted(vector_list(t, 30), word_list(t, 30))
 
 
 @query("hybrid_or_vector", d.with_(FRAMES, """

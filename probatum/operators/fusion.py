@@ -32,13 +32,14 @@ def hybrid_rrf(vector_hits: DataFrame, text_hits: DataFrame, k: int = 16, weight
 def hybrid_weighted(vector_hits: DataFrame, text_hits: DataFrame, k: int = 10, weight: float = 0.7) -> DataFrame:
     """Weighted sum of similarity and text score (squashed into 0..1); a missing side counts as 0.
 
-    Give lists of 3k rows per query.
+    Give lists of 3k rows per query. The sum is rounded as SQL rounds a double, by its multiple of a million: a similarity of six
+    places times a weight often ends in 5, and rounding its decimal digits instead parts from that.
     """
     squashed = F.col("score") / (F.col("score") + 1)
     both = vector_hits.select("query_id", "chunk_id", F.col("similarity").alias("vs")).join(
         text_hits.select("query_id", "chunk_id", squashed.alias("fs")), ["query_id", "chunk_id"], "full_outer")
     total = F.coalesce("vs", F.lit(0.0)) * weight + F.coalesce("fs", F.lit(0.0)) * (1 - weight)
-    scored = both.withColumn("similarity", F.round(total, 6)).drop("vs", "fs")
+    scored = both.withColumn("similarity", F.round(total * 1_000_000) / 1_000_000).drop("vs", "fs")
     return top_per(scored, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 

@@ -66,3 +66,30 @@ def test_statutes_get_their_type_and_number_without_a_join(spark):
     assert "Join" not in plan(found) and "Join" not in plan(QUERIES["chunk_documents"](spark, SF))
     pairs = lambda df: sorted(map(tuple, df.select("doc_id", "tipo", "numero").collect()))
     assert pairs(found) == pairs(derived.norms(tables))
+
+
+def test_hybrid_lists_take_plain_texts_for_words_and_round_as_sql(spark, tmp_path):
+    texts = ["the red or blue stone", "a -red stone \"or\" blue", "red or\nblue stone", "or stone avec red", "blue or red or stone", "... !", None]
+    docs = [(i, (texts * 4)[i], "en", "web", 1) for i in range(24)] + [(30 + i, f"red {'stone ' * i}or blue the a", "en", "web", 1) for i in range(8)]
+    tables = {
+        "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(0, 1, 0)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(i, (texts * 4)[i]) for i in range(28)], "item_id long, text string"),
+        "embeddings": ([(i, [1.0, float(i % 17), float(i % 5)], i % 10) for i in range(60)], "vec_id long, embedding array<float>, label int")}
+    con = duckdb.connect()
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for query in ("hybrid_weighted", "hybrid_rrf"):
+        got, want = QUERIES[query](spark, str(tmp_path)), con.sql(SQL[query])
+        assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall()), query
+
+
+def test_weighted_sums_are_rounded_as_sql_rounds_doubles(rows):
+    from probatum.operators import fusion
+
+    sums = [round(i / 1e6 + 0.39, 6) for i in range(1000)]
+    hits = rows([(1, i, s) for i, s in enumerate(sums)], "query_id long, chunk_id long, similarity double")
+    found = fusion.hybrid_weighted(hits, rows([], "query_id long, chunk_id long, score double"), 1000).collect()
+    want = duckdb.sql("SELECT i, round(unnest($s) * 0.7::DOUBLE, 6) FROM (SELECT 1) t(i)", params={"s": sums}).fetchall()
+    assert sorted(r.similarity for r in found) == sorted(w for _, w in want)
