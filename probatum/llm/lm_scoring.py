@@ -25,15 +25,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.llm.attention import CLASSES, GROUPS, ROWS, START, WIDTH, Fit, Model, windows_of
-from probatum.llm.common import LAST, batched, durable, edges, id_of, in_order, shares, text_bytes
+from probatum.llm.common import LAST, batched, durable, edges, id_of, in_order, numbered, shares, text_bytes
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern that splits text before the merges of that vocabulary: a fixed value of the tokenizer.
@@ -92,21 +90,6 @@ def in_training(key: int, folds: int) -> bool:
     return key != LAST and zlib.crc32(str(key).encode()) % folds != 0
 
 
-def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text, a number for each word (equal words have the same), and the distinct words by number.
-
-    The same words as :func:`probatum.llm.common.words` with A-Z lower-cased, cut and counted by Arrow without an object per word.
-    """
-    cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string()))))
-    sizes, flat = cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), cut.flatten()
-    blank = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # a text without words is cut into one empty string
-    if blank.any():
-        sizes[np.repeat(np.arange(len(sizes)), sizes)[blank]] = 0
-        flat = flat.filter(pa.array(~blank))
-    coded = flat.dictionary_encode()
-    return sizes, coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
-
-
 class Batch:
     """The tokens of a batch: each distinct one once, with where it stands."""
 

@@ -20,14 +20,14 @@ nothing. Rows that repeat a doc_id are judged by their own texts; a missing doc_
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probatum.llm.common import Hashes, durable, edges, id_of, key_of, mix, shares, shingle_hashes, text_bytes, text_mark
+from probatum.llm.common import durable, edges, id_of, key_of, mix, numbered, shares, text_bytes, text_mark, windows
 from probatum.llm.components import components
 
 CELLS = 20  # bits of the count table
@@ -35,17 +35,59 @@ BLOCKS = 64
 LOW = np.uint64((1 << 56) - 1)
 EIGHT = np.uint64(8)
 PART_BYTES = 12 << 20
+SLICE_ROWS = 256
 
 
-def low_bits(text: str | None, hashes: Hashes, size: int) -> np.ndarray:
-    """The distinct shingles of a text, ascending."""
-    h = shingle_hashes(text, hashes, size)
-    return np.unique(h & LOW) if len(h) else h
+def shingle_sets(texts: Sequence[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each text has, and the shingles of all texts one after another, ascending within each."""
+    sizes, word, found = numbered([t or "" for t in texts])
+    h = pd.util.hash_array(found, categorize=False)[word]
+    count = np.where(sizes < size, np.minimum(sizes, 1), sizes - size + 1)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    start, at = np.cumsum(sizes) - sizes, np.cumsum(count) - count
+    low = np.empty(len(owner), np.uint64)
+    whole = sizes[owner] >= size
+    low[whole] = windows(h, size)[(start - at)[owner[whole]] + np.flatnonzero(whole)]
+    for i in np.flatnonzero((sizes > 0) & (sizes < size)).tolist():
+        low[at[i]] = windows(h[start[i]:start[i] + sizes[i]], sizes[i])[0]
+    low &= LOW
+    sort_within(low, count)
+    once = np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])[:len(low)]
+    return np.bincount(owner[once], minlength=len(sizes)), low[once]
 
 
-def set_mark(low: np.ndarray) -> int:
-    """A hash of a set of shingles."""
-    return int(np.add.reduce(mix(low.copy())).astype(np.uint64).view(np.int64)) if len(low) else 0
+def sort_within(values: np.ndarray, count: np.ndarray) -> None:
+    """Sort each run of values, ``count`` of them one after another, in place."""
+    end = np.cumsum(count)
+    for a, b in zip((end - count).tolist(), end.tolist()):
+        values[a:b].sort()
+
+
+def each_set(texts: Sequence[str | None], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending. A text that follows itself is cut once."""
+    texts = list(texts)
+    changed = np.array([i == 0 or t != texts[i - 1] for i, t in enumerate(texts)], bool)
+    n, low = shingle_sets([t for t, c in zip(texts, changed) if c], size)
+    found = np.split(low, np.cumsum(n)[:-1])
+    return [found[i] for i in (np.cumsum(changed) - 1).tolist()]
+
+
+def set_marks(n: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A hash of each set of shingles, 0 for an empty one."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(low.copy()))])
+    end = np.cumsum(n)
+    return (total[end] - total[end - n]).view(np.int64)
+
+
+def slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows, a few at a time: what is worked out for each word of a slice stays small."""
+    for at in range(0, len(frame), SLICE_ROWS):
+        yield frame.iloc[at:at + SLICE_ROWS]
+
+
+def first_met(marks: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which of the marks were not seen before; now they are."""
+    return np.array([m not in seen and not seen.add(m) for m in marks.tolist()], bool)
 
 
 def cell_of(low: np.ndarray) -> np.ndarray:
@@ -96,29 +138,30 @@ class Order:
         crowded = counts > 16 * max(counts.mean(), 1) + 4096
         self.crowded = np.flatnonzero(crowded)
 
-    def keys(self, low: np.ndarray, first: int | None = None) -> np.ndarray:
-        """The shingles in order, all or the ``first`` ones."""
+    def keys(self, low: np.ndarray) -> np.ndarray:
+        """The shingles of a set in order."""
         keys = self.level[cell_of(low)] | low
-        if first is not None and first < len(keys):
-            keys = np.partition(keys, first - 1)[:first]
         keys.sort()
         return keys
 
+    def first_keys(self, low: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The first shingles in order of each of several sets, ``n`` shingles long and one after another."""
+        keys = self.level[cell_of(low)] | low
+        sort_within(keys, n)
+        return keys[np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(first, n)]
+
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
     """Per row (key, text_mark, n, mark of the set), and per task the counts of its cells in blocks of a fixed size (block, counts)."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = Hashes(), np.zeros(1 << CELLS, np.int32)
+        counts = np.zeros(1 << CELLS, np.int32)
         for frame in frames:
-            out, seen = [], set()
-            for key, own, text in zip(frame["key"].tolist(), frame["text_mark"].tolist(), frame["text"]):
-                low = low_bits(text, hashes, size)
-                mark = set_mark(low)
-                out.append((key, own, len(low), mark, -1, b""))
-                if mark not in seen:
-                    seen.add(mark)
-                    np.add.at(counts, cell_of(low), 1)
-            yield pd.DataFrame(out, columns=["key", "text_mark", "n", "mark", "block", "counts"])
+            seen: set[int] = set()
+            for rows in slices(frame):
+                n, low = shingle_sets(rows["text"], size)
+                marks = set_marks(n, low)
+                np.add.at(counts, cell_of(low[np.repeat(first_met(marks, seen), n)]), np.int32(1))  # a plain 1 is far slower
+                yield pd.DataFrame({"key": rows["key"], "text_mark": rows["text_mark"], "n": n, "mark": marks, "block": -1, "counts": b""})
         for i, part in enumerate(np.split(counts, BLOCKS)):
             if part.any():
                 yield pd.DataFrame([(0, 0, 0, 0, i, part.tobytes())], columns=["key", "text_mark", "n", "mark", "block", "counts"])
@@ -144,24 +187,22 @@ def shared_postings(docs: DataFrame, order: Order, size: int, percent: int, part
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, ranks = Hashes(), held.value
+        ranks = held.value
         for frame in frames:
-            marks, sizes, keys, seen = [], [], [], set()
-            for text in frame["text"]:
-                low = low_bits(text, hashes, size)
-                mark = set_mark(low)
-                if len(low) and mark not in seen:
-                    seen.add(mark)
-                    marks.append(mark)
-                    sizes.append(len(low))
-                    keys.append(ranks.keys(low, prefix_length(len(low), percent)))
-            if not keys:
+            marks, sizes, keys, seen = [], [], [], {0}
+            for rows in slices(frame):
+                n, low = shingle_sets(rows["text"], size)
+                mark = set_marks(n, low)
+                fresh = first_met(mark, seen)
+                marks.append(mark[fresh])
+                sizes.append(n[fresh])
+                keys.append(ranks.first_keys(low[np.repeat(fresh, n)], n[fresh], prefix_length(n[fresh], percent)))
+            marks, sizes, key = np.concatenate(marks), np.concatenate(sizes), np.concatenate(keys)
+            if not len(key):
                 continue
-            count = [len(k) for k in keys]
-            key = np.concatenate(keys)
-            owner = np.repeat(np.arange(len(keys), dtype=np.uint32), count)
-            place = np.concatenate([np.arange(n, dtype=np.uint32) for n in count])
-            marks, sizes = np.array(marks, np.int64), np.array(sizes, np.int64)
+            count = prefix_length(sizes, percent)
+            owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), count)
+            place = (np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint32)
             dealt = (key & LOW) << EIGHT
             hot = np.isin(cell_of(key & LOW), ranks.crowded)
             if hot.any():
@@ -169,8 +210,8 @@ def shared_postings(docs: DataFrame, order: Order, size: int, percent: int, part
             by = np.argsort(dealt)
             cut = edges(dealt[by], parts)
             key, owner, place = key[by], owner[by], place[by]
-            yield pd.DataFrame([(i, key[a:b].tobytes(), owner[a:b].tobytes(), place[a:b].tobytes(), marks[(u := np.unique(owner[a:b]))].tobytes(),
-                                 sizes[u].tobytes(), u.tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a],
+            yield pd.DataFrame([(i, key[a:b].tobytes(), owner[a:b].tobytes(), place[a:b].tobytes(), marks[(u := np.flatnonzero(np.bincount(owner[a:b])))].tobytes(),
+                                 sizes[u].tobytes(), u.astype(np.uint32).tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a],
                                columns=["part", "keys", "owners", "places", "marks", "sizes", "which"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -266,14 +307,14 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, order: Order, s
     held = pairs.sparkSession.sparkContext.broadcast(order)
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, ranks = Hashes(), held.value
-        last, kept = None, None
+        ranks, last, kept = held.value, None, None
         for frame in frames:
             ok = []
-            for b, x, y in zip(frame["b"].tolist(), frame["text_a"], frame["text_b"]):
-                if b != last:
-                    last, kept = b, ranks.keys(low_bits(y, hashes, size))
-                ok.append(similar(ranks.keys(low_bits(x, hashes, size)), kept, percent))
+            for rows in slices(frame):
+                for b, x, y in zip(rows["b"].tolist(), each_set(rows["text_a"], size), each_set(rows["text_b"], size)):
+                    if b != last:
+                        last, kept = b, ranks.keys(y)
+                    ok.append(similar(ranks.keys(x), kept, percent))
             yield frame.loc[ok, ["a", "b"]]
 
     marks = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
@@ -313,9 +354,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame, size: int, few: int = 500_000)
     Up to ``few`` keys, eight bytes each, are broadcast so that the texts stay where they lie; more are joined by a shuffle.
     """
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
         for frame in frames:
-            yield pd.DataFrame({"mark": [set_mark(low_bits(t, hashes, size)) for t in frame["text"]], "text": frame["text"]})
+            for rows in slices(frame):
+                yield pd.DataFrame({"mark": set_marks(*shingle_sets(rows["text"], size)), "text": rows["text"]})
 
     return (docs.select(key_of().alias("key"), "text").join(F.broadcast(wanted) if wanted.count() <= few else wanted, "key", "left_semi").select("text")
             .mapInPandas(read, "mark long, text string").groupBy("mark").agg(F.min("text").alias("text")))

@@ -526,3 +526,37 @@ def test_reader_decodes_once():
 
 def test_hash_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_shingle_sets_of_a_slice_are_those_of_its_texts():
+    from probatum.llm.common import words
+    from probatum.llm.ngram_join import each_set, first_met, set_marks, shingle_sets
+
+    texts = ["a b c", "A  b\tC", None, "", " \n", "x y z x y z x y z", "one", "c b a", "\x0bé É z\x0c", "x y z x y z x y z", "one two"]
+    n, low = shingle_sets(texts, 3)
+    runs = [{tuple(w[i:i + 3]) for i in range(max(len(w) - 2, 1))} if (w := words(t, True)) else set() for t in texts]
+    ends = np.cumsum(n)
+    each = [low[b - m:b].tolist() for m, b in zip(n.tolist(), ends.tolist())]
+    assert n.tolist() == [len(r) for r in runs] and all(e == sorted(set(e)) for e in each)
+    for a, x in zip(runs, each):
+        for b, y in zip(runs, each):
+            assert len(a & b) == len(set(x) & set(y))
+    alone = [shingle_sets([t], 3) for t in texts]
+    assert [x.tolist() for _, x in alone] == each and [x.tolist() for x in each_set(texts, 3)] == each
+    marks = set_marks(n, low)
+    assert marks.tolist() == [int(set_marks(*x)[0]) for x in alone]
+    assert [[a == b for a in runs] for b in runs] == [[a == b for a in marks] for b in marks] and marks[2] == 0
+    assert first_met(marks, {0}).tolist() == [True, False, False, False, False, True, True, True, True, False, True]
+
+
+def test_first_keys_are_the_first_of_each_set():
+    from probatum.llm.ngram_join import CELLS, Order, cell_of
+
+    rng = np.random.default_rng(3)
+    order = Order(rng.integers(0, 50, 1 << CELLS))
+    n = np.array([7, 0, 1, 30])
+    sets = [np.sort(rng.integers(0, 1 << 56, m).astype(np.uint64)) for m in n]
+    first = np.array([3, 0, 1, 12])
+    want = [order.keys(s)[:k].tolist() for s, k in zip(sets, first)]
+    assert order.first_keys(np.concatenate(sets), n, first).tolist() == sum(want, [])
+    assert all((np.diff(order.level[cell_of(order.keys(s) & np.uint64((1 << 56) - 1))].astype(np.int64) >> 56) >= 0).all() for s in sets)
