@@ -16,7 +16,7 @@ item without an id goes by the empty string.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,24 +24,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.common import Hashes, durable, id_of, key_of, text_bytes, text_mark, windows
+from probatum.llm.common import durable, id_of, key_of, numbered, text_bytes, text_mark, windows
 
 # Bytes of words: a-z, 0-9 and everything beyond ASCII; A-Z are lower-cased, the rest separates.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 INDEX = "shard string, keys binary, marks binary, begins binary, terms binary, lists binary, positions binary"
 ROOM = np.uint64(32)
 BLOCK_BYTES = 8 << 20
+SLICE_ROWS = 256
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(LETTERS).split() if text else []
+def term_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
+    """A hash of each term of each text, in order. Terms are cut by Arrow, and each distinct one is hashed once."""
+    sizes, word, found = numbered([(t or "").encode().translate(LETTERS).decode() for t in texts])
+    return np.split(pd.util.hash_array(found, categorize=False)[word], np.cumsum(sizes)[:-1])
 
 
 def build_index(docs: DataFrame, shard_words: int = 1 << 20) -> DataFrame:
     """The index as a frame of shards; write it where it is to be kept."""
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, task, made = Hashes(), TaskContext.get().partitionId(), itertools.count()
+        task, made = TaskContext.get().partitionId(), itertools.count()
 
         def shard(keys, marks, found):
             begins = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
@@ -54,12 +57,12 @@ def build_index(docs: DataFrame, shard_words: int = 1 << 20) -> DataFrame:
                                   positions.astype(np.uint32).tobytes())], columns=["shard", "keys", "marks", "begins", "terms", "lists", "positions"])
 
         keys, marks, found, size = [], [], [], 0
-        for frame in frames:
-            for key, mark, text in zip(frame["key"].tolist(), frame["mark"].tolist(), frame["text"]):
+        for rows in (frame.iloc[at:at + SLICE_ROWS] for frame in frames for at in range(0, len(frame), SLICE_ROWS)):
+            for key, mark, terms in zip(rows["key"].tolist(), rows["mark"].tolist(), term_hashes(rows["text"])):
                 keys.append(key)
                 marks.append(mark)
-                found.append(hashes.of(terms_of(text)))
-                size += len(found[-1])
+                found.append(terms)
+                size += len(terms)
                 if size >= shard_words:
                     yield shard(keys, marks, found)
                     keys, marks, found, size = [], [], [], 0
@@ -162,9 +165,8 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[pd.DataFrame]:
 
 def _cut(block: pd.DataFrame, size: int | None) -> list[tuple[np.ndarray, list[list[str]]]]:
     """Distinct queries of a block by length: (rows of terms, the items of each row). ``size``: cut into windows of so many words."""
-    hashes, by_length = Hashes(), {}
-    for item, text in zip(block["item_id"], block["text"]):
-        h = hashes.of(terms_of(text))
+    by_length = {}
+    for item, h in zip(block["item_id"], term_hashes(block["text"]) if len(block) else ()):
         if not len(h):
             continue
         width = len(h) if size is None else min(size, len(h))

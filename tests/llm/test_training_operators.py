@@ -560,3 +560,14 @@ def test_first_keys_are_the_first_of_each_set():
     want = [order.keys(s)[:k].tolist() for s, k in zip(sets, first)]
     assert order.first_keys(np.concatenate(sets), n, first).tolist() == sum(want, [])
     assert all((np.diff(order.level[cell_of(order.keys(s) & np.uint64((1 << 56) - 1))].astype(np.int64) >> 56) >= 0).all() for s in sets)
+
+
+def test_benchmark_terms_are_the_words_of_each_text():
+    from probatum.llm.positional import term_hashes
+
+    texts = ["The red, RED stone-1", None, "", "...", "é\x0bred x", "stone the"]
+    found = term_hashes(texts)
+    assert [len(f) for f in found] == [5, 0, 0, 0, 3, 2]
+    the, red, again, stone, _ = found[0].tolist()
+    assert red == again == found[4][1] and found[5].tolist() == [stone, the] and all(f.dtype == np.uint64 for f in found)
+    assert [f.tolist() for f in found] == [term_hashes([t])[0].tolist() for t in texts]
